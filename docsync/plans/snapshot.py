@@ -13,14 +13,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsync.schemas import STATE_COLUMNS, SYNC_STATE
+from docsync.schemas import SYNC_STATE
 
 COMMIT = "version bigint, tag string, location string"
 
 
 class SnapshotStore:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, schema: str = SYNC_STATE):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.columns = [field.split()[0] for field in schema.split(", ")]
 
     def _commits(self) -> DataFrame:
         try:
@@ -39,8 +40,8 @@ class SnapshotStore:
         wanted = self.version() if version is None else version
         found = self._commits().filter(F.col("version") == wanted).first()
         if found is None:
-            return self.spark.createDataFrame([], SYNC_STATE)
-        return self.spark.read.schema(SYNC_STATE).parquet(f"{self.path}/{found['location']}")
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{found['location']}")
 
     def commit(self, state: DataFrame, tag: str = "") -> int:
         """Write a new version and make it the latest. A tag that is already committed
@@ -49,7 +50,7 @@ class SnapshotStore:
             return self.version()
         version = self.version() + 1
         location = f"snapshots/v{version}-{uuid.uuid4().hex}"
-        state.select(*STATE_COLUMNS).write.parquet(f"{self.path}/{location}")
+        state.select(*self.columns).write.parquet(f"{self.path}/{location}")
         row = self.spark.createDataFrame([(version, tag, location)], COMMIT)
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
         return version

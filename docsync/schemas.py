@@ -1,28 +1,22 @@
 """Schemas of the relations the operators exchange."""
 
-
-
-
 # One row per tracked file; `absolute_path` is null on a row that only carries context.
 SYNC_STATE = (
     "kb_id string, file_key string, absolute_path string, content_hash string, "
     "remote_file_id string, context_text string, context_dirty boolean"
 )
-# One row per directory entry; `kind` is file, dir or symlink.
+STATE_COLUMNS = [field.split()[0] for field in SYNC_STATE.split(", ")]
+# Tracked state of a change stream: what is wanted by the latest change, by `seq`, next
+# to what was delivered. A deleted file keeps its row, so a late change cannot revive it.
+STREAM_STATE = (
+    SYNC_STATE + ", seq bigint, wanted_path string, wanted_hash string, is_deleted boolean"
+)
+# One row per directory entry; `kind` is file, dir, symlink or other.
 LISTING = (
     "kb_id string, root string, path string, rel_path string, filename string, "
     "kind string, length bigint, mtime_us bigint"
 )
-REMOTE_FILES = "kb_id string, pos bigint, remote_file_id string, filename string"
 PATTERNS = "kb_id string, line_no bigint, pattern string"
+REMOTE_FILES = "kb_id string, pos bigint, remote_file_id string, filename string"
+# One row per change of a file; `op` is upsert, delete or context (its note was edited).
 CHANGES = "kb_id string, file_key string, path string, content_hash string, op string, seq bigint"
-
-STATE_COLUMNS = [
-    "kb_id",
-    "file_key",
-    "absolute_path",
-    "content_hash",
-    "remote_file_id",
-    "context_text",
-    "context_dirty",
-]

@@ -23,6 +23,7 @@ from docsync.schemas import LISTING
 READ_BUFFER = 1 << 20
 BATCH_BYTES = 64 << 20
 SLICE_ENTRIES = 50_000
+LEVEL_COLUMNS = ["kb_id", "root", "path", "rel_path", "filename", "kind"]
 
 
 class Walk(InputPartition):
@@ -49,17 +50,36 @@ def _is_dir(entry: os.DirEntry) -> bool:
         return False
 
 
+def _kind(entry: os.DirEntry) -> str:
+    if entry.is_symlink():
+        return "symlink"
+    if entry.is_dir(follow_symlinks=False):
+        return "dir"
+    return "file" if entry.is_file(follow_symlinks=False) else "other"
+
+
+def _names(entry: os.DirEntry, root: str) -> tuple[str, str, str]:
+    """Path, path below root, and name. Bytes that are not UTF-8 are shown replaced."""
+    path = os.fsencode(entry.path).decode("utf-8", "replace")
+    return path, path[len(root.rstrip("/")) + 1 :], path.rsplit("/", 1)[-1]
+
+
+def _real_root(path: str) -> str:
+    """The canonical root. One that is not mounted must not look like an empty one, or
+    every tracked file would be dropped as missing."""
+    root = os.path.realpath(path)
+    if not os.path.isdir(root):
+        raise FileNotFoundError(f"target directory does not exist: {root}")
+    return root
+
+
 class DocTreeReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.root = os.path.realpath(options["path"])
+        self.root = _real_root(options["path"])
         self.kb_id = options.get("kb_id", "")
         self.prune_hidden = options.get("hidden", "prune") == "prune"
         self.files_only = options.get("kinds", "files") == "files"
         self.min_parts = int(options.get("partitions", "64"))
-        if not os.path.isdir(self.root):
-            # An unmounted root must not look like an empty one, or every tracked
-            # file would be dropped as missing.
-            raise FileNotFoundError(f"target directory does not exist: {self.root}")
 
     def _keeps(self, name: str) -> bool:
         return not (self.prune_hidden and name.startswith("."))
@@ -102,21 +122,13 @@ class DocTreeReader(DataSourceReader):
 
     def _row(self, entry: os.DirEntry) -> tuple | None:
         try:
-            if entry.is_symlink():
-                kind = "symlink"
-            else:
-                kind = "dir" if entry.is_dir(follow_symlinks=False) else "file"
-            if kind == "file" and not entry.is_file(follow_symlinks=False):
-                kind = "other"
+            kind = _kind(entry)
             if self.files_only and kind != "file":
                 return None
             stat = entry.stat(follow_symlinks=False)
         except OSError:
             return None
-        # Names that are not valid UTF-8 are shown with replacement characters.
-        path = os.fsencode(entry.path).decode("utf-8", "replace")
-        rel = path[len(self.root.rstrip("/")) + 1 :]
-        name = path.rsplit("/", 1)[-1]
+        path, rel, name = _names(entry, self.root)
         return (self.kb_id, self.root, path, rel, name, kind, stat.st_size, stat.st_mtime_ns // 1000)
 
     @staticmethod
@@ -157,6 +169,39 @@ def scan_inventory(spark: SparkSession, root: str, kb_id: str) -> DataFrame:
     return files.withColumn("file_key", S.file_key(F.col("path"), F.col("filename")))
 
 
+def scan_levels(spark: SparkSession, root: str, kb_id: str, work_dir: str) -> DataFrame:
+    """`scan_inventory` for trees of any shape, without length and time.
+
+    The tree is listed one level at a time, its directories dealt out to all tasks, and
+    each level is written to `work_dir`, a new shared folder. However unevenly files
+    are spread over subtrees, no task walks more than the directories it was dealt.
+    """
+    base = _real_root(root)
+
+    def list_level(batches):
+        for batch in batches:
+            for directory in batch.column("path").to_pylist():
+                seen = [e for e in _entries(directory) if not e.name.startswith(".")]
+                for i in range(0, len(seen), 10_000):
+                    part = seen[i : i + 10_000]
+                    rows = [(kb_id, base, *_names(e, base), _kind(e)) for e in part]
+                    columns = [pa.array(list(c), pa.string()) for c in zip(*rows)]
+                    yield pa.RecordBatch.from_arrays(columns, LEVEL_COLUMNS)
+
+    schema = ", ".join(f"{c} string" for c in LEVEL_COLUMNS)
+    level = spark.createDataFrame([(base,)], "path string")
+    paths: list[str] = []
+    while True:
+        paths.append(f"{work_dir.rstrip('/')}/level={len(paths)}")
+        level.select("path").repartition("path").mapInArrow(list_level, schema).write.parquet(paths[-1])
+        listed = spark.read.schema(schema).parquet(paths[-1])
+        level = listed.filter("kind = 'dir'")
+        if level.isEmpty():
+            break
+    files = spark.read.schema(schema).parquet(*paths).filter("kind = 'file'")
+    return files.withColumn("file_key", S.file_key(F.col("path"), F.col("filename")))
+
+
 def _plus(df: DataFrame, name: str, of: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, of)])
 
@@ -177,9 +222,10 @@ def hash_files(files: DataFrame) -> DataFrame:
 
     def hashed(batches):
         for batch in batches:
-            yield batch.assign(content_hash=[_hash_file(p) for p in batch["path"]])
+            digests = [_hash_file(p) for p in batch.column("path").to_pylist()]
+            yield batch.append_column("content_hash", pa.array(digests, pa.string()))
 
-    return files.mapInPandas(hashed, _plus(files, "content_hash", T.StringType()))
+    return files.mapInArrow(hashed, _plus(files, "content_hash", T.StringType()))
 
 
 def read_contents(files: DataFrame) -> DataFrame:
@@ -189,7 +235,7 @@ def read_contents(files: DataFrame) -> DataFrame:
     def contents(batches):
         for batch in batches:
             held, size, picked = [], 0, []
-            for row, path in enumerate(batch["path"]):
+            for row, path in enumerate(batch.column("path").to_pylist()):
                 try:
                     with open(path, "rb") as handle:
                         data = handle.read()
@@ -199,9 +245,9 @@ def read_contents(files: DataFrame) -> DataFrame:
                 picked.append(row)
                 size += len(data)
                 if size >= BATCH_BYTES:
-                    yield batch.iloc[picked].assign(content=held)
+                    yield batch.take(pa.array(picked)).append_column("content", pa.array(held, pa.binary()))
                     held, size, picked = [], 0, []
             if held:
-                yield batch.iloc[picked].assign(content=held)
+                yield batch.take(pa.array(picked)).append_column("content", pa.array(held, pa.binary()))
 
-    return files.mapInPandas(contents, _plus(files, "content", T.BinaryType()))
+    return files.mapInArrow(contents, _plus(files, "content", T.BinaryType()))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsync import constants as C
-from docsync.schemas import PATTERNS
+from docsync.functions.scalars import lossy_text
+from docsync.sources.doctree import read_contents
 
 
 def trim_line(line: Column) -> Column:
@@ -28,10 +28,10 @@ def parse_ragignore(texts: DataFrame) -> DataFrame:
 
 
 def load_ragignore(spark: SparkSession, root: str, kb_id: str) -> DataFrame:
-    """Patterns of the ignore file in `root`; none when it is absent or unreadable."""
+    """Patterns of the ignore file in `root`; none when it is absent or unreadable.
+
+    Spark's own text source skips names that start with a dot, so a task opens the file.
+    """
     path = f"{root.rstrip('/')}/{C.IGNORE_FILE}"
-    try:
-        text = spark.read.text(path, wholetext=True)
-    except AnalysisException:
-        return spark.createDataFrame([], PATTERNS)
-    return parse_ragignore(text.select(F.lit(kb_id).alias("kb_id"), F.col("value").alias("text")))
+    found = read_contents(spark.createDataFrame([(kb_id, path)], "kb_id string, path string"))
+    return parse_ragignore(found.select("kb_id", lossy_text(F.col("content")).alias("text")))
