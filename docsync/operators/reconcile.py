@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsync.functions import predicates as P
 from docsync.functions import scalars as S
-from docsync.operators.skew import run_lag, run_number
+from docsync.operators.skew import run_number
 from docsync.operators.state_ops import upsert_state
 
 
@@ -33,25 +33,25 @@ def first_local_path(inventory: DataFrame) -> DataFrame:
     return filename_index(inventory).select("kb_id", "filename", "first_path")
 
 
-def _runs(remote: DataFrame) -> DataFrame:
-    return remote.withColumn("_run", run_number("pos"))
-
-
-def _on_name(remote: DataFrame, targets: DataFrame, how: str) -> DataFrame:
+def _on_name(remote: DataFrame, targets: DataFrame) -> DataFrame:
     """Join remote rows to one row per file name.
 
-    A name may own a third of the listing, so the targets are first laid out over the
-    runs of list positions the name occurs in; the big join is then on (name, run).
+    A name may own a third of the listing, so the big join is on (name, run), a run being
+    a stretch of list positions. Each run is summed up first, by its last id; targets
+    are laid out over those few summaries, which also yields `carried_id`, the id the
+    list left on the name before the run began.
     """
-    rows = _runs(remote)
-    spread = rows.select("kb_id", "filename", "_run").distinct()
-    laid_out = spread.join(targets, ["kb_id", "filename"])
-    return rows.join(laid_out, ["kb_id", "filename", "_run"], how).drop("_run")
+    rows = remote.withColumn("_run", run_number("pos"))
+    runs = rows.groupBy("kb_id", "filename", "_run").agg(F.max_by("remote_file_id", "pos").alias("_last"))
+    by_name = Window.partitionBy("kb_id", "filename").orderBy("_run")
+    carried = runs.withColumn("carried_id", F.lag("_last").over(by_name)).drop("_last")
+    laid_out = carried.join(targets, ["kb_id", "filename"])
+    return rows.join(laid_out, ["kb_id", "filename", "_run"])
 
 
 def reconcile_match(inventory: DataFrame, remote: DataFrame) -> DataFrame:
     """Remote rows with the local path their name resolves to."""
-    return _on_name(remote, first_local_path(inventory), "inner")
+    return _on_name(remote, first_local_path(inventory)).drop("_run", "carried_id")
 
 
 def _heal_targets(inventory: DataFrame, state: DataFrame) -> DataFrame:
@@ -73,12 +73,11 @@ def _heal_targets(inventory: DataFrame, state: DataFrame) -> DataFrame:
 def heal_log(inventory: DataFrame, state: DataFrame, remote: DataFrame) -> DataFrame:
     """One row per matched remote row, in list order per path, with the id it met
     (`previous_id`) and whether it overwrote it (`healed`)."""
-    listed = _on_name(remote, _heal_targets(inventory, state), "inner")
-    seen = run_lag(listed, ["kb_id", "filename"], "pos", "remote_file_id", 1)
-    first = F.col("remote_file_id_lag1").isNull()
-    previous = F.when(first, F.col("stored_id")).otherwise(F.col("remote_file_id_lag1"))
+    within = Window.partitionBy("kb_id", "filename", "_run").orderBy("pos")
+    previous = F.coalesce(F.lag("remote_file_id").over(within), "carried_id", "stored_id")
     return (
-        seen.withColumn("previous_id", previous)
+        _on_name(remote, _heal_targets(inventory, state))
+        .withColumn("previous_id", previous)
         .withColumn("healed", ~F.col("previous_id").eqNullSafe(F.col("remote_file_id")))
         .select(
             "kb_id", "file_key", "path", "filename", "pos",

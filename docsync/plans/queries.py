@@ -167,7 +167,7 @@ def delete_state(t: Tables) -> DataFrame:
 @query
 def set_context(t: Tables) -> DataFrame:
     """Every file gets a note, and every labelled document a later one."""
-    docs = t._document_files().join(t.read("labels"), "doc_id")
+    docs = t.document_files().join(t.read("labels"), "doc_id")
     later = docs.select(
         "kb_id",
         S.file_key(F.col("path")).alias("file_key"),

@@ -33,7 +33,7 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def _document_files(self) -> DataFrame:
+    def document_files(self) -> DataFrame:
         folder = "CASE WHEN doc_id % 23 = 0 THEN 'drafts/' WHEN doc_id % 29 = 0 THEN '.cache/' ELSE '' END"
         kinds = "array('md','txt','py','json','pdf','png','PY','yaml','log','cfg')"
         ext = f"CASE WHEN doc_id % 31 = 0 THEN '' ELSE concat('.', {kinds}[CAST(doc_id % 10 AS INT)]) END"
@@ -57,7 +57,7 @@ class Tables:
             F.expr(f"concat('{ROOT}/bench/', item_id, '/', {name})").alias("path"),
             "text",
         )
-        return self._document_files().drop("doc_id").unionByName(pages).unionByName(items)
+        return self.document_files().drop("doc_id").unionByName(pages).unionByName(items)
 
     def disk(self) -> DataFrame:
         """The listing, with keys and content hashes."""
@@ -79,7 +79,7 @@ class Tables:
             S.content_hash(F.col("text"))
         )
         remote_id = F.when(F.col("doc_id") % 17 == 0, "").otherwise(F.expr("concat('fid-', doc_id)"))
-        docs = self._document_files().select(
+        docs = self.document_files().select(
             "kb_id",
             S.file_key(F.col("path")).alias("file_key"),
             F.when(~stub, F.col("path")).alias("absolute_path"),
@@ -103,7 +103,7 @@ class Tables:
         return docs.unionByName(chats)
 
     def remote(self) -> DataFrame:
-        docs = self._document_files().select(
+        docs = self.document_files().select(
             "kb_id",
             F.col("doc_id").alias("pos"),
             F.expr("concat('fid-', doc_id)").alias("remote_file_id"),
