@@ -52,7 +52,7 @@ def main() -> None:
             build(spark, sf_dir).write.format("noop").mode("overwrite").save()
 
         seconds[name] = round(min(timed(run) for _ in range(RUNS)), 3)
-    contents = Tables(spark, sf_dir).contents()
+    contents = Tables(spark, sf_dir).contents
     files, size = contents.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     hashing = seconds.get("content_hash")
     line = {

@@ -21,6 +21,7 @@ from docsync.operators.filters import filter_disposition
 from docsync.operators.ingest import with_convert
 from docsync.operators.reconcile import is_settled, name_outcomes
 from docsync.plans.snapshot import SnapshotStore
+from docsync.schemas import REMOTE_FILES
 
 KEY = ["kb_id", "file_key"]
 
@@ -121,10 +122,15 @@ def next_state(frame: DataFrame, delivered: DataFrame) -> DataFrame:
 
 
 def write_plan(plan: DataFrame, path: str, partitions: int = 0) -> None:
-    """Write delivery work by knowledge base and action. `partitions` bounds how many
-    writers, and so how many delivery streams, there are; 0 leaves it to Spark."""
+    """Write delivery work by knowledge base and action.
+
+    `partitions` bounds how many delivery streams there are. With 0, Spark rebalances by
+    size: small knowledge bases get one file each and a large one is split.
+    """
     if partitions:
         plan = plan.repartition(partitions, "kb_id", "file_key")
+    else:
+        plan = plan.hint("rebalance", "kb_id", "action")
     plan.write.partitionBy("kb_id", "action").parquet(path)
 
 
@@ -139,7 +145,7 @@ class SyncResult:
 def run_sync(
     store: SnapshotStore,
     disk: DataFrame,
-    remote: DataFrame,
+    remote: DataFrame | None,
     patterns: DataFrame,
     config: DataFrame,
     contents: Callable[[DataFrame], DataFrame],
@@ -150,12 +156,15 @@ def run_sync(
 
     `contents` adds a `content` column to planned files, such as
     `sources.doctree.read_contents`. `deliver` takes the payload table and returns the
-    keys and remote ids that went through. Decisions are written before anything is
+    keys and remote ids that went through. Without a `remote` listing nothing is healed and
+    the run goes on. Decisions are written before anything is
     delivered, so delivery and commit work from the same rows even if files change or
     executors are lost meanwhile. The commit comes last; a run that stops before it
     leaves the state untouched, and the next run repairs it from the remote listing.
     """
     state = store.read()
+    if remote is None:
+        remote = store.spark.createDataFrame([], REMOTE_FILES)
     frame = store.stage("frame", sync_frame(disk, state, remote, patterns))
     due = with_convert(payload.due(frame), config).withColumn(
         "upload_filename", S.upload_filename(F.col("filename"), F.col("convert"))

@@ -57,12 +57,12 @@ def ragignore_patterns(t: Tables) -> DataFrame:
 
 @query
 def tracked_state(t: Tables) -> DataFrame:
-    return state_ops.tracked_state(t.state())
+    return state_ops.tracked_state(t.state)
 
 
 @query
 def list_tracked(t: Tables) -> DataFrame:
-    return state_ops.list_tracked(t.state())
+    return state_ops.list_tracked(t.state)
 
 
 def config_kv(t: Tables) -> DataFrame:
@@ -120,7 +120,7 @@ def parse_kb_files(t: Tables) -> DataFrame:
         lambda f: f.dropFields("pos"),
     )
     bodies = (
-        t.heal_remote()
+        t.heal_remote
         .groupBy("kb_id", page.alias("first_pos"))
         .agg(F.to_json(F.struct(files.alias("files"))).alias("body"))
     )
@@ -149,57 +149,57 @@ def parse_kb_catalog(t: Tables) -> DataFrame:
 
 @query
 def upsert_state(t: Tables) -> DataFrame:
-    delivered = t.disk().select(
+    delivered = t.disk.select(
         "kb_id",
         "file_key",
         F.col("path").alias("absolute_path"),
         "content_hash",
         F.concat(F.lit("up-"), "filename").alias("remote_file_id"),
     )
-    return state_ops.upsert_state(t.state(), delivered)
+    return state_ops.upsert_state(t.state, delivered)
 
 
 @query
 def delete_state(t: Tables) -> DataFrame:
-    return state_ops.delete_state(t.state(), orphans_(t))
+    return state_ops.delete_state(t.state, orphans_(t))
 
 
 @query
 def set_context(t: Tables) -> DataFrame:
     """Every file gets a note, and every labelled document a later one."""
-    docs = t.document_files().join(t.read("labels"), "doc_id")
+    docs = t.document_files.join(t.read("labels"), "doc_id")
     later = docs.select(
         "kb_id",
         S.file_key(F.col("path")).alias("file_key"),
         F.expr("concat('quality ', quality)").alias("context_text"),
         F.lit(2).alias("seq"),
     )
-    first = t.disk().select(
+    first = t.disk.select(
         "kb_id", "file_key", F.col("filename").alias("context_text"), F.lit(1).alias("seq")
     )
-    return state_ops.set_context(t.state(), first.unionByName(later))
+    return state_ops.set_context(t.state, first.unionByName(later))
 
 
 @query
 def tracked_keys(t: Tables) -> DataFrame:
-    return state_ops.tracked_keys(t.disk().select("kb_id", "file_key", "path"), t.state())
+    return state_ops.tracked_keys(t.disk.select("kb_id", "file_key", "path"), t.state)
 
 
 @query
 def tracked_key_count(t: Tables) -> DataFrame:
-    return reports.tracked_key_count(t.state())
+    return reports.tracked_key_count(t.state)
 
 
 @query
 def sizing_tier(t: Tables) -> DataFrame:
-    return reports.sizing_tier(t.state())
+    return reports.sizing_tier(t.state)
 
 
 # Filters
 
 
 def names(t: Tables) -> DataFrame:
-    return t.disk().select("kb_id", "path", "rel_path", "filename", "kind")
+    return t.disk.select("kb_id", "path", "rel_path", "filename", "kind")
 
 
 @query
@@ -219,7 +219,7 @@ def filter_extension(t: Tables) -> DataFrame:
 
 @query
 def filter_ragignore(t: Tables) -> DataFrame:
-    return filters.drop_ragignored(names(t), t.patterns()).select("kb_id", "path")
+    return filters.drop_ragignored(names(t), t.patterns).select("kb_id", "path")
 
 
 @query
@@ -236,14 +236,14 @@ def prefix_patterns(t: Tables) -> DataFrame:
 
 @query
 def filter_disposition(t: Tables) -> DataFrame:
-    return filters.filter_disposition(names(t), t.patterns()).select(
+    return filters.filter_disposition(names(t), t.patterns).select(
         "kb_id", "path", "disposition", "is_filtered"
     )
 
 
 @query
 def filter_summary(t: Tables) -> DataFrame:
-    return reports.filter_summary(filters.filter_disposition(names(t), t.patterns()))
+    return reports.filter_summary(filters.filter_disposition(names(t), t.patterns))
 
 
 @query
@@ -263,8 +263,8 @@ def search_paths(t: Tables) -> DataFrame:
 
 @query
 def verify_hash(t: Tables) -> DataFrame:
-    stored = t.state().select("kb_id", "file_key", F.col("content_hash").alias("stored"), "context_dirty")
-    joined = t.disk().join(stored, ["kb_id", "file_key"], "left")
+    stored = t.state.select("kb_id", "file_key", F.col("content_hash").alias("stored"), "context_dirty")
+    joined = t.disk.join(stored, ["kb_id", "file_key"], "left")
     ok = P.verify_hash(F.col("stored"), F.col("content_hash"), F.col("context_dirty"))
     return joined.select("kb_id", "path", ok.alias("verified"))
 
@@ -274,7 +274,7 @@ def verify_hash(t: Tables) -> DataFrame:
 
 @query
 def content_hash(t: Tables) -> DataFrame:
-    return t.contents().select("kb_id", "path", S.content_hash(F.col("text")).alias("content_hash"))
+    return t.contents.select("kb_id", "path", S.content_hash(F.col("text")).alias("content_hash"))
 
 
 @query
@@ -303,7 +303,7 @@ def ext_to_lang(t: Tables) -> DataFrame:
 
 @query
 def upload_filename(t: Tables) -> DataFrame:
-    return ingest.with_convert(names(t), t.config()).select(
+    return ingest.with_convert(names(t), t.config).select(
         "kb_id", "path", S.upload_filename(F.col("filename"), F.col("convert")).alias("upload_filename")
     )
 
@@ -312,12 +312,12 @@ def upload_filename(t: Tables) -> DataFrame:
 def markdown_fence(t: Tables) -> DataFrame:
     lang = S.ext_to_lang(S.file_name(F.col("path")))
     fenced = S.markdown_fence(F.col("text"), lang)
-    return t.contents().select("kb_id", "path", fenced.alias("fenced"))
+    return t.contents.select("kb_id", "path", fenced.alias("fenced"))
 
 
 @query
 def context_header(t: Tables) -> DataFrame:
-    labelled = t.state().join(F.broadcast(t.config()), "kb_id", "left")
+    labelled = t.state.join(F.broadcast(t.config), "kb_id", "left")
     header = S.context_header(F.col("context_text"), F.col("context_header_label"))
     return labelled.select("kb_id", "file_key", header.alias("header"))
 
@@ -373,24 +373,24 @@ def normalize_base_url(t: Tables) -> DataFrame:
 
 @query
 def filename_index(t: Tables) -> DataFrame:
-    return reconcile.filename_index(t.heal_inventory())
+    return reconcile.filename_index(t.heal_inventory)
 
 
 @query
 def first_local_path(t: Tables) -> DataFrame:
-    return reconcile.first_local_path(t.heal_inventory())
+    return reconcile.first_local_path(t.heal_inventory)
 
 
 @query
 def reconcile_match(t: Tables) -> DataFrame:
-    return reconcile.reconcile_match(t.heal_inventory(), t.heal_remote()).select(
+    return reconcile.reconcile_match(t.heal_inventory, t.heal_remote).select(
         "kb_id", "pos", "remote_file_id", "filename", "first_path"
     )
 
 
 @query
 def reconcile_heals(t: Tables) -> DataFrame:
-    return reconcile.heal_log(t.heal_inventory(), t.heal_state(), t.heal_remote())
+    return reconcile.heal_log(t.heal_inventory, t.heal_state, t.heal_remote)
 
 
 @query
@@ -399,7 +399,7 @@ def heal_summary(t: Tables) -> DataFrame:
 
 
 def reconcile_(t: Tables) -> DataFrame:
-    state, _ = reconcile.reconcile(t.heal_inventory(), t.heal_state(), t.heal_remote())
+    state, _ = reconcile.reconcile(t.heal_inventory, t.heal_state, t.heal_remote)
     return state
 
 
@@ -408,48 +408,48 @@ REGISTRY["reconcile"] = lambda spark, sf_dir: reconcile_(Tables(spark, sf_dir))
 
 @query
 def untracked_remote(t: Tables) -> DataFrame:
-    return reconcile.untracked_remote(t.remote(), t.disk(), t.state())
+    return reconcile.untracked_remote(t.remote, t.disk, t.state)
 
 
 @query
 def kb_file_counts(t: Tables) -> DataFrame:
-    return reports.kb_file_counts(t.remote())
+    return reports.kb_file_counts(t.remote)
 
 
 # Ingestion and cleanup
 
 
 def accepted(t: Tables) -> DataFrame:
-    return filters.filter_disposition(t.disk(), t.patterns()).filter("disposition = 'accepted'")
+    return filters.filter_disposition(t.disk, t.patterns).filter("disposition = 'accepted'")
 
 
 @query
 def classify_files(t: Tables) -> DataFrame:
     files = accepted(t).select("kb_id", "file_key", "path", "content_hash")
-    return ingest.classify_files(files, t.state()).select(
+    return ingest.classify_files(files, t.state).select(
         "kb_id", "file_key", "path", "action", "delete_remote_id"
     )
 
 
 @query
 def ingest_plan(t: Tables) -> DataFrame:
-    return ingest.plan_ingest(accepted(t), t.state(), t.config())
+    return ingest.plan_ingest(accepted(t), t.state, t.config)
 
 
 @query
 def upload_collisions(t: Tables) -> DataFrame:
     """Documents under their source name and type, which repeat once converted."""
     files = accepted(t).withColumn("filename", F.regexp_replace("filename", "_[0-9]+", ""))
-    named = ingest.with_convert(files, t.config()).withColumn(
+    named = ingest.with_convert(files, t.config).withColumn(
         "upload_filename", S.upload_filename(F.col("filename"), F.col("convert"))
     )
     return ingest.upload_collisions(named)
 
 
 def payload_rows(t: Tables) -> DataFrame:
-    plan = payload.due(ingest.plan_ingest(accepted(t), t.state(), t.config()))
-    headed = payload.with_header(payload.with_context(plan, t.state()), t.config())
-    contents = t.contents().select("kb_id", "path", F.col("text").cast("binary").alias("content"))
+    plan = payload.due(ingest.plan_ingest(accepted(t), t.state, t.config))
+    headed = payload.with_header(payload.with_context(plan, t.state), t.config)
+    contents = t.contents.select("kb_id", "path", F.col("text").cast("binary").alias("content"))
     return payload.build_payload(payload.attach_content(headed, contents))
 
 
@@ -468,11 +468,11 @@ def chunk_payloads(t: Tables) -> DataFrame:
 
 @query
 def orphans_missing(t: Tables) -> DataFrame:
-    return orphans.orphans_missing(t.state(), t.disk())
+    return orphans.orphans_missing(t.state, t.disk)
 
 
 def orphans_(t: Tables) -> DataFrame:
-    return orphans.find_orphans(t.state(), t.disk(), t.patterns(), t.roots())
+    return orphans.find_orphans(t.state, t.disk, t.patterns, t.roots)
 
 
 REGISTRY["orphans"] = lambda spark, sf_dir: orphans_(Tables(spark, sf_dir))
@@ -482,7 +482,7 @@ REGISTRY["orphans"] = lambda spark, sf_dir: orphans_(Tables(spark, sf_dir))
 
 
 def frame(t: Tables) -> DataFrame:
-    return sync.sync_frame(t.disk(), t.state(), t.remote(), t.patterns())
+    return sync.sync_frame(t.disk, t.state, t.remote, t.patterns)
 
 
 @query
@@ -512,12 +512,12 @@ def sync_summary(t: Tables) -> DataFrame:
 @query
 def sync_actions(t: Tables) -> DataFrame:
     """Heals, ingest decisions and orphans of the three phases as one log."""
-    healed = reconcile.healed_rows(t.disk(), t.state(), t.remote())
-    state = state_ops.upsert_state(t.state(), healed)
+    healed = reconcile.healed_rows(t.disk, t.state, t.remote)
+    state = state_ops.upsert_state(t.state, healed)
     plan = ingest.classify_files(
         accepted(t).select("kb_id", "file_key", "path", "content_hash"), state
     )
-    dropped = orphans.find_orphans(state, t.disk(), t.patterns(), t.roots())
+    dropped = orphans.find_orphans(state, t.disk, t.patterns, t.roots)
     parts = [
         healed.select("kb_id", "file_key", F.lit("HEAL").alias("action"), "remote_file_id"),
         plan.select("kb_id", "file_key", "action", F.col("delete_remote_id").alias("remote_file_id")),
@@ -533,7 +533,7 @@ def sync_actions(t: Tables) -> DataFrame:
 
 
 def listing(t: Tables) -> DataFrame:
-    return contexts.context_listing(t.disk(), t.state(), t.patterns())
+    return contexts.context_listing(t.disk, t.state, t.patterns)
 
 
 @query
@@ -565,7 +565,7 @@ def pager_window(t: Tables) -> DataFrame:
 
 @query
 def get_context(t: Tables) -> DataFrame:
-    return contexts.get_context(t.state(), t.config(), names(t).select("kb_id", "path"))
+    return contexts.get_context(t.state, t.config, names(t).select("kb_id", "path"))
 
 
 # Delivery logs
@@ -573,24 +573,24 @@ def get_context(t: Tables) -> DataFrame:
 
 @query
 def delivery_outcome(t: Tables) -> DataFrame:
-    return delivery.delivery_outcome(t.attempts())
+    return delivery.delivery_outcome(t.attempts)
 
 
 @query
 def delivery_backoff(t: Tables) -> DataFrame:
-    return delivery.delivery_backoff(t.attempts())
+    return delivery.delivery_backoff(t.attempts)
 
 
 @query
 def poll_outcome(t: Tables) -> DataFrame:
     decided = F.coalesce("decided_at", F.lit(-1)).alias("decided_at")
-    return delivery.poll_outcome(t.polls()).select("file_id", "outcome", decided)
+    return delivery.poll_outcome(t.polls).select("file_id", "outcome", decided)
 
 
 @query
 def committable_uploads(t: Tables) -> DataFrame:
-    uploads = t.attempts().withColumn("code", F.expr("IF(code = 400, 201, code)"))
-    attaches = t.attempts().withColumn("code", F.expr("IF(seq % 3 = 0, 503, 200)"))
-    polls = t.polls().withColumn("status", F.expr("IF(status = 'failed', 'pending', status)"))
+    uploads = t.attempts.withColumn("code", F.expr("IF(code = 400, 201, code)"))
+    attaches = t.attempts.withColumn("code", F.expr("IF(seq % 3 = 0, 503, 200)"))
+    polls = t.polls.withColumn("status", F.expr("IF(status = 'failed', 'pending', status)"))
     by_file = [delivery.delivery_outcome(a).withColumnRenamed("request_id", "file_id") for a in (uploads, attaches)]
     return delivery.committable_uploads(by_file[0], delivery.poll_outcome(polls), by_file[1])

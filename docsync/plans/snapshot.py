@@ -50,7 +50,9 @@ class SnapshotStore:
             return self.version()
         version = self.version() + 1
         location = f"snapshots/v{version}-{uuid.uuid4().hex}"
-        state.select(*self.columns).write.parquet(f"{self.path}/{location}")
+        # Sorted, so that reading one knowledge base skips row groups of the others.
+        ordered = state.select(*self.columns).sortWithinPartitions("kb_id", "file_key")
+        ordered.write.parquet(f"{self.path}/{location}")
         row = self.spark.createDataFrame([(version, tag, location)], COMMIT)
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
         return version

@@ -73,7 +73,7 @@ def stage_tree(
 def spread(files: DataFrame) -> DataFrame:
     """Deal files out evenly before they are opened: a walk leaves one large directory
     in one partition, and reading costs far more than moving a path."""
-    return files.repartition("file_key")
+    return doctree.deal_out(files, "file_key", files.count(), doctree.FILES_PER_TASK)
 
 
 def read_spread(files: DataFrame) -> DataFrame:

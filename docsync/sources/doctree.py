@@ -23,6 +23,8 @@ from docsync.schemas import LISTING
 READ_BUFFER = 1 << 20
 BATCH_BYTES = 64 << 20
 SLICE_ENTRIES = 50_000
+DIRECTORIES_PER_TASK = 500
+FILES_PER_TASK = 5_000
 LEVEL_COLUMNS = ["kb_id", "root", "path", "rel_path", "filename", "kind"]
 
 
@@ -169,6 +171,17 @@ def scan_inventory(spark: SparkSession, root: str, kb_id: str) -> DataFrame:
     return files.withColumn("file_key", S.file_key(F.col("path"), F.col("filename")))
 
 
+def deal_out(df: DataFrame, key: str, rows: int, per_task: int) -> DataFrame:
+    """Spread rows that each stand for file work over tasks of at most about `per_task`.
+
+    The number of partitions is stated: left to itself, Spark merges partitions by their
+    size in bytes, and a million paths are few bytes but much work.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(rows, max(4 * cores, rows // per_task + 1)))
+    return df.repartition(tasks, key)
+
+
 def scan_levels(spark: SparkSession, root: str, kb_id: str, work_dir: str) -> DataFrame:
     """`scan_inventory` for trees of any shape, without length and time.
 
@@ -190,14 +203,14 @@ def scan_levels(spark: SparkSession, root: str, kb_id: str, work_dir: str) -> Da
 
     schema = ", ".join(f"{c} string" for c in LEVEL_COLUMNS)
     level = spark.createDataFrame([(base,)], "path string")
+    n_directories = 1
     paths: list[str] = []
-    while True:
+    while n_directories:
         paths.append(f"{work_dir.rstrip('/')}/level={len(paths)}")
-        level.select("path").repartition("path").mapInArrow(list_level, schema).write.parquet(paths[-1])
-        listed = spark.read.schema(schema).parquet(paths[-1])
-        level = listed.filter("kind = 'dir'")
-        if level.isEmpty():
-            break
+        dealt = deal_out(level.select("path"), "path", n_directories, DIRECTORIES_PER_TASK)
+        dealt.mapInArrow(list_level, schema).write.parquet(paths[-1])
+        level = spark.read.schema(schema).parquet(paths[-1]).filter("kind = 'dir'")
+        n_directories = level.count()
     files = spark.read.schema(schema).parquet(*paths).filter("kind = 'file'")
     return files.withColumn("file_key", S.file_key(F.col("path"), F.col("filename")))
 

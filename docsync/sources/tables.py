@@ -6,6 +6,8 @@ type, folder, whether the stored hash is stale, and so on.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,18 @@ CONFIG_ROWS = """
 """
 
 
+# Columns of the tables in use; stating them saves a job per read.
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+}
+
+
 class Tables:
     """The given tables of one directory, read on demand."""
 
@@ -31,8 +45,9 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
     def document_files(self) -> DataFrame:
         folder = "CASE WHEN doc_id % 23 = 0 THEN 'drafts/' WHEN doc_id % 29 = 0 THEN '.cache/' ELSE '' END"
         kinds = "array('md','txt','py','json','pdf','png','PY','yaml','log','cfg')"
@@ -44,6 +59,7 @@ class Tables:
             "doc_id",
         )
 
+    @cached_property
     def contents(self) -> DataFrame:
         """(kb_id, path, text) of every file on disk."""
         pages = self.read("pages").select(
@@ -57,12 +73,13 @@ class Tables:
             F.expr(f"concat('{ROOT}/bench/', item_id, '/', {name})").alias("path"),
             "text",
         )
-        return self.document_files().drop("doc_id").unionByName(pages).unionByName(items)
+        return self.document_files.drop("doc_id").unionByName(pages).unionByName(items)
 
+    @cached_property
     def disk(self) -> DataFrame:
         """The listing, with keys and content hashes."""
         path = F.col("path")
-        return self.contents().select(
+        return self.contents.select(
             "kb_id",
             F.lit(ROOT).alias("root"),
             "path",
@@ -73,13 +90,14 @@ class Tables:
             S.content_hash(F.col("text")).alias("content_hash"),
         )
 
+    @cached_property
     def state(self) -> DataFrame:
         stub = F.col("doc_id") % 19 == 0
         stored = F.when(F.col("doc_id") % 7 == 0, F.sha2(F.lit("stale"), 256)).otherwise(
             S.content_hash(F.col("text"))
         )
         remote_id = F.when(F.col("doc_id") % 17 == 0, "").otherwise(F.expr("concat('fid-', doc_id)"))
-        docs = self.document_files().select(
+        docs = self.document_files.select(
             "kb_id",
             S.file_key(F.col("path")).alias("file_key"),
             F.when(~stub, F.col("path")).alias("absolute_path"),
@@ -102,8 +120,9 @@ class Tables:
         )
         return docs.unionByName(chats)
 
+    @cached_property
     def remote(self) -> DataFrame:
-        docs = self.document_files().select(
+        docs = self.document_files.select(
             "kb_id",
             F.col("doc_id").alias("pos"),
             F.expr("concat('fid-', doc_id)").alias("remote_file_id"),
@@ -117,13 +136,16 @@ class Tables:
         )
         return docs.unionByName(chats)
 
+    @cached_property
     def patterns(self) -> DataFrame:
         return self.spark.sql(f"SELECT * FROM VALUES {PATTERN_ROWS} AS t(kb_id, line_no, pattern)")
 
+    @cached_property
     def config(self) -> DataFrame:
         names = "kb_id, target_directory, context_header_label, max_concurrent_uploads, convert_to_markdown"
         return self.spark.sql(f"SELECT * FROM VALUES {CONFIG_ROWS} AS t({names})")
 
+    @cached_property
     def roots(self) -> DataFrame:
         kbs = "('en'), ('fr'), ('de'), ('es'), ('web'), ('bench'), ('chat')"
         return self.spark.sql(f"SELECT kb_id, '{ROOT}' AS root FROM VALUES {kbs} AS t(kb_id)")
@@ -131,6 +153,7 @@ class Tables:
     # One knowledge base whose listing repeats names: files from documents, the
     # remote listing from events.
 
+    @cached_property
     def heal_inventory(self) -> DataFrame:
         name = F.expr("concat('n_', doc_id div 2, '.md')")
         rows = self.read("documents").select(
@@ -145,10 +168,11 @@ class Tables:
             "file_key", S.file_key(F.col("path"), F.col("filename"))
         )
 
+    @cached_property
     def heal_state(self) -> DataFrame:
         types = "array('click','view','error','purchase','signup')"
         kind = F.expr(f"concat('rid-', {types}[CAST(doc_id % 5 AS INT)])")
-        return self.heal_inventory().select(
+        return self.heal_inventory.select(
             "kb_id",
             "file_key",
             F.col("path").alias("absolute_path"),
@@ -158,6 +182,7 @@ class Tables:
             (F.col("doc_id") % 11 == 0).alias("context_dirty"),
         )
 
+    @cached_property
     def heal_remote(self) -> DataFrame:
         return self.read("events").select(
             F.lit("main").alias("kb_id"),
@@ -168,6 +193,7 @@ class Tables:
 
     # Delivery logs from events.
 
+    @cached_property
     def attempts(self) -> DataFrame:
         code = F.expr(
             "CASE event_type WHEN 'click' THEN 200 WHEN 'view' THEN 500 WHEN 'error' THEN 503 "
@@ -178,6 +204,7 @@ class Tables:
             request.alias("request_id"), F.col("event_id").alias("seq"), code.alias("code")
         )
 
+    @cached_property
     def polls(self) -> DataFrame:
         status = F.expr(
             "CASE event_type WHEN 'click' THEN 'pending' WHEN 'view' THEN 'processing' "

@@ -23,10 +23,10 @@ class Document:
 
     def __init__(self, spark, sf_dir):
         t = Tables(spark, sf_dir)
-        keys = t.document_files().select(S.file_key(F.col("path")).alias("file_key"), "doc_id")
-        self.disk = t.disk().join(keys.filter("doc_id % 13 <> 0"), "file_key").drop("doc_id")
-        self.state = t.state().join(keys.filter("doc_id % 5 <> 0"), "file_key").drop("doc_id")
-        self.patterns, self.config, self.roots = t.patterns(), t.config(), t.roots()
+        keys = t.document_files.select(S.file_key(F.col("path")).alias("file_key"), "doc_id")
+        self.disk = t.disk.join(keys.filter("doc_id % 13 <> 0"), "file_key").drop("doc_id")
+        self.state = t.state.join(keys.filter("doc_id % 5 <> 0"), "file_key").drop("doc_id")
+        self.patterns, self.config, self.roots = t.patterns, t.config, t.roots
 
 
 def counts(df, column):
@@ -134,7 +134,7 @@ def test_nothing_remote_changes_nothing(spark):
     ],
 )
 def test_delivery_outcomes(spark, sf_dir, expected):
-    assert counts(delivery.delivery_outcome(Tables(spark, sf_dir).attempts()), "outcome") == expected
+    assert counts(delivery.delivery_outcome(Tables(spark, sf_dir).attempts), "outcome") == expected
 
 
 @pytest.fixture(scope="module")

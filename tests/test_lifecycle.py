@@ -7,7 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from docsync.operators import state_ops
-from docsync.plans.full_sync import run_sync
+from docsync.plans.full_sync import run_sync, write_plan
 from docsync.plans.snapshot import SnapshotStore
 from docsync.plans.tree_sync import file_keys, read_spread, stage_tree
 from docsync.schemas import REMOTE_FILES
@@ -146,6 +146,17 @@ def test_hidden_tracked_file_is_kept(rig):
     assert rig.actions(rig.sync()) == {"a.md": ("ORPHAN", "missing")}
 
 
+def test_plan_is_written_by_knowledge_base_and_action(rig, spark, tmp_path):
+    for name in ["a.md", "b.md", "c.md"]:
+        (rig.root / name).write_text(name)
+    rig.remote = None
+    frame = rig.sync().frame
+    for streams in (0, 2):
+        out = str(tmp_path / f"plan{streams}")
+        write_plan(frame, out, streams)
+        assert rows(spark.read.parquet(out).groupBy("kb_id", "action").count()) == [(KB, "NEW", 3)]
+
+
 def test_missing_root_stops_before_cleanup(rig):
     (rig.root / "a.md").write_text("a")
     rig.sync()
