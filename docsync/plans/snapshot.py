@@ -29,19 +29,22 @@ class SnapshotStore:
         except AnalysisException:
             return self.spark.createDataFrame([], COMMIT)
 
+    def _latest(self) -> tuple[int, str | None]:
+        """Version and location of the latest commit, (0, None) before the first."""
+        row = self._commits().agg(F.max(F.struct("version", "location")).alias("last")).first()
+        return (row["last"]["version"], row["last"]["location"]) if row["last"] else (0, None)
+
     def version(self) -> int:
-        """Latest committed version, 0 before the first."""
-        return self._commits().agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+        return self._latest()[0]
 
     def has_tag(self, tag: str) -> bool:
         return not self._commits().filter(F.col("tag") == tag).isEmpty()
 
-    def read(self, version: int | None = None) -> DataFrame:
-        wanted = self.version() if version is None else version
-        found = self._commits().filter(F.col("version") == wanted).first()
-        if found is None:
+    def read(self) -> DataFrame:
+        _, location = self._latest()
+        if location is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{found['location']}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{location}")
 
     def commit(self, state: DataFrame, tag: str = "") -> int:
         """Write a new version and make it the latest. A tag that is already committed
