@@ -17,7 +17,8 @@ def with_convert(files: DataFrame, config: DataFrame) -> DataFrame:
 
 
 def classify_files(files: DataFrame, state: DataFrame) -> DataFrame:
-    """Add `action` and `delete_remote_id` to hashed files, one left join on the key.
+    """Add `action`, `delete_remote_id` and the stored `context_text` to hashed files, by
+    one left join on the key.
 
     A key that is not tracked is NEW, a verified hash is SKIP, all else is UPDATE, also
     for a row that so far only carries context. A file that could not be hashed is
@@ -29,6 +30,7 @@ def classify_files(files: DataFrame, state: DataFrame) -> DataFrame:
         F.col("content_hash").alias("_hash"),
         F.col("remote_file_id").alias("_id"),
         F.col("context_dirty").alias("_dirty"),
+        "context_text",
         F.lit(True).alias("_tracked"),
     )
     action = (

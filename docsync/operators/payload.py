@@ -26,12 +26,6 @@ def with_header(plan: DataFrame, config: DataFrame) -> DataFrame:
     )
 
 
-def with_context(plan: DataFrame, state: DataFrame) -> DataFrame:
-    """Add the stored `context_text` of each planned file."""
-    texts = state.select("kb_id", "file_key", "context_text")
-    return plan.join(texts, ["kb_id", "file_key"], "left")
-
-
 def attach_content(plan: DataFrame, contents: DataFrame, plan_is_stored: bool = False) -> DataFrame:
     """Join a content table to the plan on path.
 

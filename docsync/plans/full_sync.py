@@ -121,6 +121,23 @@ def next_state(frame: DataFrame, delivered: DataFrame) -> DataFrame:
     )
 
 
+def sync_actions(frame: DataFrame) -> DataFrame:
+    """What a run does, as a log: heals, ingest decisions and orphans. A row that is healed
+    and then decided on gives two entries, both from one pass over the frame."""
+
+    def entry(when, action, remote_file_id, reason):
+        fields = {"action": action, "remote_file_id": remote_file_id, "reason": reason}
+        return F.when(when, F.struct(*[value.alias(name) for name, value in fields.items()]))
+
+    action, none = F.col("action"), F.lit(None).cast("string")
+    entries = F.array(
+        entry(F.col("healed"), F.lit("HEAL"), F.col("remote_file_id"), none),
+        entry(action.isin("NEW", "UPDATE", "SKIP", "FAILED"), action, F.col("delete_remote_id"), none),
+        entry(action == "ORPHAN", action, F.coalesce("remote_file_id", F.lit("")), F.col("reason")),
+    )
+    return frame.select(*KEY, F.inline(F.array_compact(entries)))
+
+
 def write_plan(plan: DataFrame, path: str, partitions: int = 0) -> None:
     """Write delivery work by knowledge base and action.
 

@@ -433,7 +433,7 @@ def classify_files(t: Tables) -> DataFrame:
 
 @query
 def ingest_plan(t: Tables) -> DataFrame:
-    return ingest.plan_ingest(accepted(t), t.state, t.config)
+    return ingest.plan_ingest(accepted(t), t.state, t.config).drop("context_text")
 
 
 @query
@@ -448,7 +448,7 @@ def upload_collisions(t: Tables) -> DataFrame:
 
 def payload_rows(t: Tables) -> DataFrame:
     plan = payload.due(ingest.plan_ingest(accepted(t), t.state, t.config))
-    headed = payload.with_header(payload.with_context(plan, t.state), t.config)
+    headed = payload.with_header(plan, t.config)
     contents = t.contents.select("kb_id", "path", F.col("text").cast("binary").alias("content"))
     return payload.build_payload(payload.attach_content(headed, contents))
 
@@ -511,22 +511,7 @@ def sync_summary(t: Tables) -> DataFrame:
 
 @query
 def sync_actions(t: Tables) -> DataFrame:
-    """Heals, ingest decisions and orphans of the three phases as one log."""
-    healed = reconcile.healed_rows(t.disk, t.state, t.remote)
-    state = state_ops.upsert_state(t.state, healed)
-    plan = ingest.classify_files(
-        accepted(t).select("kb_id", "file_key", "path", "content_hash"), state
-    )
-    dropped = orphans.find_orphans(state, t.disk, t.patterns, t.roots)
-    parts = [
-        healed.select("kb_id", "file_key", F.lit("HEAL").alias("action"), "remote_file_id"),
-        plan.select("kb_id", "file_key", "action", F.col("delete_remote_id").alias("remote_file_id")),
-        dropped.select("kb_id", "file_key", F.lit("ORPHAN").alias("action"), "remote_file_id", "reason"),
-    ]
-    log = parts[0]
-    for part in parts[1:]:
-        log = log.unionByName(part, allowMissingColumns=True)
-    return log
+    return sync.sync_actions(frame(t))
 
 
 # Context listing

@@ -42,3 +42,8 @@ def with_default_root(config: DataFrame) -> DataFrame:
     """A sync run falls back to the default root when none is set."""
     root = F.coalesce(F.nullif("target_directory", F.lit("")), F.lit(C.DEFAULT_ROOT))
     return config.withColumn("target_directory", root)
+
+
+def roots(config: DataFrame) -> DataFrame:
+    """The target directory of each knowledge base."""
+    return with_default_root(config).select("kb_id", F.col("target_directory").alias("root"))
