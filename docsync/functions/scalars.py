@@ -48,14 +48,8 @@ def file_key(path: Column, filename: Column | None = None) -> Column:
 
 def ext_to_lang(filename: Column) -> Column:
     """Fence language, matched with case as written; `""` when unknown."""
-    ext = file_ext(filename)
-    by_lang: dict[str, list[str]] = {}
-    for name, lang in C.FENCE_LANGUAGES.items():
-        by_lang.setdefault(lang, []).append(name)
-    out = F.lit("")
-    for lang, names in by_lang.items():
-        out = F.when(ext.isin(names), F.lit(lang)).otherwise(out)
-    return out
+    table = F.create_map(*[F.lit(v) for pair in C.FENCE_LANGUAGES.items() for v in pair])
+    return F.coalesce(F.try_element_at(table, file_ext(filename)), F.lit(""))
 
 
 def upload_filename(filename: Column, convert: Column) -> Column:

@@ -9,50 +9,41 @@ from docsync import constants as C
 from docsync.operators.skew import run_lag
 
 
-def _first_attempts(attempts: DataFrame) -> DataFrame:
-    """Codes of the first three attempts side by side, one row per request.
+def delivery_outcome(attempts: DataFrame) -> DataFrame:
+    """Outcome of each request. 2xx is success; 4xx other than 429 fails at once; a
+    network error (null code) or any other code is tried again; the third failure
+    exhausts the request and fewer leave it pending.
 
     The rank filter keeps at most three rows per request and task before the shuffle,
     so a request with any number of rows stays small.
     """
     order = Window.partitionBy("request_id").orderBy("seq")
-    firsts = attempts.select(
-        "request_id", "seq", F.coalesce("code", F.lit(0)).cast("int").alias("code")
-    )
-    tried = firsts.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= C.MAX_ATTEMPTS)
-    return tried.groupBy("request_id").agg(
-        F.count("*").cast("bigint").alias("logged"),
-        *[F.max(F.when(F.col("n") == i, F.col("code"))).alias(f"c{i}") for i in (1, 2, 3)],
-    )
-
-
-def delivery_outcome(attempts: DataFrame) -> DataFrame:
-    """Outcome of each request. 2xx is success; 4xx other than 429 fails at once; a
-    network error (null code) or any other code is tried again; the third failure
-    exhausts the request and fewer leave it pending."""
-
-    def ok(code):
-        return code.between(200, 299)
-
-    def final(code):
-        return ok(code) | (code.between(400, 499) & (code != 429))
-
-    c1, c2, c3 = (F.col(f"c{i}") for i in (1, 2, 3))
-    used = (
-        F.when(final(c1) | c2.isNull(), 1).when(final(c2) | c3.isNull(), 2).otherwise(3)
-    ).cast("bigint")
-    last = F.when(F.col("attempts_used") == 1, c1).when(F.col("attempts_used") == 2, c2).otherwise(c3)
-    outcome = (
-        F.when(ok(F.col("last_code")), "success")
-        .when(final(F.col("last_code")), "fail_fast")
-        .when(F.col("attempts_used") == C.MAX_ATTEMPTS, "exhausted")
-        .otherwise("pending")
+    code = F.col("code")
+    verdict = F.when(code.between(200, 299), "success").when(
+        code.between(400, 499) & (code != 429), "fail_fast"
     )
+    final_n = F.when(F.col("verdict").isNotNull(), F.col("n"))
     return (
-        _first_attempts(attempts)
-        .withColumn("attempts_used", used)
-        .withColumn("last_code", last.cast("bigint"))
-        .select("request_id", "attempts_used", "last_code", outcome.alias("outcome"))
+        attempts.select("request_id", "seq", F.col("code").cast("bigint").alias("code"))
+        .withColumn("n", F.row_number().over(order))
+        .filter(F.col("n") <= C.MAX_ATTEMPTS)
+        .withColumn("verdict", verdict)
+        .groupBy("request_id")
+        .agg(
+            F.count("*").alias("_logged"),
+            F.min(final_n).cast("bigint").alias("_final_n"),
+            F.min_by("verdict", final_n).alias("_verdict"),
+            F.min_by("code", final_n).alias("_final_code"),
+            F.max_by("code", "n").alias("_last_code"),
+        )
+        .select(
+            "request_id",
+            F.coalesce("_final_n", "_logged").alias("attempts_used"),
+            F.coalesce("_final_code", "_last_code").alias("last_code"),
+            F.coalesce(
+                "_verdict", F.when(F.col("_logged") == C.MAX_ATTEMPTS, "exhausted"), F.lit("pending")
+            ).alias("outcome"),
+        )
     )
 
 
