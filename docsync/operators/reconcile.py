@@ -64,7 +64,7 @@ def _heal_targets(inventory: DataFrame, state: DataFrame) -> DataFrame:
     return (
         first_local_path(inventory)
         .withColumnRenamed("first_path", "path")
-        .withColumn("file_key", S.file_key(F.col("path"), F.col("filename")))
+        .withColumn("file_key", S.file_key(F.col("path")))
         .join(stored, ["kb_id", "file_key"], "left")
         .withColumn("was_dirty", F.coalesce("was_dirty", F.lit(False)))
     )
@@ -101,7 +101,7 @@ def name_outcomes(inventory: DataFrame, remote: DataFrame) -> DataFrame:
     return (
         first_local_path(inventory)
         .join(ids, ["kb_id", "filename"])
-        .withColumn("file_key", S.file_key(F.col("first_path"), F.col("filename")))
+        .withColumn("file_key", S.file_key(F.col("first_path")))
         .select("kb_id", "file_key", "first_path", "last_id", "low_id", "high_id")
     )
 
@@ -137,7 +137,11 @@ def reconcile(
     inventory: DataFrame, state: DataFrame, remote: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Reconciled state and the log of every comparison. A knowledge base without
-    remote rows, or with a blank id, is left as it is."""
+    remote rows, or with a blank id, is left as it is.
+
+    Remote names are matched to `filename`. Where files are uploaded under converted
+    names, pass those as `filename` to have them matched too; keys come from the path.
+    """
     remote = remote.filter(F.col("kb_id") != "")
     healed = healed_rows(inventory, state, remote)
     return upsert_state(state, healed), heal_log(inventory, state, remote)

@@ -20,6 +20,7 @@ from docsync.operators import payload, reports
 from docsync.operators.filters import filter_disposition
 from docsync.operators.ingest import with_convert
 from docsync.operators.reconcile import is_settled, name_outcomes
+from docsync.operators.skew import lookup_by_kb
 from docsync.plans.snapshot import SnapshotStore
 from docsync.schemas import REMOTE_FILES
 
@@ -171,23 +172,29 @@ def run_sync(
 ) -> SyncResult:
     """Run one sync against the state in `store` and commit the outcome.
 
+    The run covers the knowledge bases `config` has a row for; `disk` must list all of
+    each. Tracked rows of others in the same store are carried over untouched.
+
     `contents` adds a `content` column to planned files, such as
-    `sources.doctree.read_contents`. `deliver` takes the payload table and returns the
+    `plans.tree_sync.read_spread`. `deliver` takes the payload table and returns the
     keys and remote ids that went through. Without a `remote` listing nothing is healed and
-    the run goes on. Decisions are written before anything is
-    delivered, so delivery and commit work from the same rows even if files change or
-    executors are lost meanwhile. The commit comes last; a run that stops before it
-    leaves the state untouched, and the next run repairs it from the remote listing.
+    the run goes on. Decisions are written before anything is delivered, so delivery and
+    commit work from the same rows even if files change or executors are lost meanwhile.
+    The commit comes last; a run that stops before it leaves the state untouched, and the
+    next run repairs it from the remote listing.
     """
-    state = store.read()
+    in_run = config.select("kb_id", F.lit(True).alias("_in_run"))
+    state = lookup_by_kb(store.read(), in_run, F.col("file_key"))
+    own = state.filter("_in_run").drop("_in_run")
+    others = state.filter("_in_run IS NULL").drop("_in_run")
     if remote is None:
         remote = store.spark.createDataFrame([], REMOTE_FILES)
-    frame = store.stage("frame", sync_frame(disk, state, remote, patterns))
+    frame = store.stage("frame", sync_frame(disk, own, remote, patterns))
     due = with_convert(payload.due(frame), config).withColumn(
         "upload_filename", S.upload_filename(F.col("filename"), F.col("convert"))
     )
     bodies = payload.build_payload(contents(payload.with_header(due, config)))
     payloads = store.stage("payloads", bodies)
     delivered = store.stage("delivered", deliver(payloads))
-    store.commit(next_state(frame, delivered), tag)
+    store.commit(next_state(frame, delivered).unionByName(others), tag)
     return SyncResult(frame, payloads, store.read(), reports.sync_summary(frame))

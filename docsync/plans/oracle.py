@@ -5,6 +5,8 @@ Written phase by phase, so that it shares no shortcut with the DataFrame plans.
 
 from __future__ import annotations
 
+import re
+
 from docsync import constants as C
 from docsync.plans.queries import SEARCH
 from docsync.sources.tables import CONFIG_ROWS, PATTERN_ROWS
@@ -476,8 +478,6 @@ BODY: dict[str, str] = {
 
 def _needs(text: str, known: dict[str, str]) -> list[str]:
     """Names of the shared parts that `text` reads, directly or through one another."""
-    import re
-
     found: list[str] = []
     for name in re.findall(r"(?:FROM|JOIN)\s+(\w+)", text):
         if name in known and name not in found:

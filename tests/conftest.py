@@ -24,8 +24,6 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    if session.sparkContext.getCheckpointDir() is None and not session.conf.get("spark.checkpoint.dir", ""):
-        session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
 

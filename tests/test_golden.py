@@ -118,6 +118,17 @@ def test_heals_equal_one_by_one_application(spark, monkeypatch, sf_dir, n_heals,
     assert {r["file_key"]: r["remote_file_id"] for r in healed.collect()} == ids
 
 
+def test_converted_names_can_be_matched(spark):
+    local, state, _ = reconciliation(spark, SMALL)
+    code = local.withColumn("path", F.concat("path", F.lit(".py"))).withColumn("filename", F.lit("unused"))
+    code = code.withColumn("file_key", S.file_key(F.col("path")))
+    uploaded = code.withColumn("filename", F.concat(S.file_stem(S.file_name(F.col("path"))), F.lit(".up")))
+    remote = uploaded.select("kb_id", "doc_id", "filename", F.lit("rid").alias("remote_file_id")).withColumn("pos", F.col("doc_id"))
+    healed, _ = reconcile.reconcile(uploaded, state.limit(0), remote)
+    first = uploaded.groupBy("filename").agg(F.min("path").alias("path"))
+    assert rows(healed.select("file_key")) == rows(first.select(S.file_key(F.col("path"))))
+
+
 def test_nothing_remote_changes_nothing(spark):
     local, state, remote = reconciliation(spark, SMALL)
     healed, log = reconcile.reconcile(local, state, remote.limit(0))

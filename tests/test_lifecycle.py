@@ -6,11 +6,12 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from docsync.functions.predicates import is_visible
 from docsync.operators import state_ops
 from docsync.plans.full_sync import run_sync, write_plan
 from docsync.plans.snapshot import SnapshotStore
 from docsync.plans.tree_sync import file_keys, read_spread, stage_tree
-from docsync.schemas import REMOTE_FILES
+from docsync.schemas import REMOTE_FILES, SYNC_STATE
 from docsync.sources import doctree
 from docsync.sources.ragignore import load_ragignore
 
@@ -157,6 +158,31 @@ def test_plan_is_written_by_knowledge_base_and_action(rig, spark, tmp_path):
         assert rows(spark.read.parquet(out).groupBy("kb_id", "action").count()) == [(KB, "NEW", 3)]
 
 
+def test_two_trees_in_one_run_and_a_third_left_alone(rig, spark, tmp_path):
+    foreign = [("kb-9", "key_z.md", "/z.md", "h", "r", "note", False)]
+    rig.store.commit(spark.createDataFrame(foreign, SYNC_STATE))
+    second = tmp_path / "second"
+    second.mkdir()
+    for root in (rig.root, second):
+        (root / "same.md").write_text("x")
+    config = spark.createDataFrame(
+        [(KB, "", False), ("kb-2", "", False)],
+        "kb_id string, context_header_label string, convert_to_markdown boolean",
+    )
+    patterns = load_ragignore(spark, str(rig.root), KB)
+    disk = stage_tree(rig.store, str(rig.root), KB, patterns).unionByName(
+        stage_tree(rig.store, str(second), "kb-2", patterns)
+    )
+
+    def deliver(payloads):
+        return payloads.select("kb_id", "file_key", F.lit("id").alias("remote_file_id"))
+
+    result = run_sync(rig.store, disk, None, patterns, config, read_spread, deliver)
+    assert rows(result.summary) == [(KB, "NEW", "", 1), ("kb-2", "NEW", "", 1)]
+    assert rows(result.state.groupBy("kb_id").count()) == [(KB, 1), ("kb-2", 1), ("kb-9", 1)]
+    assert rows(result.state.filter("kb_id = 'kb-9'")) == foreign
+
+
 def test_missing_root_stops_before_cleanup(rig):
     (rig.root / "a.md").write_text("a")
     rig.sync()
@@ -210,6 +236,12 @@ def test_scan_levels_finds_the_same_files(spark, odd_tree, tmp_path):
     assert rows(found.select("file_key")) == rows(keys)
 
 
+def test_pruning_equals_filtering(spark, odd_tree):
+    everything = doctree.scan_tree(spark, str(odd_tree), KB, hidden="keep")
+    visible = everything.filter(is_visible(F.col("rel_path"))).select("path")
+    assert rows(visible) == rows(doctree.scan_inventory(spark, str(odd_tree), KB).select("path"))
+
+
 def test_scan_tree_keeps_everything_on_request(spark, odd_tree):
     found = doctree.scan_tree(spark, str(odd_tree), KB, hidden="keep", kinds="all")
     kinds = {r["rel_path"]: r["kind"] for r in found.collect()}
