@@ -53,8 +53,8 @@ def stage_tree(
 ) -> DataFrame:
     """The listing of `root` that a run decides on, written once with content hashes.
 
-    Listing and hashing are input/output, so each happens exactly once per run: the walk
-    is stored first, and only accepted files are then opened and hashed.
+    Listing, probing and hashing are input/output, so each happens exactly once per run
+    and its result is stored. Only accepted files are opened and hashed.
     """
     root = os.path.realpath(root)
     if scanned is None:
@@ -63,7 +63,9 @@ def stage_tree(
     tracked = tracked_state(store.read()).filter(F.col("kb_id") == kb_id)
     unlisted = tracked.join(files.select("kb_id", "file_key"), ["kb_id", "file_key"], "left_anti")
     disk = files.unionByName(probe_paths(unlisted, root))
-    judged = filter_disposition(disk, patterns).select(*LISTED, "disposition")
+    judged = store.stage(
+        "judged", filter_disposition(disk, patterns).select(*LISTED, "disposition")
+    )
     accepted = F.col("disposition") == "accepted"
     hashed = doctree.hash_files(spread(judged.filter(accepted)).select(*LISTED))
     rest = judged.filter(~accepted).select(*LISTED, F.lit(None).cast("string").alias("content_hash"))

@@ -10,6 +10,7 @@ import hashlib
 import os
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,12 +29,21 @@ FILES_PER_TASK = 5_000
 LEVEL_COLUMNS = ["kb_id", "root", "path", "rel_path", "filename", "kind"]
 
 
+class Step(NamedTuple):
+    """One directory to list, with its subtree when `deep`. Of a directory split into
+    `slices`, only entries whose name hashes to `slice`."""
+
+    directory: str
+    deep: bool
+    slice: int = 0
+    slices: int = 1
+
+
 class Walk(InputPartition):
-    """Part of a walk: one directory, and its subtree when `deep`. Of a directory split
-    into `slices`, entries whose name hashes to `slice` belong to this part."""
+    """The steps one task takes."""
 
-    def __init__(self, directory: str, deep: bool, slice: int = 0, slices: int = 1):
-        self.directory, self.deep, self.slice, self.slices = directory, deep, slice, slices
+    def __init__(self, steps: list[Step]):
+        self.steps = steps
 
 
 def _entries(directory: str) -> list[os.DirEntry]:
@@ -81,46 +91,52 @@ class DocTreeReader(DataSourceReader):
         self.kb_id = options.get("kb_id", "")
         self.prune_hidden = options.get("hidden", "prune") == "prune"
         self.files_only = options.get("kinds", "files") == "files"
-        self.min_parts = int(options.get("partitions", "64"))
+        self.tasks = int(options.get("partitions", "64"))
 
     def _keeps(self, name: str) -> bool:
         return not (self.prune_hidden and name.startswith("."))
 
     def partitions(self) -> list[Walk]:
-        """Open directories level by level until there are enough subtrees to share
-        out. A directory with very many entries is itself cut into slices."""
-        parts: list[Walk] = []
+        """Open directories level by level until there are enough subtrees to share out,
+        then deal them to the tasks in turn. A directory with very many entries is
+        itself cut into slices."""
+        steps: list[Step] = []
         level = [self.root]
-        while level and len(parts) + len(level) < self.min_parts:
+        while level and len(steps) + len(level) < self.tasks:
             below: list[str] = []
             for directory in level:
                 entries = _entries(directory)
                 slices = len(entries) // SLICE_ENTRIES + 1
-                parts += [Walk(directory, False, i, slices) for i in range(slices)]
+                steps += [Step(directory, False, i, slices) for i in range(slices)]
                 below += [e.path for e in entries if self._keeps(e.name) and _is_dir(e)]
             level = below
-        return parts + [Walk(directory, True) for directory in level]
+        steps += [Step(directory, True) for directory in level]
+        return [Walk(steps[i :: self.tasks]) for i in range(min(self.tasks, len(steps)))]
 
     def read(self, part: Walk) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        pending = [part.directory]
+        for step in part.steps:
+            for row in self._walk(step):
+                rows.append(row)
+                if len(rows) >= 10_000:
+                    yield self._batch(rows)
+                    rows = []
+        if rows:
+            yield self._batch(rows)
+
+    def _walk(self, step: Step) -> Iterator[tuple]:
+        pending = [step.directory]
         while pending:
             for entry in _entries(pending.pop()):
                 if not self._keeps(entry.name):
                     continue
-                if part.deep and _is_dir(entry):
+                if step.deep and _is_dir(entry):
                     pending.append(entry.path)
-                if part.slices > 1:
-                    if zlib.crc32(os.fsencode(entry.name)) % part.slices != part.slice:
-                        continue
+                if step.slices > 1 and zlib.crc32(os.fsencode(entry.name)) % step.slices != step.slice:
+                    continue
                 row = self._row(entry)
                 if row is not None:
-                    rows.append(row)
-                if len(rows) >= 10_000:
-                    yield self._batch(rows)
-                    rows = []
-        if rows:
-            yield self._batch(rows)
+                    yield row
 
     def _row(self, entry: os.DirEntry) -> tuple | None:
         try:
@@ -160,7 +176,7 @@ def scan_tree(
     """Entries below `root`. `hidden="keep"` and `kinds="all"` give the listing that
     existence is tested against."""
     spark.dataSource.register(DocTree)
-    parts = max(64, 4 * spark.sparkContext.defaultParallelism)
+    parts = 4 * spark.sparkContext.defaultParallelism
     reader = spark.read.format("doctree").option("kb_id", kb_id).option("partitions", parts)
     return reader.option("hidden", hidden).option("kinds", kinds).load(root)
 
