@@ -66,23 +66,22 @@ def run_lag(
     """
     lags = [f"{column}_lag{i}" for i in range(1, depth + 1)]
     run = run_number(order, width)
-    group = Window.partitionBy(*keys, "_run")
-    ordered = group.orderBy(order)
+    ordered = Window.partitionBy(*keys, "_run").orderBy(order)
     runs = (
         df.withColumn("_run", run)
         .withColumn("_from_start", F.row_number().over(ordered))
-        .withColumn("_run_rows", F.count("*").over(group))
+        .withColumn("_ahead", F.lead(order, depth).over(ordered))
     )
     for i, name in enumerate(lags, 1):
         runs = runs.withColumn(name, F.lag(column, i).over(ordered))
     head = F.col("_from_start") <= depth
-    tail = F.col("_from_start") > F.col("_run_rows") - depth
+    tail = F.col("_ahead").isNull()
     across = Window.partitionBy(*keys).orderBy(order)
     borders = runs.filter(head | tail)
     for i, name in enumerate(lags, 1):
         borders = borders.withColumn(name, F.lag(column, i).over(across))
     out = runs.filter(~head).unionByName(borders.filter(head))
-    return out.drop("_run", "_from_start", "_run_rows")
+    return out.drop("_run", "_from_start", "_ahead")
 
 
 def range_number(value: Column, splits: list[str]) -> Column:
