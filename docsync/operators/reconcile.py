@@ -42,7 +42,8 @@ def _on_name(remote: DataFrame, targets: DataFrame) -> DataFrame:
     list left on the name before the run began.
     """
     rows = remote.withColumn("_run", run_number("pos"))
-    runs = rows.groupBy("kb_id", "filename", "_run").agg(F.max_by("remote_file_id", "pos").alias("_last"))
+    last = F.max_by("remote_file_id", "pos").alias("_last")
+    runs = rows.groupBy("kb_id", "filename", "_run").agg(last)
     by_name = Window.partitionBy("kb_id", "filename").orderBy("_run")
     carried = runs.withColumn("carried_id", F.lag("_last").over(by_name)).drop("_last")
     laid_out = carried.join(targets, ["kb_id", "filename"])

@@ -577,5 +577,10 @@ def committable_uploads(t: Tables) -> DataFrame:
     uploads = t.attempts.withColumn("code", F.expr("IF(code = 400, 201, code)"))
     attaches = t.attempts.withColumn("code", F.expr("IF(seq % 3 = 0, 503, 200)"))
     polls = t.polls.withColumn("status", F.expr("IF(status = 'failed', 'pending', status)"))
-    by_file = [delivery.delivery_outcome(a).withColumnRenamed("request_id", "file_id") for a in (uploads, attaches)]
-    return delivery.committable_uploads(by_file[0], delivery.poll_outcome(polls), by_file[1])
+
+    def by_file(attempts: DataFrame) -> DataFrame:
+        return delivery.delivery_outcome(attempts).withColumnRenamed("request_id", "file_id")
+
+    return delivery.committable_uploads(
+        by_file(uploads), delivery.poll_outcome(polls), by_file(attaches)
+    )

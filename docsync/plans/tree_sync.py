@@ -30,7 +30,8 @@ def probe_paths(tracked: DataFrame, root: str) -> DataFrame:
 
     def existing(batches):
         for batch in batches:
-            found = batch.filter(pa.array([os.path.exists(p) for p in batch.column("absolute_path").to_pylist()]))
+            exists = [os.path.exists(p) for p in batch.column("absolute_path").to_pylist()]
+            found = batch.filter(pa.array(exists, pa.bool_()))
             paths = found.column("absolute_path").to_pylist()
             columns = {
                 "kb_id": found.column("kb_id"),

@@ -34,7 +34,11 @@ def resolve_config(kv: DataFrame, names: dict[str, str] | None = None) -> DataFr
 
 def config_rows(config: DataFrame) -> DataFrame:
     """A typed config as the (kb_id, field, value) rows it is stored as."""
-    cells = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in C.CONFIG_FIELDS]
+
+    def cell(field: str):
+        return F.struct(F.lit(field).alias("field"), F.col(field).cast("string").alias("value"))
+
+    cells = [cell(f) for f in C.CONFIG_FIELDS]
     return config.select("kb_id", F.inline(F.array(*cells)))
 
 

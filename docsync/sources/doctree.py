@@ -261,6 +261,10 @@ def read_contents(files: DataFrame) -> DataFrame:
     """Add `content`, the bytes of each path; a file that cannot be read gives no row.
     Output batches are cut by bytes, so memory follows the largest file."""
 
+    def with_content(batch, picked, held):
+        rows = batch.take(pa.array(picked, pa.int64()))
+        return rows.append_column("content", pa.array(held, pa.binary()))
+
     def contents(batches):
         for batch in batches:
             held, size, picked = [], 0, []
@@ -274,9 +278,9 @@ def read_contents(files: DataFrame) -> DataFrame:
                 picked.append(row)
                 size += len(data)
                 if size >= BATCH_BYTES:
-                    yield batch.take(pa.array(picked)).append_column("content", pa.array(held, pa.binary()))
+                    yield with_content(batch, picked, held)
                     held, size, picked = [], 0, []
             if held:
-                yield batch.take(pa.array(picked)).append_column("content", pa.array(held, pa.binary()))
+                yield with_content(batch, picked, held)
 
     return files.mapInArrow(contents, _plus(files, "content", T.BinaryType()))

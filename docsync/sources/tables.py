@@ -20,7 +20,7 @@ PATTERN_ROWS = """
     ('web', 1L, 'page_1'), ('web', 2L, '9.html'), ('bench', 1L, 'no-such-name')
 """
 CONFIG_ROWS = """
-    ('en', '/rag', 'Project Lore', 5L, true), ('fr', '/rag', '', 0L, false),
+    ('en', '/rag', 'Field Notes', 5L, true), ('fr', '/rag', '', 0L, false),
     ('de', '/rag', 'Notizen', 5L, true), ('es', '/rag', 'File Context', 10L, false),
     ('web', '/rag', 'Pages', 5L, true)
 """

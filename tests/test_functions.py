@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from docsync import constants as C
 from docsync.functions import predicates as P
 from docsync.functions import scalars as S
 from docsync.operators.filters import filter_disposition, flag_ragignored
@@ -24,10 +25,8 @@ def by_name(spark, function, names):
     return evaluate(spark, names, "n string", function(F.col("n")))
 
 
-ACCEPTED = """doc.md readme.txt data.csv config.json settings.yaml schema.yml setup.toml page.html document.pdf
-script.py main.rs app.go index.js component.ts deploy.sh UPPER.MD""".split()
-REJECTED = """image.png photo.jpg video.mp4 archive.zip binary.exe data.bin font.woff2 model.onnx Makefile
-.gitignore a.""".split()
+ACCEPTED = [f"file.{e}" for e in C.ALLOWED_EXTENSIONS] + ["LOUD.MD", "two.dots.Py"]
+REJECTED = "photo.webp clip.mov bundle.tar tool.dll blob.dat face.ttf Dockerfile .profile a. mdx".split()
 
 
 def test_extension_allow_list(spark):
@@ -36,26 +35,23 @@ def test_extension_allow_list(spark):
 
 
 def test_os_files(spark):
-    names = [".DS_Store", "Thumbs.db", "desktop.ini", ".gitkeep", "readme.md", "thumbs.db", "config.yaml"]
-    assert by_name(spark, P.is_os_ignored, names) == [True] * 4 + [False] * 3
+    names = [*C.OS_FILES, "thumbs.db", "Desktop.ini", "DS_Store", "notes.md"]
+    assert by_name(spark, P.is_os_ignored, names) == [True] * 4 + [False] * 4
 
 
 def test_text_and_markdown(spark):
-    names = ["doc.md", "readme.txt", "config.json", "main.py", "app.rs", "document.pdf", "image.png", "archive.zip"]
-    assert by_name(spark, P.is_text_file, names) == [True] * 5 + [False] * 3
-    assert by_name(spark, P.is_markdown_file, ["README.md", "NOTES.TXT", "main.py", "Makefile"]) == [
-        True,
-        True,
-        False,
-        False,
-    ]
+    text = [name for name in ACCEPTED if name != "file.pdf"]
+    assert by_name(spark, P.is_text_file, text) == [True] * len(text)
+    assert by_name(spark, P.is_text_file, ["file.pdf", "F.PDF", *REJECTED]) == [False] * (2 + len(REJECTED))
+    names = ["a.md", "B.Txt", "c.py", "Dockerfile"]
+    assert by_name(spark, P.is_markdown_file, names) == [True, True, False, False]
 
 
 def test_name_parts(spark):
-    names = ["x.tar.gz", ".gitignore", "a.", "Makefile", "doc.md", ".a.b", "..x", "line\nbreak.md"]
+    names = ["x.tar.gz", ".profile", "a.", "Dockerfile", "note.md", ".a.b", "..x", "line\nbreak.md"]
     assert by_name(spark, S.file_ext, names) == ["gz", None, "", None, "md", "b", "x", "md"]
     assert by_name(spark, S.file_stem, names) == [
-        "x.tar", ".gitignore", "a", "Makefile", "doc", ".a", ".", "line\nbreak",
+        "x.tar", ".profile", "a", "Dockerfile", "note", ".a", ".", "line\nbreak",
     ]
     assert by_name(spark, S.file_name, ["/a/b.md", "b.md"]) == ["b.md", "b.md"]
 
@@ -72,21 +68,19 @@ def test_visibility(spark):
 
 
 def test_fence_language(spark):
-    pairs = """py:python rs:rust go:go js:javascript ts:typescript sh:shell bat:shell ps1:shell json:json
-    yaml:yaml yml:yaml toml:toml xml:html html:html htm:html csv:csv rst:rst cfg:ini ini:ini conf:ini log:log
-    PY: png: pdf: md:""".split()
-    names = [f"f.{p.split(':')[0]}" for p in pairs] + ["noext"]
-    assert by_name(spark, S.ext_to_lang, names) == [p.split(":")[1] for p in pairs] + [""]
+    names = [f"f.{ext}" for ext in C.FENCE_LANGUAGES]
+    assert by_name(spark, S.ext_to_lang, names) == list(C.FENCE_LANGUAGES.values())
+    assert by_name(spark, S.ext_to_lang, ["f.PY", "f.png", "f.md", "f.pdf", "f"]) == [""] * 5
 
 
 def test_fence_and_header(spark):
     fenced = evaluate(
         spark,
-        [("print('hello')", "python"), ('{"a": 1}', "json")],
+        [("x = 1", "python"), ("", "")],
         "t string, l string",
         S.markdown_fence(F.col("t"), F.col("l")),
     )
-    assert fenced == ["```python\nprint('hello')\n```\n", '```json\n{"a": 1}\n```\n']
+    assert fenced == ["```python\nx = 1\n```\n", "```\n\n```\n"]
     headers = evaluate(
         spark,
         [("note", "Lore"), ("two\nlines", ""), ("note", None), ("", "Lore"), (None, "Lore")],
@@ -128,7 +122,7 @@ def test_small_strings(spark):
         "&lt;a href=&quot;x&quot;&gt;&amp;amp;&lt;/a&gt;"
     ]
     assert by_name(spark, S.normalize_base_url, ["http://a//", "http://a", "/"]) == ["http://a", "http://a", ""]
-    status = ["Idle", "Running", "Completed successfully", "Error: connection refused", "Error", "?"]
+    status = ["Idle", "Running", "Completed successfully", "Error: timed out", "Error", "?"]
     assert by_name(spark, S.run_status_phase, status) == ["idle", "running", "completed", "error", "error", "unknown"]
     labels = [("1", "", "d"), ("1", "n", ""), ("1", "n", "d"), ("1", None, None)]
     got = evaluate(
@@ -156,34 +150,39 @@ def test_search_is_case_insensitive_and_literal(spark):
 
 
 def test_ignore_file_lines(spark, tmp_path):
-    text = "# Comment line\ndrafts\narchives/*.log\r\n  notes/scratch.txt \n\n   \n# Another\n"
+    text = "# rules\nold\nlogs/*.log\r\n  tmp/plan.txt \n\n   \n#end\n"
     (tmp_path / ".ragignore").write_text(text)
     found = load_ragignore(spark, str(tmp_path), "k").orderBy("line_no").collect()
     assert [(r["line_no"], r["pattern"]) for r in found] == [
-        (2, "drafts"),
-        (3, "archives/*.log"),
-        (4, "notes/scratch.txt"),
+        (2, "old"),
+        (3, "logs/*.log"),
+        (4, "tmp/plan.txt"),
     ]
     assert load_ragignore(spark, str(tmp_path / "none"), "k").count() == 0
     assert parse_ragignore(spark.createDataFrame([("k", "")], "kb_id string, text string")).count() == 0
 
 
 def ignored(spark, cases, dialect):
-    files = spark.createDataFrame([(str(i), p, p) for i, (p, _) in enumerate(cases)], "kb_id string, path string, rel_path string")
-    rules = spark.createDataFrame([(str(i), 1, r) for i, (_, r) in enumerate(cases)], "kb_id string, line_no bigint, pattern string")
+    files = spark.createDataFrame(
+        [(str(i), p, p) for i, (p, _) in enumerate(cases)], "kb_id string, path string, rel_path string"
+    )
+    rules = spark.createDataFrame(
+        [(str(i), 1, r) for i, (_, r) in enumerate(cases)],
+        "kb_id string, line_no bigint, pattern string",
+    )
     flagged = flag_ragignored(files, rules, dialect).orderBy(F.col("kb_id").cast("int")).collect()
     return [r["is_ragignored"] for r in flagged]
 
 
 IGNORE_CASES = [
-    ("drafts/wip.md", "drafts"),
-    ("docs/readme.md", "drafts"),
-    ("archives/old.log", "archives/*"),
-    ("docs/new.md", "archives/*"),
-    ("notes/scratch.txt", "notes/scratch.txt"),
-    ("notes/important.txt", "notes/scratch.txt"),
-    ("my/overdraft.md", "draft"),
-    ("docs/drafts/a.md", "drafts"),
+    ("old/one.md", "old"),
+    ("new/one.md", "old"),
+    ("logs/run.log", "logs/*"),
+    ("docs/run.md", "logs/*"),
+    ("tmp/plan.txt", "tmp/plan.txt"),
+    ("tmp/other.txt", "tmp/plan.txt"),
+    ("my/threshold.md", "old"),
+    ("docs/old/one.md", "old"),
 ]
 
 
@@ -197,31 +196,33 @@ def test_ignore_dialects(spark, monkeypatch, big):
     assert ignored(spark, IGNORE_CASES, "prefix") == prefix
 
 
-def test_filter_pipeline(spark):
-    rels = ["docs/guide.md", "docs/report.pdf", "docs/image.png", "drafts/wip.md", ".DS_Store", "Makefile", "sub/Thumbs.db"]
+def test_first_rule_names_the_disposition(spark):
+    want = {
+        "a/plan.md": "accepted",
+        "a/scan.pdf": "accepted",
+        "a/photo.webp": "unsupported_ext",
+        "old/plan.md": "ragignored",
+        "old/photo.webp": "ragignored",
+        ".DS_Store": "hidden",
+        "a/.old/plan.md": "hidden",
+        "old/Thumbs.db": "os_file",
+        "Dockerfile": "unsupported_ext",
+        "a": "not_file",
+    }
     files = spark.createDataFrame(
-        [("k", "/r/" + p, p, p.split("/")[-1], "file") for p in rels] + [("k", "/r/docs", "docs", "docs", "dir")],
+        [("k", f"/r/{p}", p, p.split("/")[-1], "dir" if p == "a" else "file") for p in want],
         "kb_id string, path string, rel_path string, filename string, kind string",
     )
-    rules = spark.createDataFrame([("k", 1, "drafts")], "kb_id string, line_no bigint, pattern string")
+    rules = spark.createDataFrame([("k", 1, "old")], "kb_id string, line_no bigint, pattern string")
     got = {r["rel_path"]: r["disposition"] for r in filter_disposition(files, rules).collect()}
-    assert got == {
-        "docs/guide.md": "accepted",
-        "docs/report.pdf": "accepted",
-        "docs/image.png": "unsupported_ext",
-        "drafts/wip.md": "ragignored",
-        ".DS_Store": "hidden",
-        "Makefile": "unsupported_ext",
-        "sub/Thumbs.db": "os_file",
-        "docs": "not_file",
-    }
+    assert got == want
 
 
 def test_config_defaults_and_round_trip(spark):
     kv = spark.createDataFrame(
         [
             ("all", "target_directory", "/data"),
-            ("all", "context_header_label", "Project Lore"),
+            ("all", "context_header_label", "Field Notes"),
             ("all", "max_concurrent_uploads", "10"),
             ("all", "convert_to_markdown", "true"),
             ("bad", "max_concurrent_uploads", "ten"),
@@ -236,7 +237,7 @@ def test_config_defaults_and_round_trip(spark):
     typed = resolve_config(kv)
     got = {r["kb_id"]: r for r in typed.collect()}
     assert (got["all"]["max_concurrent_uploads"], got["all"]["convert_to_markdown"]) == (10, True)
-    assert got["all"]["context_header_label"] == "Project Lore"
+    assert got["all"]["context_header_label"] == "Field Notes"
     assert (got["bad"]["max_concurrent_uploads"], got["bad"]["convert_to_markdown"]) == (5, False)
     assert (got["bad"]["context_header_label"], got["zero"]["context_header_label"]) == ("", "File Context")
     assert [got[k]["max_concurrent_uploads"] for k in ("zero", "neg", "huge")] == [0, 5, 5]
@@ -248,14 +249,14 @@ def test_config_defaults_and_round_trip(spark):
 def test_listing_json(spark):
     bodies = spark.createDataFrame(
         [
-            ("k", '{"files":[{"id":"f1","filename":"doc.md"},{"id":"f2","filename":"report.pdf"},{"id":"f3"}]}'),
+            ("k", '{"files":[{"id":"x","filename":"a.md"},{"id":"y","filename":"b.pdf"},{"id":"z"}]}'),
             ("none", '{"name":"x"}'),
             ("broken", "oops"),
         ],
         "kb_id string, body string",
     )
     got = [tuple(r) for r in parse_kb_files(bodies).orderBy("pos").collect()]
-    assert got == [("k", 0, "f1", "doc.md"), ("k", 1, "f2", "report.pdf"), ("k", 2, "f3", "")]
+    assert got == [("k", 0, "x", "a.md"), ("k", 1, "y", "b.pdf"), ("k", 2, "z", "")]
 
 
 def test_catalog_json(spark):

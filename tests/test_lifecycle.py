@@ -49,7 +49,9 @@ class Rig:
         return {r["filename"]: (r["action"], r["reason"]) for r in result.frame.collect()}
 
     def note(self, path, text):
-        keyed = file_keys(self.spark.createDataFrame([(KB, str(path), text, 1)], "kb_id string, path string, context_text string, seq int"))
+        edit = [(KB, str(path), text, 1)]
+        schema = "kb_id string, path string, context_text string, seq int"
+        keyed = file_keys(self.spark.createDataFrame(edit, schema))
         self.store.commit(state_ops.set_context(self.store.read(), keyed))
 
 
@@ -59,39 +61,39 @@ def rig(spark, tmp_path):
 
 
 def test_four_steps(rig):
-    doc, pdf = rig.root / "doc.md", rig.root / "diagram.pdf"
-    doc.write_text("# Architecture\nThis is a test document.\n")
-    pdf.write_bytes(b"%PDF-1.4 binary content here")
+    doc, pdf = rig.root / "plan.md", rig.root / "scan.pdf"
+    doc.write_text("# Plan\nfirst draft\n")
+    pdf.write_bytes(b"%PDF \x00\xff")
 
     first = rig.sync()
-    assert rig.actions(first) == {"doc.md": ("NEW", ""), "diagram.pdf": ("NEW", "")}
+    assert rig.actions(first) == {"plan.md": ("NEW", ""), "scan.pdf": ("NEW", "")}
     assert first.payloads.count() == 2
     state = {r["absolute_path"]: r for r in first.state.collect()}
     assert set(state) == {str(doc), str(pdf)}
     assert not any(r["context_dirty"] for r in state.values())
 
-    rig.note(doc, "Test Context")
+    rig.note(doc, "ask the team")
     second = rig.sync()
-    assert rig.actions(second) == {"doc.md": ("UPDATE", ""), "diagram.pdf": ("SKIP", "")}
+    assert rig.actions(second) == {"plan.md": ("UPDATE", ""), "scan.pdf": ("SKIP", "")}
     sent = second.payloads.collect()
-    assert len(sent) == 1 and sent[0]["delete_remote_id"] == "run1-doc.md"
-    assert bytes(sent[0]["payload"]) == b"> **File Context:**\n> Test Context\n\n" + doc.read_bytes()
+    assert len(sent) == 1 and sent[0]["delete_remote_id"] == "run1-plan.md"
+    assert bytes(sent[0]["payload"]) == b"> **File Context:**\n> ask the team\n\n" + doc.read_bytes()
     state = {r["absolute_path"]: r for r in second.state.collect()}
     assert not state[str(doc)]["context_dirty"]
-    assert state[str(doc)]["context_text"] == "Test Context"
-    assert state[str(pdf)]["remote_file_id"] == "run1-diagram.pdf"
+    assert state[str(doc)]["context_text"] == "ask the team"
+    assert state[str(pdf)]["remote_file_id"] == "run1-scan.pdf"
 
     with pdf.open("ab") as handle:
-        handle.write(b"\n%% MODIFIED CONTENT %%\n")
+        handle.write(b"more")
     third = rig.sync()
-    assert rig.actions(third) == {"doc.md": ("SKIP", ""), "diagram.pdf": ("UPDATE", "")}
+    assert rig.actions(third) == {"plan.md": ("SKIP", ""), "scan.pdf": ("UPDATE", "")}
     assert [bytes(r["payload"]) for r in third.payloads.collect()] == [pdf.read_bytes()]
 
     pdf.unlink()
-    (rig.root / ".ragignore").write_text("doc.md\n")
+    (rig.root / ".ragignore").write_text("plan.md\n")
     fourth = rig.sync()
-    assert rig.actions(fourth) == {"doc.md": ("ORPHAN", "filtered"), "diagram.pdf": ("ORPHAN", "missing")}
-    assert rows(fourth.frame.select("delete_remote_id")) == [("run2-doc.md",), ("run3-diagram.pdf",)]
+    assert rig.actions(fourth) == {"plan.md": ("ORPHAN", "filtered"), "scan.pdf": ("ORPHAN", "missing")}
+    assert rows(fourth.frame.select("delete_remote_id")) == [("run2-plan.md",), ("run3-scan.pdf",)]
     assert fourth.payloads.count() == 0
     assert fourth.state.count() == 0
 
@@ -139,7 +141,13 @@ def test_hidden_tracked_file_is_kept(rig):
     rig.store.commit(
         state_ops.upsert_state(
             rig.store.read(),
-            keyed.select("kb_id", "file_key", F.col("path").alias("absolute_path"), F.lit("h").alias("content_hash"), F.lit("r").alias("remote_file_id")),
+            keyed.select(
+                "kb_id",
+                "file_key",
+                F.col("path").alias("absolute_path"),
+                F.lit("h").alias("content_hash"),
+                F.lit("r").alias("remote_file_id"),
+            ),
         )
     )
     assert rig.actions(rig.sync()) == {"a.md": ("KEPT", "")}
