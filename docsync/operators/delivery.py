@@ -9,24 +9,32 @@ from docsync import constants as C
 from docsync.operators.skew import run_lag
 
 
-def delivery_outcome(attempts: DataFrame) -> DataFrame:
+def delivery_outcome(attempts: DataFrame, max_attempts: int = C.MAX_ATTEMPTS) -> DataFrame:
     """Outcome of each request. 2xx is success; 4xx other than 429 fails at once; a
     network error (null code) or any other code is tried again; the third failure
     exhausts the request and fewer leave it pending.
 
+    With a `body_ok` column, a 2xx whose body could not be read fails at once. Calls that
+    are never retried, such as the catalogue, have `max_attempts=1`.
+
     The rank filter keeps at most three rows per request and task before the shuffle,
     so a request with any number of rows stays small.
     """
     order = Window.partitionBy("request_id").orderBy("seq")
     code = F.col("code")
-    verdict = F.when(code.between(200, 299), "success").when(
-        code.between(400, 499) & (code != 429), "fail_fast"
+    readable = F.coalesce("body_ok", F.lit(True)) if "body_ok" in attempts.columns else F.lit(True)
+    verdict = (
+        F.when(code.between(200, 299) & F.col("readable"), "success")
+        .when(code.between(200, 299), "fail_fast")
+        .when(code.between(400, 499) & (code != 429), "fail_fast")
     )
     final_n = F.when(F.col("verdict").isNotNull(), F.col("n"))
     return (
-        attempts.select("request_id", "seq", F.col("code").cast("bigint").alias("code"))
+        attempts.select(
+            "request_id", "seq", F.col("code").cast("bigint").alias("code"), readable.alias("readable")
+        )
         .withColumn("n", F.row_number().over(order))
-        .filter(F.col("n") <= C.MAX_ATTEMPTS)
+        .filter(F.col("n") <= max_attempts)
         .withColumn("verdict", verdict)
         .groupBy("request_id")
         .agg(
@@ -41,7 +49,7 @@ def delivery_outcome(attempts: DataFrame) -> DataFrame:
             F.coalesce("_final_n", "_logged").alias("attempts_used"),
             F.coalesce("_final_code", "_last_code").alias("last_code"),
             F.coalesce(
-                "_verdict", F.when(F.col("_logged") == C.MAX_ATTEMPTS, "exhausted"), F.lit("pending")
+                "_verdict", F.when(F.col("_logged") == max_attempts, "exhausted"), F.lit("pending")
             ).alias("outcome"),
         )
     )

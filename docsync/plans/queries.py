@@ -20,6 +20,7 @@ from docsync.operators import (
     reports,
     state_ops,
 )
+from docsync.operators.skew import lookup_by_kb
 from docsync.plans import full_sync as sync
 from docsync.sources import config as config_source
 from docsync.sources import doctree, ragignore, remote_json
@@ -317,7 +318,7 @@ def markdown_fence(t: Tables) -> DataFrame:
 
 @query
 def context_header(t: Tables) -> DataFrame:
-    labelled = t.state.join(F.broadcast(t.config), "kb_id", "left")
+    labelled = lookup_by_kb(t.state, t.config, F.col("file_key"))
     header = S.context_header(F.col("context_text"), F.col("context_header_label"))
     return labelled.select("kb_id", "file_key", header.alias("header"))
 

@@ -85,5 +85,20 @@ def read_spread(files: DataFrame) -> DataFrame:
 
 
 def file_keys(paths: DataFrame) -> DataFrame:
-    """Keys of given paths, for setting or getting their context."""
-    return paths.withColumn("file_key", S.file_key(F.col("path")))
+    """Keys of given paths, for setting or getting their context. A path that exists is
+    made canonical first, as a walk would have found it; any other is taken as given."""
+
+    columns = paths.columns
+    at = columns.index("path")
+
+    def canonical(batches):
+        for batch in batches:
+            given = batch.column("path").to_pylist()
+            real = [os.path.realpath(p) if os.path.exists(p) else p for p in given]
+            yield batch.set_column(at, "path", pa.array(real, pa.string()))
+
+    found = paths.withColumn("_name", S.file_name(F.col("path")))
+    keyed = found.mapInArrow(canonical, found.schema)
+    return keyed.withColumn("file_key", S.file_key(F.col("path"), F.col("_name"))).select(
+        *columns, "file_key"
+    )

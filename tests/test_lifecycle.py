@@ -1,5 +1,6 @@
 """The four-step life of two files, on real files and real snapshots."""
 
+import hashlib
 import os
 
 import pytest
@@ -244,6 +245,21 @@ def test_scan_levels_finds_the_same_files(spark, odd_tree, tmp_path):
     assert rows(found.select("file_key")) == rows(keys)
 
 
+def test_keys_of_given_paths_are_canonical(spark, odd_tree):
+    given = [str(odd_tree / "_dir" / ".." / "_x.md"), "/nowhere/a.md", str(odd_tree / "link.md")]
+    keyed = file_keys(spark.createDataFrame([(KB, p) for p in given], "kb_id string, path string"))
+    real = str(odd_tree / "_x.md")
+    digest = hashlib.sha256(real.encode()).hexdigest()
+    assert rows(keyed.select("path", "file_key")) == sorted(
+        [
+            (real, f"{digest}__x.md"),
+            (real, f"{digest}_link.md"),
+            ("/nowhere/a.md", hashlib.sha256(b"/nowhere/a.md").hexdigest() + "_a.md"),
+        ],
+        key=repr,
+    )
+
+
 def test_pruning_equals_filtering(spark, odd_tree):
     everything = doctree.scan_tree(spark, str(odd_tree), KB, hidden="keep")
     visible = everything.filter(is_visible(F.col("rel_path"))).select("path")

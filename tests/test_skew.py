@@ -123,6 +123,17 @@ def test_attempt_sequences(spark):
     assert waits == {k: wait for k, (*_, wait) in ATTEMPTS.items()}
 
 
+def test_unreadable_body_and_single_try(spark):
+    data = [("a", 0, 200, False), ("a", 1, 200, True), ("b", 0, 500, True), ("c", 0, 200, None)]
+    df = spark.createDataFrame(data, "request_id string, seq int, code int, body_ok boolean")
+
+    def outcomes(**how):
+        return {r["request_id"]: r["outcome"] for r in delivery.delivery_outcome(df, **how).collect()}
+
+    assert outcomes() == {"a": "fail_fast", "b": "pending", "c": "success"}
+    assert outcomes(max_attempts=1) == {"a": "fail_fast", "b": "exhausted", "c": "success"}
+
+
 def test_only_three_attempts_per_request_are_shuffled(spark):
     request = F.expr("concat('r', id div 7)").alias("request_id")
     df = spark.range(10).select(request, F.col("id").alias("seq"), F.lit(500).alias("code"))
