@@ -27,6 +27,26 @@ def fits_broadcast(df: DataFrame) -> bool:
     return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Mark a stored side for broadcast when its measured size allows it."""
+    return F.broadcast(df) if fits_broadcast(df) else df
+
+
+def full_join_stored(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Full outer join of a big table with a stored, usually small one, unique on `keys`.
+
+    A full join always shuffles both sides. While `small` can be broadcast, the same rows
+    come from a left join, plus the rows of `small` that met no partner, and `big` stays
+    where it is.
+    """
+    if not fits_broadcast(small):
+        return big.join(small, keys, "full")
+    hits = big.select(*keys).join(F.broadcast(small.select(*keys)), keys, "left_semi")
+    unmet = small.join(hits, keys, "left_anti")
+    joined = big.join(F.broadcast(small), keys, "left")
+    return joined.unionByName(unmet, allowMissingColumns=True)
+
+
 def salted(df: DataFrame) -> DataFrame:
     """Repeat every row once per salt."""
     return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -20,7 +20,7 @@ from docsync.operators import payload, reports
 from docsync.operators.filters import filter_disposition
 from docsync.operators.ingest import with_convert
 from docsync.operators.reconcile import is_settled, name_outcomes
-from docsync.operators.skew import lookup_by_kb
+from docsync.operators.skew import broadcast_if_small, lookup_by_kb
 from docsync.plans.snapshot import SnapshotStore
 from docsync.schemas import REMOTE_FILES
 
@@ -196,5 +196,6 @@ def run_sync(
     bodies = payload.build_payload(contents(payload.with_header(due, config)))
     payloads = store.stage("payloads", bodies)
     delivered = store.stage("delivered", deliver(payloads))
-    store.commit(next_state(frame, delivered).unionByName(others), tag)
+    after = next_state(frame, broadcast_if_small(delivered))
+    store.commit(after.unionByName(others), tag)
     return SyncResult(frame, payloads, store.read(), reports.sync_summary(frame))

@@ -87,7 +87,6 @@ def read_spread(files: DataFrame) -> DataFrame:
 def file_keys(paths: DataFrame) -> DataFrame:
     """Keys of given paths, for setting or getting their context. A path that exists is
     made canonical first, as a walk would have found it; any other is taken as given."""
-
     columns = paths.columns
     at = columns.index("path")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docsync.functions import predicates as P
+from docsync.operators.skew import broadcast_if_small, full_join_stored
 from docsync.plans.snapshot import SnapshotStore
 
 KEY = ["kb_id", "file_key"]
@@ -28,14 +29,14 @@ def latest_changes(changes: DataFrame) -> DataFrame:
     )
 
 
-def apply_changes(changes: DataFrame, state: DataFrame) -> DataFrame:
-    """Merge a batch of changes into stream state and decide per row.
+def apply_changes(latest: DataFrame, state: DataFrame) -> DataFrame:
+    """Merge the stored `latest_changes` of a batch into stream state, deciding per row.
 
     A change whose `seq` is not above the stored one is late and has no effect. `action`
     is NEW, UPDATE, SKIP or ORPHAN for rows the batch touches or an earlier delivery left
     open, and null for all others.
     """
-    rows = state.join(latest_changes(changes), KEY, "full")
+    rows = full_join_stored(state, latest, KEY)
     stored = F.coalesce("seq", F.lit(-1))
     fresh = F.coalesce(F.col("content_seq") > stored, F.lit(False))
     edited = F.coalesce(F.col("context_seq") > stored, F.lit(False))
@@ -106,10 +107,11 @@ def sync_stream(
         tag = f"batch-{batch_id}"
         if store.has_tag(tag):
             return
-        decided = store.stage("decided", apply_changes(batch, store.read()))
+        latest = store.stage("latest", latest_changes(batch))
+        decided = store.stage("decided", apply_changes(latest, store.read()))
         due = decided.filter(F.col("action").isin("NEW", "UPDATE"))
         delivered = store.stage("delivered", deliver(due))
-        store.commit(settle(decided, delivered), tag)
+        store.commit(settle(decided, broadcast_if_small(delivered)), tag)
 
     return (
         changes.writeStream.foreachBatch(apply)

@@ -149,6 +149,20 @@ def test_big_lookups_are_salted_not_broadcast(spark, monkeypatch):
     assert rows(skew.lookup_by_kb(left, right, F.col("path")).select("kb_id", "path", "label")) == small
 
 
+def test_full_join_of_a_stored_side(spark, monkeypatch, tmp_path):
+    big = spark.createDataFrame([(i, f"b{i}") for i in range(6)], "k int, b string")
+    spark.createDataFrame([(i, f"s{i}") for i in range(4, 9)], "k int, s string").write.parquet(str(tmp_path / "s"))
+    small = spark.read.parquet(str(tmp_path / "s"))
+    want = rows(big.join(small, "k", "full"))
+    joined = skew.full_join_stored(big, small, ["k"])
+    assert rows(joined) == want
+    monkeypatch.setattr(skew, "fits_broadcast", lambda df: False)
+    assert rows(skew.full_join_stored(big, small, ["k"])) == want
+    monkeypatch.undo()
+    empty = skew.full_join_stored(big, small.limit(0), ["k"])
+    assert rows(empty) == rows(big.withColumn("s", F.lit(None).cast("string")))
+
+
 def test_hot_name_is_joined_by_runs(spark, monkeypatch):
     monkeypatch.setattr(skew.run_number, "__defaults__", (16,))
     inventory = spark.createDataFrame(
