@@ -45,8 +45,8 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 
 
 def record_batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
-    """A batch of `rows` with the columns of a DDL string of long, int, boolean, string, binary."""
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+    """A batch of `rows` with the columns of a DDL string of long, int, double, boolean, string, binary."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
     fields = [f.split() for f in ddl.split(",")]
     columns = list(zip(*rows)) if rows else [()] * len(fields)
     arrays = [pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)]

@@ -7,10 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docsync.llm import exact, mixing, packing, quality, tokens
+from docsync.llm import exact, jaccard, licenses, mixing, packing, pii, quality, substrings, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+# A real key comes from a secret store; this one only makes runs agree.
+PSEUDONYM_KEY = "not-a-secret"
 
 # The columns of the given tables; stating them saves a job per read.
 SCHEMAS = {
@@ -29,10 +31,23 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(table(spark, sf_dir, "documents"))
+
+
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+    return found.select("doc_id", "n_private", "kinds", "text")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -41,15 +56,28 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(table(spark, sf_dir, "documents")).drop("rk")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 REGISTRY: dict[str, Query] = {
     "op1_mix": op1_mix,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_pseudonyms": op3_pseudonyms,
     "op4_token_counts": op4_token_counts,
+    "op5_license_scan": op5_license_scan,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {}
