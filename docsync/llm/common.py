@@ -53,23 +53,6 @@ def record_batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in fields])
 
 
-class WordIds(dict):
-    """64-bit hash of a word, remembered while there is room."""
-
-    room = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.room:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -77,6 +60,82 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class WordHasher:
+    """64-bit hashes of the words of a text, all at once.
+
+    A word is a run of bytes outside `blanks`. Its hash is a polynomial over a random number
+    for each byte, read off the running sums of the whole text, so no word becomes an object.
+    With `fold`, A-Z hash like a-z. Texts are taken in parts of about `PART` bytes that end
+    between words; words longer than that are hashed one by one.
+    """
+
+    PART = 1 << 18
+
+    def __init__(self, blanks: bytes = BLANKS.encode(), fold: bool = False):
+        self.value = np.random.default_rng(2).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        if fold:
+            self.value[65:91] = self.value[97:123]
+        self.blank = np.zeros(256, dtype=bool)
+        self.blank[list(blanks)] = True
+        self.value[self.blank] = 0
+        self.fold = fold
+        # Powers of the multiplier and of its inverse modulo 2**64.
+        inverse = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
+        self.up = self.powers(MULTIPLIER)
+        self.down = self.powers(inverse)
+
+    def powers(self, base: np.uint64) -> np.ndarray:
+        out = np.full(2 * self.PART + 1, base, dtype=np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+    def of(self, text: bytes) -> np.ndarray:
+        data = np.frombuffer(text, dtype=np.uint8)
+        if len(data) <= 2 * self.PART:
+            return self.of_part(data)
+        blank, parts, at = self.blank[data], [], 0
+        while at < len(data):
+            # The part ends at the first blank from PART bytes on.
+            ahead = blank[at + self.PART :]
+            end = at + self.PART + int(ahead.argmax()) if len(ahead) and ahead.any() else len(data)
+            if end - at > 2 * self.PART:
+                before = np.flatnonzero(blank[at : at + self.PART])
+                begin = at + int(before[-1]) + 1 if len(before) else at
+                parts += [self.of_part(data[at:begin]), self.of_word(data[begin:end])]
+            else:
+                parts.append(self.of_part(data[at:end]))
+            at = end
+        return np.concatenate(parts)
+
+    def of_word(self, data: np.ndarray) -> np.ndarray:
+        import xxhash
+
+        word = data.tobytes().lower() if self.fold else data.tobytes()
+        return np.array([xxhash.xxh3_64_intdigest(word)], dtype=np.uint64)
+
+    def of_part(self, data: np.ndarray) -> np.ndarray:
+        n = len(data)
+        if not n:
+            return np.zeros(0, dtype=np.uint64)
+        blank = self.blank[data]
+        edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        bounds = np.concatenate([[0] * (not blank[0]), edge, [n] * (not blank[-1])]).astype(np.int64)
+        starts, ends = bounds[0::2], bounds[1::2]
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(self.value[data] * self.up[:n], out=sums[1:])
+        length = (ends - starts).astype(np.uint64)
+        out = mixed((sums[ends] - sums[starts]) * self.down[starts] + length)
+        for i in np.flatnonzero(ends - starts > self.PART).tolist():
+            out[i] = self.of_word(data[starts[i] : ends[i]])[0]
+        return out
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def windows(ids: np.ndarray, width: int) -> np.ndarray:
     """Hash of every run of `width` word ids; fewer words give one hash of them all."""
     width = min(width, len(ids))

@@ -41,8 +41,7 @@ def digest_of(norm: bytes) -> tuple[int, str]:
 
 
 def digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Append key, sha and points (code points of the original) to every row; `text` is dropped
-    unless it stands twice, as `text` and `_text`."""
+    """Put key, sha and points (code points of the original) in the place of every `_text`."""
     for batch in batches:
         texts = text_bytes(batch.column("_text"))
         digests = [digest_of(n) for n in normalised(texts)]
@@ -57,11 +56,10 @@ def digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def with_digests(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """`columns` of `docs`, then _key, _sha and _points of its text."""
-    spare = [c for c in columns if c not in ("_key", "_sha", "_points", "_text")]
-    rows = docs.select(*spare, F.col("text").alias("_text"))
-    schema = docs.select(*spare).schema
+def with_digests(docs: DataFrame, *columns) -> DataFrame:
+    """doc_id and `columns` of `docs`, then _key, _sha and _points of its text."""
+    rows = docs.select("doc_id", *columns, F.col("text").alias("_text"))
+    schema = docs.select("doc_id", *columns).schema
     for name, kind in (("_key", "long"), ("_sha", "string"), ("_points", "long")):
         schema = schema.add(name, kind)
     return rows.mapInArrow(digest_rows, schema)
@@ -196,7 +194,7 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
     row has one. Rows that repeat a doc_id and its text each count in group_size and
     one of them stays. No rows give no rows; other columns of `docs` play no part.
     """
-    digests = stored(with_digests(docs.select("doc_id", "text"), ["doc_id"]), "digests")
+    digests = stored(with_digests(docs), "digests")
     index = build_index(docs, digests.select(F.col("_key").alias("key")), capacity, max_depth)
     return judged(digests, index).select(
         "doc_id",
@@ -208,8 +206,9 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
 
 
 def drop_exact_copies(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The rows of `docs` that stay, with their own columns (names from _key to _points apart)."""
-    keys = with_digests(docs.select("doc_id", "text"), ["doc_id"]).select(F.col("_key").alias("key"))
+    """The rows of `docs` that stay, with their own columns."""
+    keys = with_digests(docs).select(F.col("_key").alias("key"))
     index = build_index(docs, keys, capacity, max_depth)
-    rows = with_digests(docs, docs.columns)
-    return judged(rows, index).filter("_kept").select(*docs.columns)
+    # The row travels as one column, so that no name of its own can clash.
+    rows = with_digests(docs, F.struct("*").alias("_row"))
+    return judged(rows, index).filter("_kept").select("_row.*")

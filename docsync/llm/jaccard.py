@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsync.llm.common import WordIds, record_batch, stored, text_bytes, windows
+from docsync.llm.common import WordHasher, distinct, record_batch, stored, text_bytes, windows
 from docsync.llm.components import components
 from docsync.llm.sketch import SKETCH_BITS, frequency_classes, frequency_sketch, shared_only
 from docsync.operators.skew import broadcast_if_small
@@ -35,14 +35,9 @@ SET = "rk long, doc_id long, n long, gid long, grp long, n_cold int, prefix arra
 
 
 def shingle_hashes(width: int):
-    """A function from a text to its shingles, which remembers words between texts."""
-    ids = WordIds()
-    return lambda text: shingles(text, ids, width)
-
-
-def shingles(text: bytes, ids: WordIds, width: int) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text, A-Z lower-cased."""
-    return np.unique(windows(ids.of(text.lower().split()), width))
+    """A function from a text to its sorted distinct shingles, A-Z lower-cased."""
+    words = WordHasher(fold=True)
+    return lambda text: distinct(windows(words.of(text), width))
 
 
 def digest(data: bytes) -> int:
@@ -60,11 +55,11 @@ def probe_length(n: int, percent: int) -> int:
 
 def set_task(width: int, percent: int, bits: int, classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, of_cell, shift = WordIds(), classes.value, np.uint64(64 - bits)
+        shingles, of_cell, shift = shingle_hashes(width), classes.value, np.uint64(64 - bits)
         for batch in batches:
             n, gid, grp, cold, parts = [], [], [], [], []
             for text in text_bytes(batch.column("text")):
-                found = shingles(text, ids, width)
+                found = shingles(text)
                 n.append(len(found))
                 if not len(found):
                     gid.append(None)
@@ -118,13 +113,13 @@ def postings(sets: DataFrame) -> DataFrame:
 
 def full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sent = WordIds(), set()
+        shingles, sent = shingle_hashes(width), set()
         for batch in batches:
             rows = []
             for i, (gid, text) in enumerate(zip(batch.column("gid").to_pylist(), text_bytes(batch.column("text")))):
                 if gid not in sent:
                     sent.add(gid)
-                    rows.append((i, shingles(text, ids, width).tobytes()))
+                    rows.append((i, shingles(text).tobytes()))
             picked = batch.take(pa.array([r[0] for r in rows], pa.int64()))
             columns = [picked.column("gid"), picked.column("places"), pa.array([r[1] for r in rows], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["gid", "places", "members"])
@@ -208,21 +203,52 @@ def in_salts(members: DataFrame, block: int) -> DataFrame:
     return rows.filter("gid <> hub").unionByName(leads)
 
 
+def size_steps(size: str, percent: int):
+    """Logarithm of a size: sets that can be similar differ by at most 1."""
+    return F.log(size) / F.lit(float(np.log(100 / percent)))
+
+
+def may_be_similar(percent: int) -> str:
+    """Bounds on what groups g and h can share, from `met`, the number of tokens both prefixes
+    have, and the places of the first of them.
+
+    Before its first shared token a set has none, and of tokens beyond the prefixes only as
+    many can be shared as the longer rest holds.
+    """
+    least = f"(({percent} * (gn + hn) + {99 + percent}) div {100 + percent})"
+    rest = f"greatest(({percent} * gn + 99) div 100, ({percent} * hn + 99) div 100) - 1"
+    return f"least(gn - gp, hn - hp) >= {least} AND met + {rest} >= {least}"
+
+
 def leaders(shared: DataFrame, percent: int) -> DataFrame:
-    """(grp, hub): for each group, the groups that lead most of the tokens they share.
+    """(g, h): for each group g, the groups h that lead most of the tokens they share, where
+    the two may be similar.
 
     The leader of a token among sets of about one size is the one that hashes lowest. Sizes are
     cut twice, half a step apart, so that no border parts sets of nearly the same size.
     """
-    step = F.log("n") / F.lit(float(np.log(100 / percent)))
     cut = shared.withColumn("grid", F.explode(F.array(F.lit(0.0), F.lit(0.5)))).withColumn(
-        "band", F.floor(step + F.col("grid"))
+        "band", F.floor(size_steps("n", percent) + F.col("grid"))
     )
     keys = ["tok", "grid", "band"]
     first = cut.groupBy(*keys).agg(F.min_by("grp", F.xxhash64("grp")).alias("hub"), F.count("*").alias("held"))
-    votes = cut.join(first.filter("held > 1"), keys).groupBy("grp", "grid", "hub").agg(F.count("*").alias("votes"))
+    votes = cut.join(first.filter("held > 1"), keys).filter("grp <> hub")
+    votes = votes.groupBy("grp", "grid", "hub").agg(F.count("*").alias("votes"))
     best = F.max_by("hub", F.struct("votes", F.xxhash64("hub")))
-    return votes.groupBy("grp", "grid").agg(best.alias("hub")).select("grp", "hub").distinct()
+    pairs = votes.groupBy("grp", "grid").agg(best.alias("h")).select(F.col("grp").alias("g"), "h").distinct()
+    mine = shared.select("tok", F.col("grp").alias("g"), F.col("n").alias("gn"), F.col("pos").alias("gp"))
+    theirs = shared.select("tok", F.col("grp").alias("h"), F.col("n").alias("hn"), F.col("pos").alias("hp"))
+    both = pairs.join(mine, "g").join(theirs, ["h", "tok"])
+    return bounded(both, percent)
+
+
+def bounded(both: DataFrame, percent: int) -> DataFrame:
+    """(g, h) that may be similar, from one row per token that both prefixes have."""
+    rows = both.groupBy("g", "h").agg(
+        F.count("*").alias("met"), F.first("gn").alias("gn"), F.first("hn").alias("hn"),
+        F.min("gp").alias("gp"), F.min("hp").alias("hp"),
+    )
+    return rows.filter(may_be_similar(percent)).select("g", "h")
 
 
 def open_pairs(shared: DataFrame, labelled: DataFrame, percent: int) -> DataFrame:
@@ -231,11 +257,9 @@ def open_pairs(shared: DataFrame, labelled: DataFrame, percent: int) -> DataFram
     placed = shared.join(spans, "grp")
     tokens = placed.groupBy("tok").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi")).filter("_lo <> _hi")
     placed = stored(placed.join(tokens, "tok").drop("_lo", "_hi"), "open_postings")
-    whole = 100 + percent
-    band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent))))
-    # The smaller set looks among those of its size band and the next, by its shorter index prefix.
-    index_length = F.expr(f"n - (2 * {percent} * n + {whole - 1}) div {whole} + 1")
-    small = placed.filter(F.col("pos") < index_length).select(
+    # The smaller set looks among those of its size band and the next.
+    band = F.floor(size_steps("n", percent))
+    small = placed.select(
         "tok", F.explode(F.array(band, band + 1)).alias("band"), F.col("grp").alias("g"), F.col("n").alias("gn"),
         F.col("pos").alias("gp"), F.col("lo").alias("glo"), F.col("hi").alias("ghi"),
     )
@@ -246,17 +270,14 @@ def open_pairs(shared: DataFrame, labelled: DataFrame, percent: int) -> DataFram
     close = f"""
         (gn < hn OR gn = hn AND g < h) AND 100 * gn >= {percent} * hn
         AND NOT (glo = ghi AND hlo = hhi AND glo = hlo)
-        AND least(gn - gp, hn - hp) >= ({percent} * (gn + hn) + {whole - 1}) div {whole}
     """
-    pairs = small.join(large, ["tok", "band"]).filter(close).select("g", "h").distinct()
+    pairs = bounded(small.join(large, ["tok", "band"]).filter(close), percent)
     mixed = spans.filter("lo <> hi").select(F.col("grp").alias("g"), F.col("grp").alias("h"))
     a = labelled.select(F.col("grp").alias("g"), F.col("gid").alias("a"), F.col("comp").alias("ca"))
     b = labelled.select(F.col("grp").alias("h"), F.col("gid").alias("b"), F.col("comp").alias("cb"))
     return pairs.unionByName(mixed).join(a, "g").join(b, "h").filter("ca <> cb AND (g <> h OR a < b)").select("a", "b")
 
 
-
-
 def near_rows(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """(rk, doc_id, n_shingles, component_id) of every row of `docs`; see near_groups."""
     spark = docs.sparkSession
@@ -274,9 +295,9 @@ def near_rows(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, ske
     # Links to the leader of a group of sets, and to the leader of similar groups.
     heads = sets.groupBy("grp").agg(F.min("gid").alias("head"), F.count("*").alias("held"))
     members = sets.join(heads.filter("held > 1"), "grp").select("gid", F.col("head").alias("hub"))
-    led = leaders(shared, percent).join(heads.select("grp", F.col("head").alias("gid")), "grp")
-    led = led.join(heads.select(F.col("grp").alias("hub"), F.col("head").alias("_head")), "hub")
-    members = members.unionByName(led.select("gid", F.col("_head").alias("hub"))).distinct()
+    led = leaders(shared, percent).join(heads.select(F.col("grp").alias("g"), F.col("head").alias("gid")), "g")
+    led = led.join(heads.select(F.col("grp").alias("h"), F.col("head").alias("hub")), "h")
+    members = members.unionByName(led.select("gid", "hub")).distinct()
     blocks = in_salts(stored(members, "members"), BLOCK)
     links = compare(rows, sets, blocks, width, percent, LOOK_BACK)
     found = components(links)
@@ -320,7 +341,8 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -
     Rows that repeat doc_id and text are one document; one of them stays. Rows without words
     all stay, as do rows of a component without any doc_id.
     """
-    marked = docs.withColumn("_rk", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
+    # The row travels as one column, so that no name of its own can clash.
+    marked = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("_rk"))
     judged = stored(near_rows(docs, percent, width), "judged")
     gone = judged.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("rk").alias("_rk")).distinct()
     out = marked.join(broadcast_if_small(stored(gone, "gone")), "_rk", "left_anti")
@@ -329,4 +351,4 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -
     if twice.limit(1).count():
         again = out.join(broadcast_if_small(twice), "_rk", "left_semi").dropDuplicates(["_rk"])
         out = out.join(broadcast_if_small(twice), "_rk", "left_anti").unionByName(again)
-    return out.select(*docs.columns)
+    return out.select("_row.*")

@@ -8,14 +8,13 @@ two rows such a window meets its template with probability 1 - (1 - 0.5**2)**24
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docsync.llm.common import WordIds, mixed, record_batch, text_bytes, windows
+from docsync.llm.common import WordHasher, distinct, mixed, record_batch, text_bytes, windows
 
 SHINGLE = 3
 BANDS, ROWS = 24, 2
@@ -25,7 +24,7 @@ SCALE_STEP = 0.75
 # Templates travel with the task; their number is bounded, whatever the size of the data.
 MAX_TEMPLATE_WORDS = 1_000_000
 PART = 1 << 16
-TOKEN = re.compile(rb"[a-z0-9]+")
+LETTERS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
 FOUND = "doc_id long, template string, containment double, start_word long, n_words long"
 
@@ -59,8 +58,9 @@ NOTICES = {
 }
 
 
-def token_ids(text: bytes, ids: WordIds) -> np.ndarray:
-    return ids.of(TOKEN.findall(text.lower()))
+def token_hasher() -> WordHasher:
+    """Words are runs of letters a-z, either case, and digits."""
+    return WordHasher(bytes(b for b in range(256) if b not in LETTERS), fold=True)
 
 
 def hash_family() -> tuple[np.ndarray, np.ndarray]:
@@ -72,13 +72,13 @@ class Templates:
     """Shingle sets of the templates, and their bands by scale."""
 
     def __init__(self, notices: dict[str, str]):
-        ids = WordIds()
-        words = {name: token_ids(text.encode(), ids) for name, text in notices.items()}
+        hasher = token_hasher()
+        words = {name: hasher.of(text.encode()) for name, text in notices.items()}
         words = {name: w for name, w in words.items() if len(w)}
         if sum(map(len, words.values())) > MAX_TEMPLATE_WORDS:
             raise ValueError(f"templates have more than {MAX_TEMPLATE_WORDS} words")
         self.names = sorted(words, key=lambda name: (-len(words[name]), name))
-        self.sets = [np.unique(windows(words[name], SHINGLE)) for name in self.names]
+        self.sets = [distinct(windows(words[name], SHINGLE)) for name in self.names]
         self.lengths = [len(words[name]) for name in self.names]
         a, b = hash_family()
         self.scales: dict[int, dict[int, list[int]]] = {}
@@ -127,12 +127,12 @@ def retrieved(marks: np.ndarray, scale: int, bands: dict[int, list[int]], family
 
 def scan_task(notices: dict[str, str], least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates, family, ids = Templates(notices), hash_family(), WordIds()
+        templates, family, hasher = Templates(notices), hash_family(), token_hasher()
         longest = max(templates.scales, default=0)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text"))):
-                marks = windows(token_ids(text, ids), SHINGLE)
+                marks = windows(hasher.of(text), SHINGLE)
                 best: dict[int, tuple[float, int, int]] = {}
                 # Long texts are scanned in parts that overlap by more than a window.
                 for at in range(0, len(marks), PART):
@@ -143,7 +143,7 @@ def scan_task(notices: dict[str, str], least: float):
                             begin, end = max(0, at + first - step), at + first + 4 * step + SHINGLE
                             near = np.isin(marks[begin:end], templates.sets[template])
                             size = len(templates.sets[template])
-                            share = len(np.unique(marks[begin:end][near])) / size
+                            share = len(distinct(marks[begin:end][near])) / size
                             if share >= least and share > best.get(template, (0.0,))[0]:
                                 hits = np.flatnonzero(near)
                                 found = int(hits[-1] - hits[0]) + min(SHINGLE, templates.lengths[template])

@@ -15,7 +15,7 @@ from docsync.llm.common import WORD, prefix_sums, stored
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 10_000
 SEED = 17
 
 
@@ -142,7 +142,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         F.col("doc_id").alias("_id"), F.col("key").alias("_key"),
         (F.col("taken") / F.col("size")).cast("int").alias("_times"),
     )
-    keyed = docs.withColumn("_row_key", row_key(options.get("seed", SEED)))
+    # The row travels as one column, so that no name of its own can clash.
+    own = [F.struct("*").alias("_row"), "doc_id", "source", row_key(options.get("seed", SEED)).alias("_row_key")]
+    keyed = docs.select(*own)
     # Repeated rows share a key; their takes add up and are dealt back evenly.
     dealt = times.groupBy("_id", "_key").agg(F.sum("_times").alias("_sum"), F.count("*").alias("_n"))
     on = keyed["_row_key"].eqNullSafe(dealt["_key"]) & keyed["doc_id"].eqNullSafe(dealt["_id"])
@@ -156,4 +158,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             F.col("_nth") <= F.col("_sum") % F.col("_n"), 1
         ).otherwise(0)
         out = out.withColumn("_sum", each).filter("_sum > 0")
-    return out.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_sum").cast("int")))).select(*docs.columns)
+    return out.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_sum").cast("int")))).select("_row.*")

@@ -25,7 +25,7 @@ PATTERNS = {
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "ip": rf"(?<![0-9A-Za-z.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])",
     "card": r"(?<![0-9A-Za-z+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z-])",
-    "phone": r"(?<![0-9A-Za-z+(])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9A-Za-z])",
 }
 ANY = "|".join(PATTERNS.values())
 # Nothing above matches a text without a digit, an at sign or a word that announces a secret.
@@ -220,12 +220,13 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     itself, so repeated rows come out alike and no rows give none. Input columns n_private and
     kinds are replaced; all others are kept as they are. Values that fail validation stay.
     """
-    others = [c for c in docs.columns if c not in ("text", "n_private", "kinds", "_found", "_values", "_pieces")]
+    # The row travels as one column, so that no name of its own can clash.
+    others = [c for c in docs.columns if c not in ("text", "n_private", "kinds")]
     look = F.coalesce(F.col("text").rlike(WORTH_A_LOOK), F.lit(False))
     found = F.when(look, F.regexp_extract_all("text", F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
-    rows = docs.select(*others, "text", found.alias("_found"))
+    rows = docs.select(F.struct(*others, F.lit(1).alias("_")).alias("_row"), "text", found.alias("_found"))
     values = F.transform("_found", lambda m: F.struct(m.alias("m"), kind_of(m).alias("k")))
-    rows = rows.select(*others, "text", values.alias("_values"))
+    rows = rows.select("_row", "text", values.alias("_values"))
     pieces = F.split("text", ANY, -1)
     joined = F.array_join(
         F.zip_with(
@@ -236,4 +237,4 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     kinds = F.filter(F.transform("_values", lambda v: v["k"]), lambda k: k.isNotNull())
     rows = rows.withColumn("kinds", kinds)
     text = F.when(F.size("kinds") > 0, joined).otherwise(F.col("text")).alias("text")
-    return rows.select(*others, text, F.size("kinds").cast("long").alias("n_private"), "kinds")
+    return rows.select(*[F.col("_row")[c].alias(c) for c in others], text, F.size("kinds").cast("long").alias("n_private"), "kinds")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsync.llm.common import BLANKS, WordIds, record_batch, text_bytes, windows
+from docsync.llm.common import BLANKS, WordHasher, record_batch, text_bytes, windows
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -214,7 +214,7 @@ def judge(field: Field | None, min_share: float):
     step = [[0.0, 0.0], [0.0, 0.0]] if field is None else field.step.tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
+        hasher = WordHasher()
         skip = BLANKS.encode() + CONTINUATION
         for batch in batches:
             out = []
@@ -225,7 +225,7 @@ def judge(field: Field | None, min_share: float):
                 if field is not None and counts:
                     states = viterbi((np.array(features) @ field.emission).tolist(), step)
                 content = sum(n for n, state in zip(counts, states) if state)
-                again = repeated_words(ids.of(words))
+                again = repeated_words(hasher.of(text))
                 failed = len(words) < MIN_WORDS or 100 * again > MAX_REPEAT_PERCENT * len(words)
                 kept = not failed and content >= min_share * len(words)
                 out.append(
@@ -240,7 +240,7 @@ def judge(field: Field | None, min_share: float):
     return run
 
 
-def with_verdicts(docs: DataFrame, columns: list[str], field: Field | None, min_share: float = MIN_CONTENT_SHARE) -> DataFrame:
+def with_verdicts(docs: DataFrame, columns: list, field: Field | None, min_share: float = MIN_CONTENT_SHARE) -> DataFrame:
     """`columns` of `docs`, then the verdict columns with a leading `_v_`."""
     rows = docs.select(*columns, F.col("doc_id").cast("long").alias("_doc_id"), F.col("text").alias("_text"))
     schema = docs.select(*columns).schema
@@ -263,5 +263,6 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, min_share: float = MIN_
 
 def good_documents(docs: DataFrame, labels: DataFrame, min_share: float = MIN_CONTENT_SHARE) -> DataFrame:
     """The rows of `docs` that are kept, with their own columns."""
-    out = with_verdicts(docs, docs.columns, train(docs, labels), min_share)
-    return out.filter("_v_kept").select(*docs.columns)
+    # The row travels as one column, so that no name of its own can clash.
+    out = with_verdicts(docs, [F.struct("*").alias("_row")], train(docs, labels), min_share)
+    return out.filter("_v_kept").select("_row.*")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsync.llm.common import stored, text_bytes
+from docsync.llm.common import distinct, stored, text_bytes
 from docsync.llm.sketch import SKETCH_BITS, frequency_classes, frequency_sketch, shared_only
 
 # The hash of 16 bytes decides; one place in 16 is a border, none within MIN_CHUNK of the last.
@@ -77,7 +77,7 @@ def digests(text: bytes, ends: np.ndarray) -> np.ndarray:
 def chunk_hashes():
     """A function from a text to the distinct digests of its chunks."""
     gear = gear_table()
-    return lambda text: np.unique(digests(text, borders(text, gear))) if text else np.zeros(0, np.uint64)
+    return lambda text: distinct(digests(text, borders(text, gear))) if text else np.zeros(0, np.uint64)
 
 
 def word_starts(text: bytes) -> np.ndarray:
@@ -183,17 +183,18 @@ def cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.append(text[last : span["start"]])
                 last = span["start"] + span["size"]
             out.append(b"".join([*kept, text[last:]]).decode("utf-8", "ignore"))
-        names = [n for n in batch.schema.names if n not in ("_spans", "_null")]
-        missing = batch.column("_null").to_pylist()
+        missing = batch.column("text").is_null().to_pylist()
         texts = pa.array([None if m else t for m, t in zip(missing, out)], pa.string())
-        yield pa.RecordBatch.from_arrays([texts if n == "text" else batch.column(n) for n in names], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column("_row"), texts], names=["_row", "_text"])
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """`docs` with every repeated passage cut out of all rows but the one that keeps it."""
     spans = repeated_passages(docs, min_words).filter("removed")
     spans = spans.groupBy(F.col("rk").alias("_rk")).agg(F.collect_set(F.struct("start", "size")).alias("_spans"))
-    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
-    joined = keyed.join(stored(spans, "spans"), keyed["_row"] == F.col("_rk"), "left").drop("_row", "_rk")
-    joined = joined.withColumn("_null", F.col("text").isNull())
-    return joined.mapInArrow(cut_spans, docs.schema).select(*docs.columns)
+    # The row travels as one column, so that no name of its own can clash.
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("_key")
+    keyed = docs.select(F.struct("*").alias("_row"), "text", key)
+    joined = keyed.join(stored(spans, "spans"), F.col("_key") == F.col("_rk"), "left").select("_row", "text", "_spans")
+    cut = joined.mapInArrow(cut_spans, keyed.select("_row").schema.add("_text", "string"))
+    return cut.select(*[F.col("_text").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
