@@ -21,12 +21,11 @@ from pyspark.sql import functions as F
 
 from docsync.llm.common import WordHasher, distinct, record_batch, stored, text_bytes, windows
 from docsync.llm.components import components
-from docsync.llm.sketch import SKETCH_BITS, frequency_classes, frequency_sketch, shared_only
+from docsync.llm.sketch import SKETCH_BITS, dealt_by_token, frequency_classes, frequency_sketch, shared_only
 from docsync.operators.skew import broadcast_if_small
 
 SHINGLE = 5
 PERCENT = 75
-HOT_SALTS = 64
 # Sets in a block around a leader, and how many of them a further set is compared with.
 BLOCK = 2000
 LOOK_BACK = 48
@@ -100,12 +99,14 @@ def postings(sets: DataFrame) -> DataFrame:
         F.first("n").alias("n"), F.first("n_cold").alias("n_cold"), F.first("prefix").alias("prefix")
     )
     rows = groups.select("grp", "n", "n_cold", F.posexplode("prefix").alias("pos", "tok"))
-    hot = F.col("pos") >= F.col("n_cold")
-    salted = F.xxhash64("tok", F.pmod("grp", F.lit(HOT_SALTS)))
-    rows = rows.select(F.when(hot, salted).otherwise(F.col("tok")).alias("key"), "tok", "grp", "n", "pos", hot.alias("hot"))
-    dealt = rows.repartition("key").sortWithinPartitions("key", "tok")
-    kept = dealt.mapInArrow(shared_only, "key long, tok long, grp long, n long, pos int, hot boolean")
-    return stored(kept.select("tok", "grp", "n", "pos"), "postings")
+    # Size, place and whether the token is hot, in one number: this is the largest shuffle.
+    hot = (F.col("pos") >= F.col("n_cold")).cast("long")
+    place = F.shiftleft("n", 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(hot)
+    dealt = dealt_by_token(rows.select("tok", "grp", place.alias("place")), "grp")
+    kept = dealt.mapInArrow(shared_only, "tok long, grp long, place long")
+    n = F.shiftright("place", 32).alias("n")
+    pos = F.shiftright("place", 1).bitwiseAND(F.lit((1 << 31) - 1)).alias("pos")
+    return stored(kept.select("tok", "grp", n, pos), "postings")
 
 
 # Comparing sets ------------------------------------------------------------------------------
@@ -236,15 +237,14 @@ def leaders(shared: DataFrame, percent: int) -> DataFrame:
     votes = votes.groupBy("grp", "grid", "hub").agg(F.count("*").alias("votes"))
     best = F.max_by("hub", F.struct("votes", F.xxhash64("hub")))
     pairs = votes.groupBy("grp", "grid").agg(best.alias("h")).select(F.col("grp").alias("g"), "h").distinct()
-    mine = shared.select("tok", F.col("grp").alias("g"), F.col("n").alias("gn"), F.col("pos").alias("gp"))
-    theirs = shared.select("tok", F.col("grp").alias("h"), F.col("n").alias("hn"), F.col("pos").alias("hp"))
-    both = pairs.join(mine, "g").join(theirs, ["h", "tok"])
-    return bounded(both, percent)
+    return bounded(pairs, shared, percent)
 
 
-def bounded(both: DataFrame, percent: int) -> DataFrame:
-    """(g, h) that may be similar, from one row per token that both prefixes have."""
-    rows = both.groupBy("g", "h").agg(
+def bounded(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (g, h) that may be similar by all tokens that both prefixes have."""
+    mine = shared.select("tok", F.col("grp").alias("g"), F.col("n").alias("gn"), F.col("pos").alias("gp"))
+    theirs = shared.select("tok", F.col("grp").alias("h"), F.col("n").alias("hn"), F.col("pos").alias("hp"))
+    rows = pairs.join(mine, "g").join(theirs, ["h", "tok"]).groupBy("g", "h").agg(
         F.count("*").alias("met"), F.first("gn").alias("gn"), F.first("hn").alias("hn"),
         F.min("gp").alias("gp"), F.min("hp").alias("hp"),
     )
@@ -270,8 +270,11 @@ def open_pairs(shared: DataFrame, labelled: DataFrame, percent: int) -> DataFram
     close = f"""
         (gn < hn OR gn = hn AND g < h) AND 100 * gn >= {percent} * hn
         AND NOT (glo = ghi AND hlo = hhi AND glo = hlo)
+        AND least(gn - gp, hn - hp) >= ({percent} * (gn + hn) + {99 + percent}) div {100 + percent}
     """
-    pairs = bounded(small.join(large, ["tok", "band"]).filter(close), percent)
+    # A similar pair passes at the first token it shares; only such pairs are counted through.
+    pairs = small.join(large, ["tok", "band"]).filter(close).select("g", "h").distinct()
+    pairs = bounded(pairs, placed, percent)
     mixed = spans.filter("lo <> hi").select(F.col("grp").alias("g"), F.col("grp").alias("h"))
     a = labelled.select(F.col("grp").alias("g"), F.col("gid").alias("a"), F.col("comp").alias("ca"))
     b = labelled.select(F.col("grp").alias("h"), F.col("gid").alias("b"), F.col("comp").alias("cb"))

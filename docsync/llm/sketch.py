@@ -12,11 +12,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from docsync.llm.common import record_batch, text_bytes
 
 SKETCH_BITS = 20
 SKETCH_BLOCK = 4096
+HOT_SALTS = 64
 COUNTS = "block long, counts binary"
 
 
@@ -78,7 +80,8 @@ def frequency_classes(counts: np.ndarray) -> np.ndarray:
 
 
 def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of `key`, those whose token stands twice or more; hot ones all pass."""
+    """Of rows in order of `tok`, those whose token stands twice or more, and all hot ones:
+    those whose `place` is odd."""
     last, last_met = None, False
     for batch in batches:
         if not batch.num_rows:
@@ -86,7 +89,7 @@ def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if last is not None:
             batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
         token = batch.column("tok").to_numpy(zero_copy_only=False)
-        hot = batch.column("hot").to_numpy(zero_copy_only=False)
+        hot = (batch.column("place").to_numpy(zero_copy_only=False) & 1) == 1
         met = np.zeros(len(token) + 1, dtype=bool)
         met[0] = last_met
         met[1:-1] = token[1:] == token[:-1]
@@ -96,3 +99,11 @@ def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_met = batch.slice(batch.num_rows - 1), bool(met[-2] or hot[-1])
     if last is not None and last_met:
         yield last
+
+
+def dealt_by_token(rows: DataFrame, owner: str) -> DataFrame:
+    """Rows (tok, place, ...) with those of a token together, in order; hot tokens, whose
+    `place` is odd, are dealt out over salts by `owner` instead."""
+    salted = F.xxhash64("tok", F.pmod(owner, F.lit(HOT_SALTS)))
+    key = F.when(F.col("place") % 2 != 0, salted).otherwise(F.col("tok"))
+    return rows.repartition(key).sortWithinPartitions("tok")

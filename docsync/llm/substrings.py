@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsync.llm.common import distinct, stored, text_bytes
-from docsync.llm.sketch import SKETCH_BITS, frequency_classes, frequency_sketch, shared_only
+from docsync.llm.sketch import SKETCH_BITS, dealt_by_token, frequency_classes, frequency_sketch, shared_only
 
 # The hash of 16 bytes decides; one place in 16 is a border, none within MIN_CHUNK of the last.
 # So a passage of 50 words holds several whole chunks however it is cut at its ends.
@@ -24,11 +24,12 @@ WINDOW = 16
 BORDER_MASK = 0xF000
 MIN_CHUNK, MAX_CHUNK = 16, 4096
 MIN_WORDS = 18
-HOT_SALTS = 64
 SEED = 7
 SPACES = b" \t\n\x0b\x0c\r"
 
-CHUNK = "tok long, rk long, doc_id long, start long, size int, words int, hot boolean, key long"
+# `place` is start, size, words and whether the digest is hot, in one number.
+CHUNK = "tok long, rk long, doc_id long, place long"
+SIZE_BITS = WORD_BITS = 13
 
 
 def gear_table() -> np.ndarray:
@@ -106,12 +107,11 @@ def chunk_task(bits: int, classes):
                 words = np.add.reduceat(word_starts(text).astype(np.int32), starts)
                 n = len(ends)
                 hot = of_cell[(marks >> shift).astype(np.int64)] > 0
-                salt = np.uint64(rk % HOT_SALTS)
-                key = np.where(hot, marks ^ (salt + np.uint64(1)), marks)
+                place = (starts << SIZE_BITS | ends - starts) << WORD_BITS | words
                 no_id = doc_id is None
                 parts.append([
-                    marks.view(np.int64), np.full(n, rk), np.full(n, 0 if no_id else doc_id), starts,
-                    (ends - starts).astype(np.int32), words, hot, key.view(np.int64), np.full(n, no_id),
+                    marks.view(np.int64), np.full(n, rk), np.full(n, 0 if no_id else doc_id), place << 1 | hot,
+                    np.full(n, no_id),
                 ])
                 held += n
                 if held > 100_000:
@@ -123,21 +123,30 @@ def chunk_task(bits: int, classes):
 
 
 def chunk_batch(parts: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()]
-    columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0)] * 9
-    masks = [None] * 8
-    masks[2] = columns[8].astype(bool)
-    arrays = [pa.array(c.astype(k.to_pandas_dtype()), k, mask=m) for c, k, m in zip(columns, kinds, masks)]
+    columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, dtype=np.int64)] * 5
+    masks = [None, None, columns[4].astype(bool), None]
+    arrays = [pa.array(c.astype(np.int64), pa.int64(), mask=m) for c, m in zip(columns, masks)]
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 def repeated_chunks(rows: DataFrame, bits: int) -> DataFrame:
-    """Stored chunks (tok, rk, doc_id, start, size, words) whose digest stands in two rows or more."""
+    """Stored chunks (tok, rk, doc_id, start, size, words) whose digest stands in two rows or more.
+
+    Hot digests all pass; whether they stand in two rows is counted later.
+    """
     spark = rows.sparkSession
     classes = spark.sparkContext.broadcast(frequency_classes(frequency_sketch(rows, chunk_hashes, (), bits)))
-    chunks = rows.mapInArrow(chunk_task(bits, classes), CHUNK)
-    dealt = chunks.repartition("key").sortWithinPartitions("key", "tok")
-    return stored(dealt.mapInArrow(shared_only, CHUNK).drop("key"), "chunks")
+    chunks = rows.select("rk", "doc_id", "text").mapInArrow(chunk_task(bits, classes), CHUNK)
+    kept = dealt_by_token(chunks, "rk").mapInArrow(shared_only, CHUNK)
+    low = F.lit((1 << SIZE_BITS) - 1)
+    return stored(
+        kept.select(
+            "tok", "rk", "doc_id", F.shiftright("place", SIZE_BITS + WORD_BITS + 1).alias("start"),
+            F.shiftright("place", WORD_BITS + 1).bitwiseAND(low).alias("size"),
+            F.shiftright("place", 1).bitwiseAND(low).alias("words"),
+        ),
+        "chunks",
+    )
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = SKETCH_BITS) -> DataFrame:
