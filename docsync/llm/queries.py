@@ -80,4 +80,38 @@ REGISTRY: dict[str, Query] = {
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE: dict[str, str] = {}
+# The others keep hash-random orders, tokenizer ids, models or keyed permutations, which SQL
+# cannot express; tests compare them with brute force.
+ORACLE: dict[str, str] = {
+    "op2_ngram_jaccard": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+            FROM documents),
+        shingles AS MATERIALIZED (
+            SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+        sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY ALL),
+        links AS MATERIALIZED (
+            SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+                FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL)
+            JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+            WHERE 100 * shared >= 75 * (p.n + q.n - shared)),
+        reach AS (SELECT doc_id, doc_id AS other FROM documents
+            UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+        SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.other) AS component_id
+        FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN reach r ON r.doc_id = d.doc_id
+        GROUP BY d.doc_id""",
+    "op6_exact_dedup": r"""
+        SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+            doc_id = first_value(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+        FROM (SELECT doc_id, coalesce(text, '') AS text,
+            regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
+        WINDOW w AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id)""",
+    "op9_warc": """
+        SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest,
+            CASE WHEN page_id = first OR strlen(html) < 100 THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first AND strlen(html) >= 100 THEN first END AS refers_to
+        FROM (SELECT page_id, html, min(page_id) OVER (PARTITION BY html) AS first
+            FROM (SELECT page_id, coalesce(html, '') AS html FROM pages))""",
+}
