@@ -1,9 +1,32 @@
 """Values every other module agrees on."""
 
 # File types, names and labels that decide what is delivered and how.
-ALLOWED_EXTENSIONS = (
-    "md txt pdf csv json yaml yml toml xml html htm rst log cfg ini conf py rs go js ts sh bat ps1"
-).split()
+ALLOWED_EXTENSIONS = [
+    "md",
+    "txt",
+    "pdf",
+    "csv",
+    "json",
+    "yaml",
+    "yml",
+    "toml",
+    "xml",
+    "html",
+    "htm",
+    "rst",
+    "log",
+    "cfg",
+    "ini",
+    "conf",
+    "py",
+    "rs",
+    "go",
+    "js",
+    "ts",
+    "sh",
+    "bat",
+    "ps1",
+]
 TEXT_EXTENSIONS = [e for e in ALLOWED_EXTENSIONS if e != "pdf"]
 MARKDOWN_EXTENSIONS = ["md", "txt"]
 OS_FILES = [".DS_Store", "Thumbs.db", "desktop.ini", ".gitkeep"]
@@ -30,6 +53,13 @@ FENCE_LANGUAGES = {
     "conf": "ini",
     "log": "log",
 }
+RUN_COLORS = {
+    "running": "text-sky-400",
+    "error": "text-red-400",
+    "completed": "text-emerald-400",
+    "idle": "text-zinc-400",
+    "unknown": "text-zinc-400",
+}
 IGNORE_FILE = ".ragignore"
 DEFAULT_LABEL = "File Context"
 DEFAULT_ROOT = "/rag"
@@ -38,6 +68,7 @@ DEFAULT_UPLOADS = 5
 CONFIG_KEY = "config:global"
 MAX_ATTEMPTS = 3
 BACKOFF_MS = 500
+POLL_MS = 2000
 PAGE_SIZE = 10
 PAGER_WIDTH = 5
 CHUNK_TOKENS = 1500

@@ -103,12 +103,10 @@ def run_status_phase(detail: Column) -> Column:
 def run_status_color(detail: Column) -> Column:
     """Style class a run status is shown with."""
     phase = run_status_phase(detail)
-    return (
-        F.when(phase == "running", "text-sky-400")
-        .when(phase == "error", "text-red-400")
-        .when(phase == "completed", "text-emerald-400")
-        .otherwise("text-zinc-400")
-    )
+    color = F.lit(C.RUN_COLORS["unknown"])
+    for name, style in C.RUN_COLORS.items():
+        color = F.when(phase == name, style).otherwise(color)
+    return color
 
 
 def normalize_base_url(url: Column) -> Column:

@@ -61,19 +61,36 @@ def delivery_backoff(attempts: DataFrame) -> DataFrame:
     return delivery_outcome(attempts).select("request_id", waits.cast("bigint").alias("backoff_ms"))
 
 
+def _judged_polls(polls: DataFrame) -> DataFrame:
+    """Add `err`, the two earlier `err` marks and `verdict` to each poll."""
+    given = polls.columns
+    answered = F.col("answered") if "answered" in given else F.col("status").isNotNull()
+    readable = F.coalesce("body_ok", F.lit(True)) if "body_ok" in given else F.lit(True)
+    rows = polls.select(
+        "file_id", "seq", "status", (~F.coalesce(answered, F.lit(False))).alias("err"), readable.alias("readable")
+    )
+    seen = run_lag(rows, ["file_id"], "seq", "err", C.MAX_ATTEMPTS - 1)
+    third = F.col("err") & F.col("err_lag1") & F.col("err_lag2")
+    verdict = (
+        F.when(~F.col("err") & ~F.col("readable"), "error")
+        .when(~F.col("err") & F.col("status").isin("completed", "failed"), F.col("status"))
+        .when(third, "error")
+    )
+    return seen.withColumn("verdict", verdict)
+
+
 def poll_outcome(polls: DataFrame) -> DataFrame:
-    """Fold each file's polls up to the first that decides: completed, failed, or the
-    third error in a row. A poll that answers ends a row of errors.
+    """Fold each file's polls up to the first that decides: completed, failed, an answer whose
+    body cannot be read, or the third error in a row. A poll that answers ends a row of
+    errors; one that answers without a status, or with any other, goes on.
 
-    `seq` is an integer, unique per file. `status` is null when the poll itself failed.
+    `seq` is an integer, unique per file. `answered` tells whether the poll got a 2xx answer
+    and `body_ok` whether that could be read, as `remote_json.parse_status` gives
+    them. Without `answered`, a null status means that the poll itself failed.
     """
-    rows = polls.select("file_id", "seq", "status", F.col("status").isNull().alias("err"))
-    seen = run_lag(rows, ["file_id"], "seq", "err", C.MAX_ATTEMPTS - 1)
-    third = F.col("err") & F.col("err_lag1") & F.col("err_lag2")
-    verdict = F.when(F.col("status").isin("completed", "failed"), F.col("status")).when(third, "error")
     decided = F.col("verdict").isNotNull()
     return (
-        seen.withColumn("verdict", verdict)
+        _judged_polls(polls)
         .groupBy("file_id")
         .agg(
             F.min_by("verdict", F.when(decided, F.col("seq"))).alias("verdict"),
@@ -83,6 +100,25 @@ def poll_outcome(polls: DataFrame) -> DataFrame:
     )
 
 
+def poll_wait(polls: DataFrame) -> DataFrame:
+    """Milliseconds waited between a file's polls, up to the one that decides: 2000 after an
+    answer, 500 after a first error and 1000 after a second in a row. Takes what
+    `poll_outcome` takes."""
+    wait = (
+        F.when(~F.col("err"), C.POLL_MS)
+        .when(F.coalesce("err_lag1", F.lit(False)), 2 * C.BACKOFF_MS)
+        .otherwise(C.BACKOFF_MS)
+    )
+    judged = _judged_polls(polls).withColumn("wait", wait)
+    ends = judged.groupBy("file_id").agg(F.min(F.when(F.col("verdict").isNotNull(), F.col("seq"))).alias("_end"))
+    # One row per file on the right; AQE splits a file that owns most polls.
+    rows = judged.join(ends, "file_id").filter(F.col("_end").isNull() | (F.col("seq") <= F.col("_end")))
+    return rows.groupBy("file_id").agg(
+        F.count("*").alias("n_polls"),
+        F.coalesce(F.sum(F.when(F.col("verdict").isNull(), F.col("wait"))), F.lit(0)).cast("bigint").alias("wait_ms"),
+    )
+
+
 def committable_uploads(uploads: DataFrame, polls: DataFrame, attaches: DataFrame) -> DataFrame:
     """Files whose upload, processing and attachment all succeeded; only these may be
     recorded as delivered. Inputs are outcome tables, one row per file."""

@@ -13,7 +13,7 @@ def flag_ragignored(files: DataFrame, patterns: DataFrame, dialect: str = "subst
     """Add `is_ragignored`: an ignore pattern of the file's knowledge base matches
     its path below the root. A file outside the root is never ignored.
 
-    `files` has one row per (kb_id, path) or (kb_id, absolute_path). Patterns whose size
+    `files` has (kb_id, path) or (kb_id, absolute_path); rows may repeat. Patterns whose size
     was measured travel as one array per knowledge base. A bigger table is matched row by
     row, salted, in a semi join that leaves only the paths hit.
     """
@@ -32,7 +32,7 @@ def flag_ragignored(files: DataFrame, patterns: DataFrame, dialect: str = "subst
     matches = P.pattern_matches(F.col("f.rel_path"), F.col("p.pattern"), dialect)
     hits = keyed.join(rules, same & matches, "left_semi").select(
         "kb_id", path, F.lit(True).alias("is_ragignored")
-    )
+    ).distinct()
     return files.join(hits, ["kb_id", path], "left").withColumn(
         "is_ragignored", F.coalesce("is_ragignored", F.lit(False))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docsync import constants as C
 from docsync.functions import predicates as P
 from docsync.functions import scalars as S
-from docsync.operators.skew import fits_broadcast, lookup_by_kb
+from docsync.operators.skew import broadcast_if_small, lookup_by_kb, set_down
 
 
 def due(plan: DataFrame) -> DataFrame:
@@ -29,12 +29,14 @@ def with_header(plan: DataFrame, config: DataFrame) -> DataFrame:
 def attach_content(plan: DataFrame, contents: DataFrame, plan_is_stored: bool = False) -> DataFrame:
     """Join a content table to the plan on path.
 
-    Content outweighs the plan by far. A stored plan is measured first, and when the
-    changed files are few it is broadcast and no content moves.
+    Content outweighs the plan by far, so the plan is set down once and measured: when the
+    changed files are few it is broadcast and no content moves. Beyond that both sides are
+    shuffled, content of unplanned files included unless the session's runtime
+    filters apply, which they do for scans of 10 GB and more.
     """
-    if plan_is_stored and fits_broadcast(plan):
-        plan = F.broadcast(plan)
-    return contents.join(plan, ["kb_id", "path"])
+    if not plan_is_stored:
+        plan = set_down(plan, "plan")
+    return contents.join(broadcast_if_small(plan), ["kb_id", "path"])
 
 
 def build_payload(rows: DataFrame) -> DataFrame:
@@ -61,7 +63,8 @@ def chunk_payloads(
 ) -> DataFrame:
     """Cut the text of each `payload` into overlapping word windows, one row each.
 
-    `header_fits` tells whether every word of `header` lies within window 0.
+    `header_fits` tells whether every word of `header` lies within window 0. What is
+    delivered byte for byte, such as a PDF, has no words to cut.
     """
     header_words = F.size(S.split_words(F.col("header")))
     windows = F.posexplode(S.word_windows(F.col("_words"), size, overlap)).alias("chunk_no", "_chunk")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +34,19 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df) else df
 
 
+def set_down(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the folder in spark.checkpoint.dir, which all executors
+    share, and read it back. Where none is set, as in tests, a temporary one is used."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="docsync-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/docsync/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def full_join_stored(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     """Full outer join of a big table with a stored, usually small one, unique on `keys`.
 

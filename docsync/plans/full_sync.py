@@ -36,8 +36,9 @@ def sync_frame(
     only). `action` is NEW, UPDATE, SKIP, FAILED, ORPHAN, KEPT (tracked, not ingested,
     not dropped), CONTEXT (a context note without a file) or IGNORED; `reason` says why.
     """
+    raw = [c for c in disk.columns if c == "raw"]
     listed = filter_disposition(disk, patterns).select(
-        *KEY, "path", "filename", "disposition", "is_filtered", "content_hash"
+        *KEY, "path", "filename", "disposition", "is_filtered", "content_hash", *raw
     )
     outcomes = name_outcomes(disk, remote.filter(F.col("kb_id") != "")).drop("first_path")
     stored = state.select(*KEY, *[F.col(c).alias(f"_{c}") for c in state.columns if c not in KEY])
@@ -98,6 +99,7 @@ def sync_frame(
             F.col("_id").alias("remote_file_id"),
             F.col("_context_text").alias("context_text"),
             F.coalesce("_dirty", F.lit(False)).alias("context_dirty"),
+            *raw,
         )
     )
 
@@ -106,17 +108,21 @@ def next_state(frame: DataFrame, delivered: DataFrame) -> DataFrame:
     """Tracked state after the run. `delivered` holds `(kb_id, file_key,
     remote_file_id)` of the uploads that went through; an upload that did not leaves its
     row as it was, to be tried again."""
-    done = delivered.select(*KEY, F.col("remote_file_id").alias("_new_id"))
+    done = delivered.select(*KEY, F.col("remote_file_id").alias("new_remote_id"))
+    return settled(frame.join(done, KEY, "left"))
+
+
+def settled(frame: DataFrame) -> DataFrame:
+    """Tracked state after the run, from a frame whose rows have their `new_remote_id`, null
+    where nothing went through."""
     due = F.col("action").isin("NEW", "UPDATE")
-    sent = F.col("_new_id").isNotNull() & due
-    joined = frame.join(done, KEY, "left").filter(
-        (F.col("action") != "ORPHAN") & (F.col("is_tracked") | sent)
-    )
-    return joined.select(
+    sent = F.col("new_remote_id").isNotNull() & due
+    rows = frame.filter((F.col("action") != "ORPHAN") & (F.col("is_tracked") | sent))
+    return rows.select(
         *KEY,
         F.when(sent, F.col("path")).otherwise(F.col("absolute_path")).alias("absolute_path"),
         F.when(sent, F.col("content_hash")).otherwise(F.col("stored_hash")).alias("content_hash"),
-        F.when(sent, F.col("_new_id")).otherwise(F.col("remote_file_id")).alias("remote_file_id"),
+        F.when(sent, F.col("new_remote_id")).otherwise(F.col("remote_file_id")).alias("remote_file_id"),
         "context_text",
         (F.col("context_dirty") & ~sent).alias("context_dirty"),
     )
@@ -139,6 +145,31 @@ def sync_actions(frame: DataFrame) -> DataFrame:
     return frame.select(*KEY, F.inline(F.array_compact(entries)))
 
 
+def remote_deletes(frame: DataFrame) -> DataFrame:
+    """Remote files to delete: the old one of an UPDATE and that of an ORPHAN."""
+    rows = frame.filter(F.col("delete_remote_id").isNotNull())
+    return rows.select(*KEY, "action", F.col("delete_remote_id").alias("remote_file_id"))
+
+
+def delivery_work(frame: DataFrame, config: DataFrame) -> DataFrame:
+    """Everything a run asks of the remote side, one row per request.
+
+    `work` is delete or upload; deletes come before uploads, and an UPDATE gives both. `lane` deals
+    the requests of a knowledge base out to as many uploaders as its configuration
+    allows at a time, by file key, so both requests of a file are in one lane; it is null where
+    their number is not limited.
+    """
+    upload = F.when(F.col("action").isin("NEW", "UPDATE"), F.struct(F.lit(2).alias("step"), F.lit("upload").alias("work"), F.lit(None).cast("string").alias("remote_file_id")))
+    delete = F.when(
+        F.col("delete_remote_id").isNotNull(),
+        F.struct(F.lit(1).alias("step"), F.lit("delete").alias("work"), F.col("delete_remote_id").alias("remote_file_id")),
+    )
+    rows = frame.select(*KEY, "path", "action", F.inline(F.array_compact(F.array(delete, upload))))
+    limits = config.select("kb_id", F.nullif(F.col("max_concurrent_uploads"), F.lit(0)).alias("_lanes"))
+    dealt = F.conv(F.substring("file_key", 1, 8), 16, 10).cast("bigint") % F.col("_lanes")
+    return lookup_by_kb(rows, limits, F.col("file_key")).withColumn("lane", dealt.cast("bigint")).drop("_lanes")
+
+
 def write_plan(plan: DataFrame, path: str, partitions: int = 0) -> None:
     """Write delivery work by knowledge base and action.
 
@@ -158,6 +189,7 @@ class SyncResult:
     payloads: DataFrame
     state: DataFrame
     summary: DataFrame
+    deletes: DataFrame
 
 
 def run_sync(
@@ -169,11 +201,14 @@ def run_sync(
     contents: Callable[[DataFrame], DataFrame],
     deliver: Callable[[DataFrame], DataFrame],
     tag: str = "",
+    delete: Callable[[DataFrame], None] | None = None,
+    plan_path: str = "",
 ) -> SyncResult:
     """Run one sync against the state in `store` and commit the outcome.
 
     The run covers the knowledge bases `config` has a row for; `disk` must list all of
-    each. Tracked rows of others in the same store are carried over untouched.
+    each. Tracked rows of others in the same store are not touched, and only rows that a run
+    changes are committed.
 
     `contents` adds a `content` column to planned files, such as
     `plans.tree_sync.read_spread`. `deliver` takes the payload table and returns the
@@ -182,11 +217,15 @@ def run_sync(
     commit work from the same rows even if files change or executors are lost meanwhile.
     The commit comes last; a run that stops before it leaves the state untouched, and the
     next run repairs it from the remote listing.
+
+    `delete` gets the remote files to delete: of orphans, and the old ones of updates. They are
+    stored first and the state names them until the commit, so a run that stops in
+    between hands them over again. With `plan_path`, a new folder, all requests are written
+    there by knowledge base and action as well (see `delivery_work`).
     """
     in_run = config.select("kb_id", F.lit(True).alias("_in_run"))
     state = lookup_by_kb(store.read(), in_run, F.col("file_key"))
     own = state.filter("_in_run").drop("_in_run")
-    others = state.filter("_in_run IS NULL").drop("_in_run")
     if remote is None:
         remote = store.spark.createDataFrame([], REMOTE_FILES)
     frame = store.stage("frame", sync_frame(disk, own, remote, patterns))
@@ -195,7 +234,14 @@ def run_sync(
     )
     bodies = payload.build_payload(contents(payload.with_header(due, config)))
     payloads = store.stage("payloads", bodies)
+    deletes = store.stage("deletes", remote_deletes(frame))
+    if plan_path:
+        write_plan(delivery_work(frame, config), plan_path)
+    if delete is not None:
+        delete(deletes)
     delivered = store.stage("delivered", deliver(payloads))
-    after = next_state(frame, broadcast_if_small(delivered))
-    store.commit(after.unionByName(others), tag)
-    return SyncResult(frame, payloads, store.read(), reports.sync_summary(frame))
+    sent = broadcast_if_small(delivered)
+    changed = frame.filter(F.col("healed") | F.col("action").isin("NEW", "UPDATE"))
+    gone = frame.filter("action = 'ORPHAN'").select(*KEY)
+    store.commit_changes(next_state(changed, sent), tag, gone)
+    return SyncResult(frame, payloads, store.read(), reports.sync_summary(frame), deletes)

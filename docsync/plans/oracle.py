@@ -276,6 +276,64 @@ CTE["numbered"] = f"""
     SELECT *, (rank - 1) // {C.PAGE_SIZE} + 1 AS page
     FROM (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY path) AS rank FROM listing)"""
 
+CTE["answers"] = """
+    SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS file_id, event_id AS seq, event_type <> 'error' AS answered,
+        event_type NOT IN ('error', 'signup') OR (event_type = 'signup' AND event_id % 2 = 0) AS body_ok,
+        CASE WHEN event_type = 'click' THEN 'pending' WHEN event_type = 'purchase' THEN 'completed'
+            WHEN event_type = 'signup' AND event_id % 2 = 0 THEN 'failed' END AS status
+    FROM events"""
+CTE["poll_steps"] = """
+    SELECT file_id, seq, answered, streak, CASE WHEN answered AND NOT body_ok THEN 'error'
+        WHEN answered AND status IN ('completed', 'failed') THEN status
+        WHEN NOT answered AND streak >= 3 THEN 'error' END AS verdict
+    FROM (SELECT *, row_number() OVER (PARTITION BY file_id, island, answered ORDER BY seq) AS streak
+        FROM (SELECT *, count(*) FILTER (answered) OVER (PARTITION BY file_id ORDER BY seq) AS island FROM answers))"""
+CTE["changes"] = """
+    SELECT 'main' AS kb_id, 'u' || user_id AS file_key, '/rag/u' || user_id || '.md' AS path, event_id AS seq,
+        CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'context' ELSE 'upsert' END AS op,
+        CASE WHEN event_type NOT IN ('error', 'signup') THEN sha256(event_type || event_id % 7) END AS content_hash
+    FROM events"""
+CTE["latest"] = """
+    SELECT kb_id, file_key, c.seq AS new_content_seq, c.path AS new_path, c.content_hash AS new_hash, c.op AS new_op,
+        n.seq AS new_context_seq
+    FROM (SELECT DISTINCT kb_id, file_key FROM changes)
+    LEFT JOIN (SELECT * FROM changes WHERE op <> 'context'
+        QUALIFY row_number() OVER (PARTITION BY kb_id, file_key ORDER BY seq DESC) = 1) c USING (kb_id, file_key)
+    LEFT JOIN (SELECT kb_id, file_key, max(seq) AS seq FROM changes WHERE op = 'context' GROUP BY ALL) n
+        USING (kb_id, file_key)"""
+CTE["known_files"] = """
+    SELECT 'main' AS kb_id, 'u' || c_custkey AS file_key, path AS absolute_path, hash AS content_hash,
+        CASE WHEN c_custkey % 6 = 0 THEN '' ELSE 'fid-' || c_custkey END AS remote_file_id,
+        CASE WHEN c_nationkey % 3 = 0 THEN 'note ' || c_custkey END AS context_text, c_nationkey % 5 = 0 AS context_dirty,
+        CASE c_custkey % 3 WHEN 1 THEN 10 WHEN 2 THEN 100000000 END AS content_seq,
+        CASE c_custkey % 4 WHEN 1 THEN 5 WHEN 2 THEN 100000000 END AS context_seq, path AS wanted_path,
+        CASE WHEN c_custkey % 8 = 0 THEN sha256('open') ELSE hash END AS wanted_hash,
+        path IS NULL AND c_custkey % 2 = 0 AS is_deleted
+    FROM (SELECT *, CASE WHEN path IS NOT NULL THEN sha256('click' || c_custkey % 7) END AS hash
+        FROM (SELECT *, CASE WHEN c_nationkey % 4 <> 0 THEN '/rag/u' || c_custkey || '.md' END AS path FROM customer))"""
+CTE["decided"] = """
+    SELECT kb_id, file_key, absolute_path, content_hash, remote_file_id, context_text, dirty AS context_dirty,
+        CAST(content_seq AS BIGINT) AS content_seq, CAST(context_seq AS BIGINT) AS context_seq, wanted_path, wanted_hash,
+        dead AS is_deleted, fresh OR edited AS touched,
+        CASE WHEN dead THEN CASE WHEN absolute_path IS NOT NULL THEN 'ORPHAN' END
+            WHEN wanted_hash IS NULL THEN NULL
+            WHEN content_hash IS NULL AND NOT dirty AND context_text IS NULL THEN 'NEW'
+            WHEN dirty OR content_hash IS NULL OR content_hash <> wanted_hash THEN 'UPDATE'
+            WHEN fresh OR edited THEN 'SKIP' END AS action
+    FROM (SELECT * REPLACE (
+                CASE WHEN fresh THEN new_path ELSE wanted_path END AS wanted_path,
+                CASE WHEN fresh THEN new_hash ELSE wanted_hash END AS wanted_hash,
+                CASE WHEN fresh THEN new_content_seq ELSE content_seq END AS content_seq,
+                CASE WHEN edited THEN new_context_seq WHEN cut THEN greatest(coalesce(context_seq, -1), new_content_seq)
+                    ELSE context_seq END AS context_seq),
+            CASE WHEN fresh THEN new_op = 'delete' ELSE coalesce(is_deleted, false) END AS dead,
+            coalesce(context_dirty, false) OR edited AS dirty
+        FROM (SELECT *, coalesce(new_context_seq > coalesce(context_seq, -1)
+                AND (NOT cut OR new_context_seq > new_content_seq), false) AS edited
+            FROM (SELECT *, coalesce(fresh AND new_op = 'delete', false) AS cut
+                FROM (SELECT *, coalesce(new_content_seq > coalesce(content_seq, -1), false) AS fresh
+                    FROM known_files FULL JOIN latest USING (kb_id, file_key)))))"""
+
 STATE = "kb_id, file_key, absolute_path, content_hash, remote_file_id, context_text, context_dirty"
 NAMES = "SELECT kb_id, path FROM disk WHERE "
 
@@ -283,9 +341,15 @@ BODY: dict[str, str] = {
     "ragignore_patterns": """
         SELECT CAST(doc_id AS VARCHAR) AS kb_id, line_no, pattern
         FROM (SELECT doc_id, CAST(i AS BIGINT) AS line_no,
-                trim(list_extract(lines, i), ' ' || chr(9) || chr(10) || chr(12) || chr(13)) AS pattern
-            FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
-                FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)))
+                regexp_replace(regexp_replace(list_extract(lines, i), '^[' || blank || ']+', ''),
+                    '[' || blank || ']+$', '') AS pattern
+            FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i,
+                    '\\t\\n\\x0b\\f\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}'
+                        AS blank
+                FROM (SELECT doc_id, string_split(odd || replace(text, '. ', odd || chr(10) || odd || '#') || odd,
+                        chr(10)) AS lines
+                    FROM (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN chr(160) WHEN 1 THEN chr(8195)
+                        ELSE '' END AS odd FROM documents))))
         WHERE pattern <> '' AND NOT starts_with(pattern, '#')""",
     "tracked_state": """SELECT kb_id, file_key, absolute_path, coalesce(remote_file_id, '') AS remote_file_id
         FROM state WHERE absolute_path IS NOT NULL""",
@@ -374,8 +438,9 @@ BODY: dict[str, str] = {
     "kb_label": """SELECT id, CASE WHEN name = '' THEN id WHEN description = '' THEN name
         ELSE name || ' — ' || description END AS label FROM catalog""",
     "run_status_phase": """
-        SELECT event_id, detail, phase, 'text-' || CASE phase WHEN 'running' THEN 'sky' WHEN 'error' THEN 'red'
-            WHEN 'completed' THEN 'emerald' ELSE 'zinc' END || '-400' AS color
+        SELECT event_id, detail, phase, CASE phase WHEN 'running' THEN 'text-sky-400'
+            WHEN 'error' THEN 'text-red-400' WHEN 'completed' THEN 'text-emerald-400'
+            ELSE 'text-zinc-400' END AS color
         FROM (SELECT event_id, CASE event_type WHEN 'click' THEN 'Running' WHEN 'view' THEN 'Completed successfully'
                 WHEN 'error' THEN 'Error: ' || props WHEN 'purchase' THEN 'Idle' ELSE props END AS detail,
             CASE event_type WHEN 'click' THEN 'running' WHEN 'view' THEN 'completed' WHEN 'error' THEN 'error'
@@ -437,6 +502,42 @@ BODY: dict[str, str] = {
             LEFT JOIN state1 s ON s.kb_id = r.kb_id AND s.file_key = r.file_key
             LEFT JOIN disk d ON d.kb_id = r.kb_id AND d.file_key = r.file_key
             WHERE r.action <> 'ORPHAN' AND (r.is_tracked OR sent))""",
+    "delivery_work": """
+        SELECT kb_id, file_key, path, action, step, work, remote_file_id,
+            CASE WHEN lanes > 0 THEN CAST('0x' || file_key[:8] AS BIGINT) % lanes END AS lane
+        FROM (SELECT w.*, CASE WHEN g.kb_id IS NOT NULL THEN length(w.kb_id) % 3 * 4 END AS lanes
+            FROM (SELECT kb_id, file_key, path, action, 2 AS step, 'upload' AS work, NULL AS remote_file_id
+                FROM run WHERE action IN ('NEW', 'UPDATE')
+                UNION ALL SELECT kb_id, file_key, path, action, 1, 'delete', delete_remote_id
+                FROM run WHERE delete_remote_id IS NOT NULL) w
+            LEFT JOIN config g ON g.kb_id = w.kb_id)""",
+    "response_bodies": "SELECT file_id, seq, body_ok, status, answered FROM answers",
+    "poll_bodies_outcome": """SELECT file_id, coalesce(arg_min(verdict, seq) FILTER (verdict IS NOT NULL), 'pending')
+        AS outcome, coalesce(min(seq) FILTER (verdict IS NOT NULL), -1) AS decided_at FROM poll_steps GROUP BY ALL""",
+    "poll_wait": """
+        SELECT file_id, count(*) AS n_polls, CAST(coalesce(sum(CASE WHEN verdict IS NULL THEN
+            CASE WHEN answered THEN 2000 WHEN streak = 1 THEN 500 ELSE 1000 END END), 0) AS BIGINT) AS wait_ms
+        FROM (SELECT *, min(CASE WHEN verdict IS NOT NULL THEN seq END) OVER (PARTITION BY file_id) AS last FROM poll_steps)
+        WHERE last IS NULL OR seq <= last GROUP BY ALL""",
+    "rejected_bodies": """
+        SELECT CAST(page AS VARCHAR) AS kb_id, CASE WHEN page % 7 = 3 THEN 'not_json' ELSE 'no_id' END AS reason
+        FROM (SELECT event_id // 50 AS page, bool_or(event_id % 97 = 5) AS missing FROM events GROUP BY ALL)
+        WHERE page % 7 = 3 OR missing""",
+    "latest_changes": "SELECT * FROM latest",
+    "apply_changes": "SELECT * FROM decided",
+    "stream_deletes": """SELECT kb_id, file_key, action, remote_file_id FROM decided
+        WHERE action IN ('UPDATE', 'ORPHAN') AND remote_file_id <> ''""",
+    "settle": """
+        SELECT kb_id, file_key,
+            CASE WHEN sent THEN wanted_path WHEN NOT dropped THEN absolute_path END AS absolute_path,
+            CASE WHEN sent THEN wanted_hash WHEN NOT dropped THEN content_hash END AS content_hash,
+            CASE WHEN sent THEN 'up-' || file_key WHEN NOT dropped THEN remote_file_id END AS remote_file_id,
+            CASE WHEN NOT dropped THEN context_text END AS context_text,
+            context_dirty AND NOT sent AND NOT dropped AS context_dirty, content_seq, context_seq,
+            CASE WHEN NOT dropped THEN wanted_path END AS wanted_path,
+            CASE WHEN NOT dropped THEN wanted_hash END AS wanted_hash, is_deleted
+        FROM (SELECT *, coalesce(action IN ('NEW', 'UPDATE'), false) AND file_key NOT LIKE '%3' AS sent,
+            coalesce(action = 'ORPHAN', false) AS dropped FROM decided)""",
     "sync_summary": "SELECT kb_id, action, reason, count(*) AS n_files FROM run GROUP BY ALL",
     "sync_actions": """
         SELECT kb_id, file_key, 'HEAL' AS action, remote_file_id, NULL AS reason FROM healed

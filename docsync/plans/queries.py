@@ -20,11 +20,12 @@ from docsync.operators import (
     reports,
     state_ops,
 )
-from docsync.operators.skew import lookup_by_kb
+from docsync.operators.skew import lookup_by_kb, set_down
 from docsync.plans import full_sync as sync
 from docsync.sources import config as config_source
 from docsync.sources import doctree, ragignore, remote_json
 from docsync.sources.tables import Tables
+from docsync.streaming import microbatch
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -51,8 +52,10 @@ def scan_inventory(t: Tables) -> DataFrame:
 
 @query
 def ragignore_patterns(t: Tables) -> DataFrame:
-    """Every document read as an ignore file."""
-    texts = t.read("documents").select(F.col("doc_id").cast("string").alias("kb_id"), "text")
+    """Every document read as an ignore file, some lines within odd white space."""
+    odd = F.expr("CASE doc_id % 3 WHEN 0 THEN decode(unhex('C2A0'), 'UTF-8') WHEN 1 THEN decode(unhex('E28083'), 'UTF-8') ELSE '' END")
+    text = F.concat(odd, F.replace("text", F.lit(". "), F.concat(odd, F.lit("\n"), odd, F.lit("#"))), odd)
+    texts = t.read("documents").select(F.col("doc_id").cast("string").alias("kb_id"), text.alias("text"))
     return ragignore.parse_ragignore(texts)
 
 
@@ -496,13 +499,15 @@ def full_sync(t: Tables) -> DataFrame:
 @query
 def full_sync_state(t: Tables) -> DataFrame:
     """Tracked state after a run in which every upload goes through."""
-    decided = frame(t)
-    return sync.next_state(
-        decided,
-        payload.due(decided).select(
-            "kb_id", "file_key", F.concat(F.lit("up-"), "filename").alias("remote_file_id")
-        ),
-    )
+    new_id = F.when(F.col("action").isin("NEW", "UPDATE"), F.concat(F.lit("up-"), "filename"))
+    return sync.settled(frame(t).withColumn("new_remote_id", new_id))
+
+
+@query
+def delivery_work(t: Tables) -> DataFrame:
+    """Every request of a run, deletes included, dealt out to the uploaders of each base."""
+    limits = t.config.withColumn("max_concurrent_uploads", F.length("kb_id").cast("bigint") % 3 * 4)
+    return sync.delivery_work(frame(t), limits)
 
 
 @query
@@ -573,6 +578,69 @@ def poll_outcome(t: Tables) -> DataFrame:
     return delivery.poll_outcome(t.polls).select("file_id", "outcome", decided)
 
 
+@query
+def response_bodies(t: Tables) -> DataFrame:
+    """What each answer to a poll says."""
+    return remote_json.parse_status(t.poll_bodies).drop("body", "code")
+
+
+@query
+def poll_bodies_outcome(t: Tables) -> DataFrame:
+    decided = F.coalesce("decided_at", F.lit(-1)).alias("decided_at")
+    polls = remote_json.parse_status(t.poll_bodies)
+    return delivery.poll_outcome(polls).select("file_id", "outcome", decided)
+
+
+@query
+def poll_wait(t: Tables) -> DataFrame:
+    return delivery.poll_wait(remote_json.parse_status(t.poll_bodies))
+
+
+@query
+def rejected_bodies(t: Tables) -> DataFrame:
+    """Events as listing bodies of which some are cut off and some hold a file without an id."""
+    entry = F.expr(
+        """concat('{"id":', IF(event_id % 97 = 5, 'null', concat('"f', event_id, '"')), ',"filename":"n', user_id, '"}')"""
+    )
+    rows = t.read("events").select(F.expr("event_id div 50").alias("page"), F.struct("event_id", entry.alias("e")).alias("e"))
+    files = F.concat_ws(",", F.transform(F.sort_array(F.collect_list("e")), lambda e: e["e"]))
+    end = F.expr("IF(page % 7 = 3, '', ']}')")
+    bodies = rows.groupBy("page").agg(F.concat(F.lit('{"files":['), files).alias("body"))
+    bodies = bodies.select(F.col("page").alias("kb_id"), F.concat("body", end).alias("body"))
+    return remote_json.rejected_bodies(bodies).select(F.col("kb_id").cast("string").alias("kb_id"), "reason")
+
+
+# Change streams, as one batch
+
+
+@query
+def latest_changes(t: Tables) -> DataFrame:
+    return microbatch.latest_changes(t.changes)
+
+
+def decided_changes(t: Tables) -> DataFrame:
+    return microbatch.apply_changes(microbatch.latest_changes(t.changes), t.stream_state)
+
+
+@query
+def apply_changes(t: Tables) -> DataFrame:
+    return decided_changes(t)
+
+
+@query
+def stream_deletes(t: Tables) -> DataFrame:
+    return microbatch.remote_deletes(decided_changes(t))
+
+
+@query
+def settle(t: Tables) -> DataFrame:
+    """Stream state when all uploads but those of keys that end in 3 went through."""
+    decided = set_down(decided_changes(t), "decided")
+    due = decided.filter(F.col("action").isin("NEW", "UPDATE") & ~F.endswith("file_key", F.lit("3")))
+    sent = due.select("kb_id", "file_key", F.concat(F.lit("up-"), "file_key").alias("remote_file_id"))
+    return microbatch.settle(decided, sent)
+
+
 @query
 def committable_uploads(t: Tables) -> DataFrame:
     uploads = t.attempts.withColumn("code", F.expr("IF(code = 400, 201, code)"))

@@ -1,7 +1,8 @@
 """Tracked state as versioned parquet snapshots.
 
-A snapshot becomes visible when its row is appended to the `commits` table, after its
-data is complete. Nothing is overwritten, so a run that dies leaves the last committed
+A version is a base, written whole, and the deltas since: rows that replace those of their
+key, or drop them. It becomes visible when its row is appended to the `commits` table, after
+its data is complete. Nothing is overwritten, so a run that dies leaves the last committed
 version in place. One writer at a time is assumed.
 """
 
@@ -15,53 +16,147 @@ from pyspark.sql import functions as F
 
 from docsync.schemas import SYNC_STATE
 
-COMMIT = "version bigint, tag string, location string"
+COMMIT = "version bigint, tag string, location string, kind string, n_rows bigint"
+KEY = ["kb_id", "file_key"]
+# Deltas are folded into a new base once they hold this share of its rows, or are this many.
+COMPACT_SHARE = 0.25
+COMPACT_DELTAS = 20
+# Versions that older readers may still be using.
+KEEP_VERSIONS = 3
+# Changed keys that may be broadcast, at about 150 bytes each.
+BROADCAST_CHANGES = 500_000
 
 
 class SnapshotStore:
+    """State rows of `schema` under `path`, a folder that all executors share.
+
+    `kb_id` and `file_key` are the key of a row.
+    """
+
     def __init__(self, spark: SparkSession, path: str, schema: str = SYNC_STATE):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
         self.columns = [field.split()[0] for field in schema.split(", ")]
+        self.delta_schema = schema + ", _dropped boolean, _version bigint"
+        self._staged: list[str] = []
+
+    def _fs(self, location: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{location}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _remove(self, location: str) -> None:
+        files, path = self._fs(location)
+        files.delete(path, True)
 
     def _commits(self) -> DataFrame:
+        """The commit log. Only a store that was never written to has none: a folder that
+        holds snapshots without their log is damaged, and must not read as empty."""
         try:
             return self.spark.read.schema(COMMIT).parquet(f"{self.path}/commits")
-        except AnalysisException:
-            return self.spark.createDataFrame([], COMMIT)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        files, path = self._fs("snapshots")
+        if files.exists(path):
+            raise FileNotFoundError(f"{self.path} holds snapshots but no commit log")
+        return self.spark.createDataFrame([], COMMIT)
 
-    def _latest(self) -> tuple[int, str | None]:
-        """Version and location of the latest commit, (0, None) before the first."""
-        row = self._commits().agg(F.max(F.struct("version", "location")).alias("last")).first()
-        return (row["last"]["version"], row["last"]["location"]) if row["last"] else (0, None)
+    def _log(self) -> list:
+        """Commits of the current base and its deltas, in order; at most COMPACT_DELTAS + 1."""
+        commits = self._commits()
+        base = commits.filter("kind = 'base'").agg(F.max("version")).first()[0]
+        if base is None:
+            return []
+        return sorted(commits.filter(F.col("version") >= base).collect(), key=lambda r: r["version"])
 
     def version(self) -> int:
-        return self._latest()[0]
+        return self._commits().agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
 
     def has_tag(self, tag: str) -> bool:
         return not self._commits().filter(F.col("tag") == tag).isEmpty()
 
     def read(self) -> DataFrame:
-        _, location = self._latest()
-        if location is None:
+        log = self._log()
+        if not log:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{location}")
+        base = self.spark.read.schema(self.schema).parquet(f"{self.path}/{log[0]['location']}")
+        deltas = [f"{self.path}/{r['location']}" for r in log[1:] if r["kind"] == "delta"]
+        if not deltas:
+            return base
+        changes = self.spark.read.schema(self.delta_schema).parquet(*deltas)
+        if len(deltas) > 1:
+            # Of several changes to a key the latest holds.
+            others = [c for c in changes.columns if c not in KEY]
+            changes = changes.groupBy(*KEY).agg(F.max_by(F.struct(*others), "_version").alias("_last"))
+            changes = changes.select(*KEY, "_last.*")
+        fits = sum(r["n_rows"] for r in log[1:]) <= BROADCAST_CHANGES
+        met = changes.select(*KEY)
+        kept = base.join(F.broadcast(met) if fits else met, KEY, "left_anti")
+        return kept.unionByName(changes.filter("NOT _dropped").select(*self.columns))
+
+    def _append(self, version: int, tag: str, location: str, kind: str, n_rows: int) -> int:
+        row = self.spark.createDataFrame([(version, tag, location, kind, n_rows)], COMMIT)
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        return version
 
     def commit(self, state: DataFrame, tag: str = "") -> int:
-        """Write a new version and make it the latest. A tag that is already committed
-        is not written again, so a repeated batch has no effect."""
+        """Write a new base and make it the latest. A tag that is already committed is not
+        written again, so a repeated batch has no effect."""
         if tag and self.has_tag(tag):
             return self.version()
         version = self.version() + 1
         location = f"snapshots/v{version}-{uuid.uuid4().hex}"
         # Sorted, so that reading one knowledge base skips row groups of the others.
-        ordered = state.select(*self.columns).sortWithinPartitions("kb_id", "file_key")
+        ordered = state.select(*self.columns).sortWithinPartitions(*KEY)
         ordered.write.parquet(f"{self.path}/{location}")
-        row = self.spark.createDataFrame([(version, tag, location)], COMMIT)
-        row.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        n_rows = self.spark.read.schema(self.schema).parquet(f"{self.path}/{location}").count()
+        self._append(version, tag, location, "base", n_rows)
+        self._expire()
         return version
 
+    def commit_changes(self, rows: DataFrame, tag: str = "", dropped: DataFrame | None = None) -> int:
+        """Commit changed rows and dropped keys alone; the rest of the state is not read.
+        Deltas that have grown large against their base are folded into a new one."""
+        if tag and self.has_tag(tag):
+            return self.version()
+        log = self._log()
+        if not log:
+            return self.commit(rows, tag)
+        version = self.version() + 1
+        location = f"snapshots/d{version}-{uuid.uuid4().hex}"
+        marks = [F.lit(False).alias("_dropped"), F.lit(version).cast("bigint").alias("_version")]
+        delta = rows.select(*self.columns, *marks)
+        if dropped is not None:
+            gone = dropped.select(*KEY, F.lit(True).alias("_dropped"), marks[1])
+            delta = delta.unionByName(gone, allowMissingColumns=True).select(*delta.columns)
+        delta.write.parquet(f"{self.path}/{location}")
+        n_rows = self.spark.read.schema(self.delta_schema).parquet(f"{self.path}/{location}").count()
+        self._append(version, tag, location, "delta", n_rows)
+        changed = n_rows + sum(r["n_rows"] for r in log[1:])
+        if len(log) > COMPACT_DELTAS or changed > COMPACT_SHARE * log[0]["n_rows"]:
+            return self.commit(self.read())
+        return version
+
+    def _expire(self) -> None:
+        """Remove data that only versions before the last KEEP_VERSIONS bases use. Their
+        log rows stay, as they hold the tags."""
+        bases = self._commits().filter("kind = 'base'").orderBy(F.col("version").desc())
+        recent = [r["version"] for r in bases.limit(KEEP_VERSIONS).collect()]
+        if len(recent) < KEEP_VERSIONS:
+            return
+        old = self._commits().filter(F.col("version") < recent[-1]).orderBy(F.col("version").desc())
+        # Each commit expires at most what one base and its deltas held.
+        for row in old.limit(COMPACT_DELTAS + 2).collect():
+            self._remove(row["location"])
+
     def stage(self, name: str, df: DataFrame) -> DataFrame:
         """Write an intermediate result next to the snapshots and read it back."""
-        location = f"{self.path}/staged/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(location)
-        return self.spark.read.schema(df.schema).parquet(location)
+        location = f"staged/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{location}")
+        self._staged.append(location)
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{location}")
+
+    def drop_staged(self) -> None:
+        """Remove what this store object has staged; tables read from it are gone."""
+        for location in self._staged:
+            self._remove(location)
+        self._staged = []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from docsync.plans.snapshot import SnapshotStore
 from docsync.sources import doctree
 
 LISTED = ["kb_id", "root", "path", "rel_path", "filename", "kind", "file_key"]
+RAW = "raw"
 
 
 def _kind(path: str) -> str:
@@ -43,10 +45,11 @@ def probe_paths(tracked: DataFrame, root: str) -> DataFrame:
                 "file_key": found.column("file_key"),
             }
             arrays = [pa.array(columns[c], pa.string()) for c in LISTED]
-            yield pa.RecordBatch.from_arrays(arrays, LISTED)
+            yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(paths), pa.binary())], [*LISTED, RAW])
 
-    schema = ", ".join(f"{c} string" for c in LISTED)
-    return tracked.select("kb_id", "file_key", "absolute_path").mapInArrow(existing, schema)
+    schema = ", ".join(f"{c} string" for c in LISTED) + f", {RAW} binary"
+    rows = tracked.select("kb_id", "file_key", "absolute_path")
+    return rows.mapInArrow(existing, schema)
 
 
 def stage_tree(
@@ -55,21 +58,28 @@ def stage_tree(
     """The listing of `root` that a run decides on, written once with content hashes.
 
     Listing, probing and hashing are input/output, so each happens exactly once per run
-    and its result is stored. Only accepted files are opened and hashed.
+    and its result is stored. Only accepted files are opened and hashed. The tree is listed
+    level by level. Names that are not UTF-8 can look alike and then have one key; the first
+    by its raw path is the file of that key.
     """
     root = os.path.realpath(root)
     if scanned is None:
-        scanned = doctree.scan_inventory(store.spark, root, kb_id)
-    files = store.stage("listing", scanned.select(*LISTED))
+        levels = f"{store.path}/staged/levels-{uuid.uuid4().hex}"
+        scanned = doctree.scan_levels(store.spark, root, kb_id, levels)
+    odd = F.col(RAW).isNotNull()
+    alike = scanned.filter(odd).groupBy(*LISTED).agg(F.min(RAW).alias(RAW))
+    files = store.stage("listing", scanned.filter(~odd).select(*LISTED, RAW).unionByName(alike))
     tracked = tracked_state(store.read()).filter(F.col("kb_id") == kb_id)
     unlisted = tracked.join(files.select("kb_id", "file_key"), ["kb_id", "file_key"], "left_anti")
-    disk = files.unionByName(probe_paths(unlisted, root))
+    unlisted = store.stage("unlisted", unlisted)
+    dealt = doctree.deal_out(unlisted, "file_key", unlisted.count(), doctree.FILES_PER_TASK)
+    disk = files.unionByName(probe_paths(dealt, root))
     judged = store.stage(
-        "judged", filter_disposition(disk, patterns).select(*LISTED, "disposition")
+        "judged", filter_disposition(disk, patterns).select(*LISTED, RAW, "disposition")
     )
     accepted = F.col("disposition") == "accepted"
-    hashed = doctree.hash_files(spread(judged.filter(accepted)).select(*LISTED))
-    rest = judged.filter(~accepted).select(*LISTED, F.lit(None).cast("string").alias("content_hash"))
+    hashed = doctree.hash_files(spread(judged.filter(accepted)).select(*LISTED, RAW))
+    rest = judged.filter(~accepted).select(*LISTED, RAW, F.lit(None).cast("string").alias("content_hash"))
     return store.stage("disk", hashed.unionByName(rest))
 
 

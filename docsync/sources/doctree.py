@@ -10,7 +10,6 @@ import hashlib
 import os
 import zlib
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,36 +22,30 @@ from docsync.schemas import LISTING
 
 READ_BUFFER = 1 << 20
 BATCH_BYTES = 64 << 20
-SLICE_ENTRIES = 50_000
 DIRECTORIES_PER_TASK = 500
 FILES_PER_TASK = 5_000
-LEVEL_COLUMNS = ["kb_id", "root", "path", "rel_path", "filename", "kind"]
+LEVEL_COLUMNS = ["kb_id", "root", "path", "rel_path", "filename", "kind", "raw"]
 
 
-class Step(NamedTuple):
-    """One directory to list, with its subtree when `deep`. Of a directory split into
-    `slices`, only entries whose name hashes to `slice`."""
+class Slice(InputPartition):
+    """The subtrees below the root whose names hash to `number`, of `total` slices."""
 
-    directory: str
-    deep: bool
-    slice: int = 0
-    slices: int = 1
+    def __init__(self, number: int, total: int):
+        self.number, self.total = number, total
 
 
-class Walk(InputPartition):
-    """The steps one task takes."""
-
-    def __init__(self, steps: list[Step]):
-        self.steps = steps
-
-
-def _entries(directory: str) -> list[os.DirEntry]:
-    """Entries of a directory; none when it cannot be read."""
+def _entries(directory: str) -> Iterator[os.DirEntry]:
+    """Entries of a directory as they are read; none when it cannot be read."""
     try:
-        with os.scandir(directory) as scan:
-            return list(scan)
+        scan = os.scandir(directory)
     except OSError:
-        return []
+        return
+    with scan:
+        while True:
+            try:
+                yield next(scan)
+            except (StopIteration, OSError):
+                return
 
 
 def _is_dir(entry: os.DirEntry) -> bool:
@@ -62,18 +55,25 @@ def _is_dir(entry: os.DirEntry) -> bool:
         return False
 
 
-def _kind(entry: os.DirEntry) -> str:
-    if entry.is_symlink():
-        return "symlink"
-    if entry.is_dir(follow_symlinks=False):
-        return "dir"
-    return "file" if entry.is_file(follow_symlinks=False) else "other"
+def _kind(entry: os.DirEntry) -> str | None:
+    """None when the entry is gone or cannot be looked at."""
+    try:
+        if entry.is_symlink():
+            return "symlink"
+        if entry.is_dir(follow_symlinks=False):
+            return "dir"
+        return "file" if entry.is_file(follow_symlinks=False) else "other"
+    except OSError:
+        return None
 
 
-def _names(entry: os.DirEntry, root: str) -> tuple[str, str, str]:
-    """Path, path below root, and name. Bytes that are not UTF-8 are shown replaced."""
-    path = os.fsencode(entry.path).decode("utf-8", "replace")
-    return path, path[len(root.rstrip("/")) + 1 :], path.rsplit("/", 1)[-1]
+def _names(entry: os.DirEntry, root: str) -> tuple[str, str, str, bytes | None]:
+    """Path, path below root, name, and the raw path where that is not UTF-8: bytes that are
+    not are shown replaced, but a file is opened by its raw path."""
+    raw = os.fsencode(entry.path)
+    path = raw.decode("utf-8", "replace")
+    shown = path[len(root.rstrip("/")) + 1 :], path.rsplit("/", 1)[-1]
+    return path, *shown, None if path.encode() == raw else raw
 
 
 def _real_root(path: str) -> str:
@@ -96,63 +96,50 @@ class DocTreeReader(DataSourceReader):
     def _keeps(self, name: str) -> bool:
         return not (self.prune_hidden and name.startswith("."))
 
-    def partitions(self) -> list[Walk]:
-        """Open directories level by level until there are enough subtrees to share out,
-        then deal them to the tasks in turn. A directory with very many entries is
-        itself cut into slices."""
-        steps: list[Step] = []
-        level = [self.root]
-        while level and len(steps) + len(level) < self.tasks:
-            below: list[str] = []
-            for directory in level:
-                entries = _entries(directory)
-                slices = len(entries) // SLICE_ENTRIES + 1
-                steps += [Step(directory, False, i, slices) for i in range(slices)]
-                below += [e.path for e in entries if self._keeps(e.name) and _is_dir(e)]
-            level = below
-        steps += [Step(directory, True) for directory in level]
-        return [Walk(steps[i :: self.tasks]) for i in range(min(self.tasks, len(steps)))]
-
-    def read(self, part: Walk) -> Iterator[pa.RecordBatch]:
+    def partitions(self) -> list[Slice]:
+        """Slices of the names below the root; nothing is listed on the driver."""
+        return [Slice(i, self.tasks) for i in range(self.tasks)]
+
+    def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for step in part.steps:
-            for row in self._walk(step):
-                rows.append(row)
-                if len(rows) >= 10_000:
-                    yield self._batch(rows)
-                    rows = []
+        for row in self._walk(part):
+            rows.append(row)
+            if len(rows) >= 10_000:
+                yield self._batch(rows)
+                rows = []
         if rows:
             yield self._batch(rows)
 
-    def _walk(self, step: Step) -> Iterator[tuple]:
-        pending = [step.directory]
+    def _walk(self, part: Slice) -> Iterator[tuple]:
+        pending = [self.root]
         while pending:
-            for entry in _entries(pending.pop()):
+            directory = pending.pop()
+            for entry in _entries(directory):
                 if not self._keeps(entry.name):
                     continue
-                if step.deep and _is_dir(entry):
-                    pending.append(entry.path)
-                if step.slices > 1 and zlib.crc32(os.fsencode(entry.name)) % step.slices != step.slice:
+                if directory == self.root and zlib.crc32(os.fsencode(entry.name)) % part.total != part.number:
                     continue
+                if _is_dir(entry):
+                    pending.append(entry.path)
                 row = self._row(entry)
                 if row is not None:
                     yield row
 
     def _row(self, entry: os.DirEntry) -> tuple | None:
+        kind = _kind(entry)
+        if kind is None or (self.files_only and kind != "file"):
+            return None
         try:
-            kind = _kind(entry)
-            if self.files_only and kind != "file":
-                return None
             stat = entry.stat(follow_symlinks=False)
         except OSError:
             return None
-        path, rel, name = _names(entry, self.root)
-        return (self.kb_id, self.root, path, rel, name, kind, stat.st_size, stat.st_mtime_ns // 1000)
+        path, rel, name, raw = _names(entry, self.root)
+        return (self.kb_id, self.root, path, rel, name, kind, stat.st_size, stat.st_mtime_ns // 1000, raw)
 
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         text = pa.string()
-        types = [text] * 6 + [pa.int64()] * 2
+        types = [text] * 6 + [pa.int64()] * 2 + [pa.binary()]
         names = [c.split()[0] for c in LISTING.split(", ")]
         columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), types)]
         return pa.RecordBatch.from_arrays(columns, names)
@@ -203,27 +190,38 @@ def scan_levels(spark: SparkSession, root: str, kb_id: str, work_dir: str) -> Da
 
     The tree is listed one level at a time, its directories dealt out to all tasks, and
     each level is written to `work_dir`, a new shared folder. However unevenly files
-    are spread over subtrees, no task walks more than the directories it was dealt.
+    are spread over subtrees, no task walks more than the directories it was dealt, and a
+    directory of any size is listed once, by one task, without being held.
     """
     base = _real_root(root)
 
     def list_level(batches):
         for batch in batches:
-            for directory in batch.column("path").to_pylist():
-                seen = [e for e in _entries(directory) if not e.name.startswith(".")]
-                for i in range(0, len(seen), 10_000):
-                    part = seen[i : i + 10_000]
-                    rows = [(kb_id, base, *_names(e, base), _kind(e)) for e in part]
-                    columns = [pa.array(list(c), pa.string()) for c in zip(*rows)]
-                    yield pa.RecordBatch.from_arrays(columns, LEVEL_COLUMNS)
-
-    schema = ", ".join(f"{c} string" for c in LEVEL_COLUMNS)
-    level = spark.createDataFrame([(base,)], "path string")
+            columns = batch.column("path").to_pylist(), batch.column("raw").to_pylist()
+            for shown, raw in zip(*columns):
+                rows = []
+                for entry in _entries(shown if raw is None else os.fsdecode(raw)):
+                    kind = None if entry.name.startswith(".") else _kind(entry)
+                    if kind is not None:
+                        path, rel, name, own = _names(entry, base)
+                        rows.append((kb_id, base, path, rel, name, kind, own))
+                    if len(rows) >= 10_000:
+                        yield level_batch(rows)
+                        rows = []
+                if rows:
+                    yield level_batch(rows)
+
+    def level_batch(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.string()] * (len(LEVEL_COLUMNS) - 1) + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], LEVEL_COLUMNS)
+
+    schema = ", ".join(f"{c} {'binary' if c == 'raw' else 'string'}" for c in LEVEL_COLUMNS)
+    level = spark.createDataFrame([(base, None)], "path string, raw binary")
     n_directories = 1
     paths: list[str] = []
     while n_directories:
         paths.append(f"{work_dir.rstrip('/')}/level={len(paths)}")
-        dealt = deal_out(level.select("path"), "path", n_directories, DIRECTORIES_PER_TASK)
+        dealt = deal_out(level.select("path", "raw"), "path", n_directories, DIRECTORIES_PER_TASK)
         dealt.mapInArrow(list_level, schema).write.parquet(paths[-1])
         level = spark.read.schema(schema).parquet(paths[-1]).filter("kind = 'dir'")
         n_directories = level.count()
@@ -235,7 +233,14 @@ def _plus(df: DataFrame, name: str, of: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, of)])
 
 
-def _hash_file(path: str) -> str | None:
+def _to_open(batch: pa.RecordBatch) -> list[str | bytes]:
+    """What to open for each row: the raw path where there is one."""
+    paths = batch.column("path").to_pylist()
+    raw = batch.column("raw").to_pylist() if "raw" in batch.schema.names else [None] * len(paths)
+    return [path if own is None else own for path, own in zip(paths, raw)]
+
+
+def _hash_file(path: str | bytes) -> str | None:
     digest = hashlib.sha256()
     try:
         with open(path, "rb") as handle:
@@ -251,7 +256,7 @@ def hash_files(files: DataFrame) -> DataFrame:
 
     def hashed(batches):
         for batch in batches:
-            digests = [_hash_file(p) for p in batch.column("path").to_pylist()]
+            digests = [_hash_file(p) for p in _to_open(batch)]
             yield batch.append_column("content_hash", pa.array(digests, pa.string()))
 
     return files.mapInArrow(hashed, _plus(files, "content_hash", T.StringType()))
@@ -268,7 +273,7 @@ def read_contents(files: DataFrame) -> DataFrame:
     def contents(batches):
         for batch in batches:
             held, size, picked = [], 0, []
-            for row, path in enumerate(batch.column("path").to_pylist()):
+            for row, path in enumerate(_to_open(batch)):
                 try:
                     with open(path, "rb") as handle:
                         data = handle.read()

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsync import constants as C
-from docsync.functions.scalars import lossy_text
 from docsync.sources.doctree import read_contents
 
 
 def trim_line(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\r\n\f"))
+    """Trim white space of every script, not only blanks and tabs."""
+    return F.regexp_replace(line, r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")
 
 
 def is_pattern(trimmed: Column) -> Column:
@@ -27,6 +30,20 @@ def parse_ragignore(texts: DataFrame) -> DataFrame:
     )
 
 
+def readable_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drop the lines of each `content` that are not UTF-8; a dropped line stays as a blank one."""
+
+    def decoded(line: bytes) -> str:
+        try:
+            return line.decode("utf-8")
+        except UnicodeDecodeError:
+            return ""
+
+    for batch in batches:
+        texts = ["\n".join(map(decoded, c.split(b"\n"))) for c in batch.column("content").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("kb_id"), pa.array(texts, pa.string())], ["kb_id", "text"])
+
+
 def load_ragignore(spark: SparkSession, root: str, kb_id: str) -> DataFrame:
     """Patterns of the ignore file in `root`; none when it is absent or unreadable.
 
@@ -34,4 +51,4 @@ def load_ragignore(spark: SparkSession, root: str, kb_id: str) -> DataFrame:
     """
     path = f"{root.rstrip('/')}/{C.IGNORE_FILE}"
     found = read_contents(spark.createDataFrame([(kb_id, path)], "kb_id string, path string"))
-    return parse_ragignore(found.select("kb_id", lossy_text(F.col("content")).alias("text")))
+    return parse_ragignore(found.select("kb_id", "content").mapInArrow(readable_lines, "kb_id string, text string"))

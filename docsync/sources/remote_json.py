@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FILES = "files array<struct<id string, filename string>>"
@@ -49,6 +49,33 @@ def parse_upload_resp(bodies: DataFrame) -> DataFrame:
     return bodies.withColumn("remote_file_id", F.get_json_object("body", "$.id"))
 
 
+def _read(body: str) -> tuple[Column, Column]:
+    """A JSON body as a variant, null when it is not JSON, and whether it is an object."""
+    parsed = F.try_parse_json(body)
+    is_object = F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT"))
+    return parsed, F.coalesce(is_object, F.lit(False))
+
+
 def parse_status(bodies: DataFrame) -> DataFrame:
-    """Add `status`, null when the body has none."""
-    return bodies.withColumn("status", F.get_json_object("body", "$.status"))
+    """Add `status`, null when the body has none, and `body_ok`, false for a body that is no
+    JSON object or whose status is no text. With a `code` column also `answered`, whether
+    the service gave a 2xx answer at all."""
+    parsed, is_object = _read("body")
+    field = F.try_variant_get(parsed, "$.status", "variant")
+    kind = F.coalesce(F.schema_of_variant(field), F.lit("VOID"))
+    out = bodies.withColumn("body_ok", is_object & kind.isin("STRING", "VOID"))
+    out = out.withColumn("status", F.when(F.col("body_ok"), F.try_variant_get(parsed, "$.status", "string")))
+    if "code" in bodies.columns:
+        out = out.withColumn("answered", F.coalesce(F.col("code").between(200, 299), F.lit(False)))
+    return out
+
+
+def rejected_bodies(bodies: DataFrame, entries: str = "files") -> DataFrame:
+    """Those of the (kb_id, body) rows that the service's client refuses whole, with `reason`:
+    not_json, or no_id where an entry of the list `entries` has none. What is left of such
+    a listing must not heal state."""
+    parsed, is_object = _read("body")
+    rows = F.from_json("body", f"{entries} array<struct<id string>>")[entries]
+    no_id = F.exists(rows, lambda f: f["id"].isNull())
+    reason = F.when(~is_object, "not_json").when(F.coalesce(no_id, F.lit(False)), "no_id")
+    return bodies.withColumn("reason", reason).filter(F.col("reason").isNotNull())

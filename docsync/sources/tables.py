@@ -214,3 +214,51 @@ class Tables:
         return self.read("events").select(
             request.alias("file_id"), F.col("event_id").alias("seq"), status.alias("status")
         )
+
+    # Changes of files from events, and what a stream knew of them before from customers.
+
+    @cached_property
+    def changes(self) -> DataFrame:
+        kind = "CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'context' ELSE 'upsert' END"
+        return self.read("events").select(
+            F.lit("main").alias("kb_id"),
+            F.expr("concat('u', user_id)").alias("file_key"),
+            F.expr(f"concat('{ROOT}/u', user_id, '.md')").alias("path"),
+            F.expr(f"IF({kind} = 'upsert', sha2(concat(event_type, event_id % 7), 256), NULL)").alias("content_hash"),
+            F.expr(kind).alias("op"),
+            F.col("event_id").alias("seq"),
+        )
+
+    @cached_property
+    def stream_state(self) -> DataFrame:
+        path = f"IF(c_nationkey % 4 <> 0, concat('{ROOT}/u', c_custkey, '.md'), NULL)"
+        stored = f"IF({path} IS NULL, NULL, sha2(concat('click', c_custkey % 7), 256))"
+        return self.read("customer").select(
+            F.lit("main").alias("kb_id"),
+            F.expr("concat('u', c_custkey)").alias("file_key"),
+            F.expr(path).alias("absolute_path"),
+            F.expr(stored).alias("content_hash"),
+            F.expr("IF(c_custkey % 6 = 0, '', concat('fid-', c_custkey))").alias("remote_file_id"),
+            F.expr("IF(c_nationkey % 3 = 0, concat('note ', c_custkey), NULL)").alias("context_text"),
+            F.expr("c_nationkey % 5 = 0").alias("context_dirty"),
+            F.expr("CASE c_custkey % 3 WHEN 1 THEN 10L WHEN 2 THEN 100000000L END").alias("content_seq"),
+            F.expr("CASE c_custkey % 4 WHEN 1 THEN 5L WHEN 2 THEN 100000000L END").alias("context_seq"),
+            F.expr(path).alias("wanted_path"),
+            F.expr(f"IF(c_custkey % 8 = 0, sha2('open', 256), {stored})").alias("wanted_hash"),
+            F.expr(f"{path} IS NULL AND c_custkey % 2 = 0").alias("is_deleted"),
+        )
+
+    @cached_property
+    def poll_bodies(self) -> DataFrame:
+        """Answers to polls: some without a status, some that cannot be read, some errors."""
+        request = F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMdd"))
+        code = "IF(event_type = 'error', 503, 200)"
+        body = (
+            """CASE WHEN event_type = 'click' THEN '{"status":"pending"}' WHEN event_type = 'view' THEN '{}' """
+            """WHEN event_type = 'purchase' THEN '{"status":"completed","n":1}' WHEN event_type = 'error' THEN 'busy' """
+            """WHEN event_id % 2 = 0 THEN '{"status":"failed"}' WHEN event_id % 3 = 0 THEN '{"status":7}' """
+            """ELSE '<html>' END"""
+        )
+        return self.read("events").select(
+            request.alias("file_id"), F.col("event_id").alias("seq"), F.expr(code).alias("code"), F.expr(body).alias("body")
+        )

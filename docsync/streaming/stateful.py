@@ -12,69 +12,86 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from docsync.schemas import CHANGES
+from docsync.schemas import CHANGES, DELIVERED_COLUMN
 
-FILE_STATE = "content_hash string, dirty boolean, seq bigint"
-DECISIONS = "kb_id string, file_key string, seq bigint, content_hash string, action string"
+FILE_STATE = "content_hash string, remote_file_id string, dirty boolean, content_seq bigint, context_seq bigint"
+DECISIONS = (
+    "kb_id string, file_key string, seq bigint, content_hash string, action string, delete_remote_id string"
+)
 
 
 def last_per_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the latest content change and the latest note edit of each key of a batch."""
+    """Keep the latest content change, note edit and delivery of each key of a batch of rows."""
     for batch in batches:
         keys = batch.select(["kb_id", "file_key", "op", "seq"]).to_pandas()
-        group = [keys["kb_id"], keys["file_key"], keys["op"] == "context"]
-        yield batch.take(pa.array(keys.groupby(group)["seq"].idxmax(), pa.int64()))
+        kind = keys["op"].where(keys["op"].isin(["context", "delivered"]), "content")
+        group = keys.groupby([keys["kb_id"], keys["file_key"], kind], dropna=False)
+        yield batch.take(pa.array(group["seq"].idxmax(), pa.int64()))
 
 
 class FileProcessor(StatefulProcessor):
-    """Remembers hash, dirty mark and last `seq` of one file; the state never expires."""
+    """Remembers hash, remote id, dirty mark and two sequence marks of one file; the state
+    never expires. Content and notes are late by their own mark only."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.file = handle.getValueState("file", FILE_STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         stored = self.file.get() if self.file.exists() else None
-        old_hash, dirty, seen = stored if stored else (None, False, -1)
-        change, newest, edited = None, seen, False
+        old_hash, remote_id, dirty, content_at, context_at = stored or (None, None, False, -1, -1)
+        change, note, delivered = None, context_at, None
         for chunk in rows:
-            chunk = chunk[chunk["seq"] > seen]
-            if chunk.empty:
-                continue
-            newest = max(newest, int(chunk["seq"].max()))
-            edited = edited or bool((chunk["op"] == "context").any())
-            content = chunk[chunk["op"] != "context"]
+            content = chunk[chunk["op"].isin(["upsert", "delete"]) & (chunk["seq"] > content_at)]
             if len(content):
                 last = content.loc[content["seq"].idxmax()]
                 if change is None or last["seq"] > change["seq"]:
                     change = last
-        if newest == seen:
+            notes = chunk[chunk["op"] == "context"]["seq"]
+            note = max(note, int(notes.max())) if len(notes) else note
+            reports = chunk[chunk["op"] == "delivered"]
+            if len(reports):
+                last = reports.loc[reports["seq"].idxmax()]
+                if delivered is None or last["seq"] > delivered["seq"]:
+                    delivered = last
+        # A report names the remote file of what was delivered; it decides nothing.
+        if delivered is not None and delivered["content_hash"] == old_hash:
+            remote_id = delivered["remote_file_id"]
+        deleted = change is not None and change["op"] == "delete"
+        if deleted:
+            # A note from before the delete went with the file.
+            context_at = max(context_at, int(change["seq"]))
+        edited = note > context_at
+        if change is None and not edited:
+            if delivered is not None:
+                self.file.update((old_hash, remote_id, dirty, content_at, context_at))
             return
+        newest = max([note] * edited + ([] if change is None else [int(change["seq"])]))
+        context_at = max(note, context_at)
+        content_at = content_at if change is None else int(change["seq"])
         dirty = dirty or edited
         wanted = old_hash if change is None else change["content_hash"]
-        if change is not None and change["op"] == "delete":
+        if deleted:
             action = "ORPHAN" if old_hash is not None else None
-            self.file.update((None, False, newest))
-        elif change is None and old_hash is None:
+            after = (None, None, edited, content_at, context_at)
+        elif wanted is None:
             action = None
-            self.file.update((None, dirty, newest))
+            after = (None, None, dirty, content_at, context_at)
         else:
             if old_hash is None:
-                action = "UPDATE" if stored and dirty else "NEW"
+                action = "UPDATE" if dirty else "NEW"
             else:
                 action = "SKIP" if wanted == old_hash and not dirty else "UPDATE"
-            self.file.update((wanted, False, newest))
+            # After an UPDATE the id is unknown until its delivery is reported.
+            after = (wanted, remote_id if action == "SKIP" else None, False, content_at, context_at)
+        self.file.update(after)
         if action:
-            yield pd.DataFrame(
-                {
-                    "kb_id": [key[0]],
-                    "file_key": [key[1]],
-                    "seq": [newest],
-                    "content_hash": [wanted],
-                    "action": [action],
-                }
-            )
+            drops = remote_id if action in ("UPDATE", "ORPHAN") else None
+            values = (key[0], key[1], newest, wanted, action, drops or None)
+            names = [part.split()[0] for part in DECISIONS.split(", ")]
+            yield pd.DataFrame({name: [value] for name, value in zip(names, values)})
 
     def close(self) -> None:
         pass
@@ -82,9 +99,17 @@ class FileProcessor(StatefulProcessor):
 
 def classify_stream(changes: DataFrame) -> DataFrame:
     """NEW, UPDATE, SKIP or ORPHAN for each file a batch of changes touches, taking each
-    decision as delivered. Changes are thinned out before the shuffle, so a key with
-    very many of them sends a few rows per task."""
-    thinned = changes.mapInArrow(last_per_key, CHANGES)
+    decision as delivered.
+
+    Changes may include reports with `op` delivered and a `remote_file_id` column; UPDATE and
+    ORPHAN rows then name the remote file to delete. Changes are thinned out in every batch
+    of rows before the shuffle, so a key with very many of them sends a few rows of each.
+    """
+    if DELIVERED_COLUMN not in changes.columns:
+        changes = changes.withColumn(DELIVERED_COLUMN, F.lit(None).cast("string"))
+    names = [part.split()[0] for part in CHANGES.split(", ")]
+    schema = f"{CHANGES}, {DELIVERED_COLUMN} string"
+    thinned = changes.select(*names, DELIVERED_COLUMN).mapInArrow(last_per_key, schema)
     return thinned.groupBy("kb_id", "file_key").transformWithStateInPandas(
         statefulProcessor=FileProcessor(),
         outputStructType=DECISIONS,

@@ -8,7 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from docsync.functions.predicates import is_visible
-from docsync.operators import state_ops
+from docsync.operators import filters, state_ops
 from docsync.plans.full_sync import run_sync, write_plan
 from docsync.plans.snapshot import SnapshotStore
 from docsync.plans.tree_sync import file_keys, read_spread, stage_tree
@@ -273,11 +273,103 @@ def test_scan_tree_keeps_everything_on_request(spark, odd_tree):
     assert len(kinds) == 10
 
 
-def test_sliced_directory_is_listed_once(spark, tmp_path, monkeypatch):
+def test_every_entry_is_in_one_slice(spark, tmp_path):
     for i in range(40):
-        (tmp_path / f"f{i}.md").write_text("x")
-    monkeypatch.setattr(doctree, "SLICE_ENTRIES", 10)
-    parts = doctree.DocTreeReader({"path": str(tmp_path)}).partitions()
-    reader = doctree.DocTreeReader({"path": str(tmp_path)})
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / f"f{i}.md").write_text("x")
+    reader = doctree.DocTreeReader({"path": str(tmp_path), "partitions": "5"})
+    parts = reader.partitions()
     names = [n for p in parts for b in reader.read(p) for n in b.column("filename").to_pylist()]
-    assert sum(len(p.steps) for p in parts) == 5 and sorted(names) == sorted(f"f{i}.md" for i in range(40))
+    assert len(parts) == 5 and sorted(names) == sorted(f"f{i}.md" for i in range(40))
+
+
+def test_flat_large_directory(spark, tmp_path):
+    root = tmp_path / "flat"
+    root.mkdir()
+    for i in range(12_000):
+        (root / f"f{i}.md").touch()
+    found = doctree.scan_levels(spark, str(root), KB, str(tmp_path / "levels"))
+    assert found.select("path").distinct().count() == 12_000
+
+
+def test_inventory_equals_a_plain_walk(spark, odd_tree):
+    """Hashes of all files, as os.walk and hashlib give them."""
+    want = {}
+    for folder, below, names in os.walk(odd_tree):
+        below[:] = [d for d in below if not d.startswith(".")]
+        for name in names:
+            path = os.path.join(folder, name)
+            if not name.startswith(".") and not os.path.islink(path):
+                with open(path, "rb") as f:
+                    want[path] = hashlib.sha256(f.read()).hexdigest()
+    found = doctree.hash_files(doctree.scan_inventory(spark, str(odd_tree), KB))
+    assert {r["path"]: r["content_hash"] for r in found.collect()} == want
+
+
+def test_names_that_are_not_utf8_are_delivered(rig):
+    root = os.fsencode(rig.root)
+    for name, data in ((b"a\xff.md", b"one"), (b"b\xfe.md", b"two"), (b"b\xff.md", b"three"), (b"plain.md", b"four")):
+        with open(root + b"/" + name, "wb") as f:
+            f.write(data)
+    os.mkdir(root + b"/d\xff")
+    with open(root + b"/d\xff/in.md", "wb") as f:
+        f.write(b"five")
+    result = rig.sync()
+    sent = {r["path"].removeprefix(f"{rig.root}/"): bytes(r["payload"]) for r in result.payloads.collect()}
+    # The two that look alike have one key: the first by its bytes is the file of that key.
+    assert sent == {"a\ufffd.md": b"one", "b\ufffd.md": b"two", "plain.md": b"four", "d\ufffd/in.md": b"five"}
+    keys = [r["file_key"] for r in result.state.collect()]
+    assert len(keys) == len(set(keys)) == 4
+    assert set(rig.actions(rig.sync()).values()) == {("SKIP", "")}
+
+
+def test_deletes_are_handed_over(rig, tmp_path):
+    doc, pdf = rig.root / "plan.md", rig.root / "scan.pdf"
+    doc.write_text("one")
+    pdf.write_bytes(b"%PDF")
+    rig.sync()
+    doc.write_text("two")
+    pdf.unlink()
+    seen = []
+
+    def delete(deletes):
+        seen.append(sorted((r["action"], r["remote_file_id"]) for r in deletes.collect()))
+        if len(seen) == 1:
+            raise RuntimeError("stopped between delete and commit")
+
+    def deliver(payloads):
+        return payloads.select("kb_id", "file_key", F.lit("second").alias("remote_file_id"))
+
+    def run(path):
+        patterns = load_ragignore(rig.spark, str(rig.root), KB)
+        disk = stage_tree(rig.store, str(rig.root), KB, patterns)
+        config = rig.config.withColumn("max_concurrent_uploads", F.lit(5))
+        return run_sync(
+            rig.store, disk, None, patterns, config, read_spread, deliver, delete=delete, plan_path=str(path)
+        )
+
+    with pytest.raises(RuntimeError):
+        run(tmp_path / "plan1")
+    result = run(tmp_path / "plan2")
+    both = [("ORPHAN", "run1-scan.pdf"), ("UPDATE", "run1-plan.md")]
+    assert seen == [both, both]
+    assert [(r["absolute_path"], r["remote_file_id"]) for r in result.state.collect()] == [(str(doc), "second")]
+    plan = rig.spark.read.parquet(str(tmp_path / "plan2")).select("action", "work", "remote_file_id", "lane").collect()
+    work = sorted((r["action"], r["work"], r["remote_file_id"] or "") for r in plan)
+    assert work == [("ORPHAN", "delete", "run1-scan.pdf"), ("UPDATE", "delete", "run1-plan.md"), ("UPDATE", "upload", "")]
+    assert all(0 <= r["lane"] < 5 for r in plan)
+
+
+def test_ignore_file_lines(rig):
+    """White space of any script is trimmed; a line that is not UTF-8 is dropped."""
+    (rig.root / ".ragignore").write_bytes("drafts \n # comment\n　 notes \r\n".encode() + b"bad\xff\nlast")
+    found = load_ragignore(rig.spark, str(rig.root), KB).collect()
+    assert [(r["line_no"], r["pattern"]) for r in found] == [(1, "drafts"), (3, "notes"), (5, "last")]
+
+
+def test_repeated_rows_stay_single_beyond_broadcast(spark, monkeypatch):
+    files = spark.createDataFrame([(KB, "/r/a", "a"), (KB, "/r/a", "a"), (KB, "/r/b", "b")], "kb_id string, path string, rel_path string")
+    patterns = spark.createDataFrame([(KB, 1, "a"), (KB, 2, "/a")], "kb_id string, line_no int, pattern string")
+    small = rows(filters.flag_ragignored(files, patterns))
+    monkeypatch.setattr(filters, "fits_broadcast", lambda df: False)
+    assert rows(filters.flag_ragignored(files, patterns)) == small and len(small) == 3
