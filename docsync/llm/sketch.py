@@ -16,21 +16,33 @@ from pyspark.sql import functions as F
 
 from docsync.llm.common import record_batch, text_bytes
 
-SKETCH_BITS = 20
-SKETCH_BLOCK = 4096
+SKETCH_BITS = 22
+SKETCH_BLOCK = 16_384
+# Standard deviations above the mean at which a cell's count is no longer chance.
+DEVIATIONS = 5
 HOT_SALTS = 64
 COUNTS = "block long, counts binary"
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts of a block, compressed: most are small, so they take a few bits each."""
+    return pa.compress(counts.astype("<i8").tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    size = 8 * SKETCH_BLOCK
+    return np.frombuffer(pa.Codec("zstd").decompress(data, decompressed_size=size, asbytes=True), dtype="<i8")
+
+
 def sketch_task(hasher: Callable, arguments: tuple, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, waiting, size = hasher(*arguments), np.zeros(1 << bits, dtype=np.int64), [], 0
+        hashes, counts, waiting, size = hasher(*arguments), np.zeros(max(1 << bits, SKETCH_BLOCK), dtype=np.int64), [], 0
         shift = np.uint64(64 - bits)
 
         def pour() -> None:
             if waiting:
                 cells = (np.concatenate(waiting) >> shift).astype(np.int64)
-                counts[:] += np.bincount(cells, minlength=1 << bits)
+                counts[:] += np.bincount(cells, minlength=len(counts))
                 waiting.clear()
 
         for batch in batches:
@@ -42,8 +54,8 @@ def sketch_task(hasher: Callable, arguments: tuple, bits: int):
                     pour()
                     size = 0
         pour()
-        block = min(SKETCH_BLOCK, 1 << bits)
-        rows = [(i, c.astype("<i8").tobytes()) for i, c in enumerate(counts.reshape(-1, block)) if c.any()]
+        block = SKETCH_BLOCK
+        rows = [(i, packed(c)) for i, c in enumerate(counts.reshape(-1, block)) if c.any()]
         yield record_batch(rows, COUNTS)
 
     return run
@@ -53,9 +65,9 @@ def add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-            more = np.frombuffer(counts, dtype="<i8")
+            more = unpacked(counts)
             total[block] = total[block] + more if block in total else more
-    yield record_batch([(k, v.tobytes()) for k, v in total.items()], COUNTS)
+    yield record_batch([(k, packed(v)) for k, v in total.items()], COUNTS)
 
 
 def frequency_sketch(docs: DataFrame, hasher: Callable, arguments: tuple, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -65,17 +77,17 @@ def frequency_sketch(docs: DataFrame, hasher: Callable, arguments: tuple, bits:
     """
     parts = docs.select("text").mapInArrow(sketch_task(hasher, arguments, bits), COUNTS)
     rows = parts.repartition("block").mapInArrow(add_blocks, COUNTS).collect()
-    block = min(SKETCH_BLOCK, 1 << bits)
-    counts = np.zeros(((1 << bits) // block, block), dtype=np.int64)
+    cells = 1 << bits
+    counts = np.zeros((max(cells // SKETCH_BLOCK, 1), SKETCH_BLOCK), dtype=np.int64)
     for row in rows:
-        counts[row.block] = np.frombuffer(row.counts, dtype="<i8")
-    return counts.ravel()
+        counts[row.block] = unpacked(row.counts)
+    return counts.ravel()[:cells]
 
 
 def frequency_classes(counts: np.ndarray) -> np.ndarray:
     """0 where a cell holds no more than chance puts there, else the length of its count in bits."""
     mean = counts.mean()
-    limit = mean + 8 * mean**0.5 + 16
+    limit = mean + DEVIATIONS * mean**0.5 + 16
     return np.where(counts > limit, np.log2(np.maximum(counts, 1)).astype(np.int64) + 1, 0).astype(np.uint8)
 
 
