@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from docsync.llm.common import record_batch, scratch_path, stored, text_bytes
 
 MIN_REVISIT_BYTES = 100
-ARCHIVE_BYTES = 64 * 1024 * 1024
-LEVEL = 3
+ARCHIVE_BYTES = 32 * 1024 * 1024
+LEVEL = 6
 CHUNK = 1 << 20
 END = b"\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
@@ -82,6 +82,7 @@ class Inflated:
 
     def __init__(self, source):
         self.source, self.buffer, self.inflate = source, bytearray(), zlib.decompressobj(31)
+        self.begun = False
 
     def more(self) -> bool:
         """Fetch another piece; False at the end."""
@@ -89,19 +90,17 @@ class Inflated:
             data = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
             data = data or self.source.read(CHUNK)
             if not data:
-                if not self.inflate.eof and self.inflate_started:
+                if not self.inflate.eof and self.begun:
                     raise ValueError("the gzip stream ends early")
                 return False
             if self.inflate.eof:
                 self.inflate = zlib.decompressobj(31)
-            self.inflate_started = True
+            self.begun = True
             piece = self.inflate.decompress(data, CHUNK)
             if piece:
                 self.buffer += piece
                 return True
 
-    inflate_started = False
-
     def until(self, mark: bytes) -> bytes | None:
         """Bytes through `mark`; None if nothing is left."""
         begin = 0
@@ -184,12 +183,10 @@ def rewrite(archive: str, folder: str, level: int) -> Iterator[pa.RecordBatch]:
         while (head := stream.until(END)) is not None:
             head = head.lstrip(b"\r\n")
             fields = header_fields(head)
-            member, length = zlib.compressobj(level, zlib.DEFLATED, 31), 0
-            parts = [head, *()]
-            for part in parts:
-                data = member.compress(part)
-                length += len(data)
-                out.write(data)
+            member = zlib.compressobj(level, zlib.DEFLATED, 31)
+            data = member.compress(head)
+            length = len(data)
+            out.write(data)
             for part in stream.pieces(int(fields["content-length"])):
                 data = member.compress(part)
                 length += len(data)
