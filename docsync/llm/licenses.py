@@ -9,6 +9,7 @@ two rows such a window meets its template with probability 1 - (1 - 0.5**2)**24
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -101,27 +102,61 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return total
 
 
-def retrieved(marks: np.ndarray, scale: int, bands: dict[int, list[int]], family) -> set[tuple[int, int]]:
-    """(template, first shingle) of windows that share a band with a template."""
-    a, b = family
-    # A block is half a template; three of them make a window.
-    step = max(1, scale // 2)
-    starts = np.arange(0, len(marks), step)
-    low = np.empty((BANDS * ROWS, len(starts)), dtype=np.uint64)
-    for i in range(BANDS * ROWS):
-        low[i] = np.minimum.reduceat(marks * a[i] + b[i], starts)
-    wide = low.copy()
-    for shift in (1, 2):
-        wide[:, :-shift] = np.minimum(wide[:, :-shift], low[:, shift:])
-    keys = band_keys(wide)
-    known = np.fromiter(bands, dtype=np.uint64, count=len(bands))
-    near = np.zeros(1 << 16, dtype=bool)
-    near[(known & np.uint64(0xFFFF)).astype(np.int64)] = True
-    band, window = np.nonzero(near[(keys & np.uint64(0xFFFF)).astype(np.int64)])
+class Part(NamedTuple):
+    """A stretch of a text's shingles: of document `row`, from shingle `at` on."""
+
+    row: int
+    at: int
+    marks: np.ndarray
+
+
+def block_minima(hashed: np.ndarray, step: int) -> np.ndarray:
+    """Least value of every `step` values; an incomplete last block is left out."""
+    n = len(hashed) // step
+    out = hashed[: n * step : step].copy()
+    for k in range(1, step):
+        np.minimum(out, hashed[k : n * step : step], out=out)
+    return out
+
+
+def retrieved(parts: list[Part], scales: dict[int, dict[int, list[int]]], family) -> set[tuple[int, int, int, int]]:
+    """(row, scale, template, first shingle) of windows that share a band with a template.
+
+    The parts stand in one array, each followed by a gap as long as the longest window, so that no
+    window holds shingles of two.
+    """
+    gap = 3 * max(max(1, scale // 2) for scale in scales)
+    ends = np.cumsum([len(p.marks) + gap for p in parts])
+    begins = ends - [len(p.marks) + gap for p in parts]
+    marks = np.zeros(int(ends[-1]) + gap, dtype=np.uint64)
+    empty = np.ones(len(marks), dtype=bool)
+    for part, begin in zip(parts, begins.tolist()):
+        marks[begin : begin + len(part.marks)] = part.marks
+        empty[begin : begin + len(part.marks)] = False
+    empty = np.flatnonzero(empty)
+    low: dict[int, list[np.ndarray]] = {scale: [] for scale in scales}
+    for a, b in zip(*family):
+        hashed = marks * a + b
+        hashed[empty] = np.iinfo(np.uint64).max
+        for scale in scales:
+            low[scale].append(block_minima(hashed, max(1, scale // 2)))
     out = set()
-    for i, j in zip(band.tolist(), window.tolist()):
-        for template in bands.get(int(keys[i, j]), ()):
-            out.add((template, int(starts[j])))
+    for scale, bands in scales.items():
+        step, blocks = max(1, scale // 2), np.stack(low[scale])
+        wide = np.minimum(np.minimum(blocks[:, :-2], blocks[:, 1:-1]), blocks[:, 2:])
+        keys = band_keys(wide)
+        known = np.fromiter(bands, dtype=np.uint64, count=len(bands))
+        near = np.zeros(1 << 16, dtype=bool)
+        near[(known & np.uint64(0xFFFF)).astype(np.int64)] = True
+        band, window = np.nonzero(near[(keys & np.uint64(0xFFFF)).astype(np.int64)])
+        for i, j in zip(band.tolist(), window.tolist()):
+            for template in bands.get(int(keys[i, j]), ()):
+                start = j * step
+                own = int(np.searchsorted(ends, start, side="right"))
+                if own < len(parts) and start >= begins[own] + len(parts[own].marks):
+                    own += 1  # it begins in the gap before the next part
+                if own < len(parts):
+                    out.add((parts[own].row, scale, template, parts[own].at + max(0, start - int(begins[own]))))
     return out
 
 
@@ -129,26 +164,43 @@ def scan_task(notices: dict[str, str], least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates, family, hasher = Templates(notices), hash_family(), token_hasher()
         longest = max(templates.scales, default=0)
+
+        def found(texts: dict[int, np.ndarray], parts: list[Part]) -> dict[tuple[int, int], tuple]:
+            best: dict[tuple[int, int], tuple] = {}
+            hits = retrieved(parts, templates.scales, family) if parts and templates.scales else ()
+            for row, scale, template, first in sorted(hits):
+                marks, step, size = texts[row], max(1, scale // 2), len(templates.sets[template])
+                begin, end = max(0, first - step), first + 4 * step + SHINGLE
+                near = np.isin(marks[begin:end], templates.sets[template])
+                share = len(distinct(marks[begin:end][near])) / size
+                if share >= least and share > best.get((row, template), (0.0,))[0]:
+                    places = np.flatnonzero(near)
+                    words = int(places[-1] - places[0]) + min(SHINGLE, templates.lengths[template])
+                    best[row, template] = (share, begin + int(places[0]), words)
+            return best
+
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text"))):
-                marks = windows(hasher.of(text), SHINGLE)
-                best: dict[int, tuple[float, int, int]] = {}
+            ids, out = batch.column("doc_id").to_pylist(), []
+            texts: dict[int, np.ndarray] = {}
+            parts: list[Part] = []
+            held = 0
+
+            def flush() -> None:
+                for (row, t), value in sorted(found(texts, parts).items()):
+                    out.append((ids[row], templates.names[t], *value))
+                texts.clear()
+                parts.clear()
+
+            for row, text in enumerate(text_bytes(batch.column("text"))):
+                texts[row] = marks = windows(hasher.of(text), SHINGLE)
                 # Long texts are scanned in parts that overlap by more than a window.
                 for at in range(0, len(marks), PART):
-                    part = marks[at : at + PART + 2 * longest]
-                    for scale, bands in templates.scales.items():
-                        for template, first in sorted(retrieved(part, scale, bands, family)):
-                            step = max(1, scale // 2)
-                            begin, end = max(0, at + first - step), at + first + 4 * step + SHINGLE
-                            near = np.isin(marks[begin:end], templates.sets[template])
-                            size = len(templates.sets[template])
-                            share = len(distinct(marks[begin:end][near])) / size
-                            if share >= least and share > best.get(template, (0.0,))[0]:
-                                hits = np.flatnonzero(near)
-                                found = int(hits[-1] - hits[0]) + min(SHINGLE, templates.lengths[template])
-                                best[template] = (share, begin + int(hits[0]), found)
-                out += [(doc_id, templates.names[t], *v) for t, v in sorted(best.items())]
+                    parts.append(Part(row, at, marks[at : at + PART + 2 * longest]))
+                held += len(marks)
+                if held >= PART:
+                    flush()
+                    held = 0
+            flush()
             yield record_batch(out, FOUND)
 
     return run
