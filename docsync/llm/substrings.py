@@ -153,9 +153,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = S
     """(rk, doc_id, start, size, n_words, n_chunks, first_id, removed), one row per repeated passage.
 
     A passage is a run of adjacent chunks, each found in at least two rows of `docs`, of at least
-    `min_words` words in all. start and size are in bytes of the UTF-8 text. first_id is the
-    least doc_id among the rows that have all of its chunks at best, and `removed` is false where
-    the row is the one that keeps it. Digests are of 64 bits, and only whole runs count. Null and
+    `min_words` words in all, as far as the same row keeps its chunks: where that changes the run
+    is split, and its parts may be shorter. start and size are in bytes of the UTF-8 text.
+    first_id is the least doc_id among the rows that have its chunks, and `removed` is false where
+    that is this row. Digests are of 64 bits, and only whole runs count. Null and
     empty texts have no chunks; rows without doc_id keep nothing that a row with one has;
     repeated rows repeat each other's whole text; no rows give none.
     """
@@ -174,13 +175,16 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = S
     met = placed.join(shared, placed["tok"] == shared["_tok"])
     order = Window.partitionBy("rk").orderBy("start")
     apart = F.coalesce(F.lag(F.col("start") + F.col("size")).over(order) != F.col("start"), F.lit(True))
-    runs = met.withColumn("_apart", apart.cast("int")).withColumn("_run", F.sum("_apart").over(order))
-    found = runs.groupBy("rk", "_run").agg(
+    # Within a run each stretch of chunks with one first_id is a passage of its own.
+    turns = apart | ~F.lag("first_id").over(order).eqNullSafe(F.col("first_id"))
+    runs = met.withColumn("_apart", apart.cast("int")).withColumn("_turns", turns.cast("int"))
+    runs = runs.withColumn("_run", F.sum("_apart").over(order)).withColumn("_part", F.sum("_turns").over(order))
+    runs = runs.withColumn("_words", F.sum("words").over(Window.partitionBy("rk", "_run"))).filter(F.col("_words") >= min_words)
+    return runs.groupBy("rk", "_part").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("size").alias("size"),
-        F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"), F.max("first_id").alias("first_id"),
-        F.max((~F.col("doc_id").eqNullSafe(F.col("first_id")))).alias("removed"),
-    )
-    return found.filter(F.col("n_words") >= min_words).drop("_run")
+        F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"), F.first("first_id").alias("first_id"),
+        (~F.first("doc_id").eqNullSafe(F.first("first_id"))).alias("removed"),
+    ).drop("_part")
 
 
 def cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

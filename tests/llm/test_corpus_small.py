@@ -583,6 +583,21 @@ def test_repeated_passages(spark, none, clashing):
     assert substrings.without_repeats(clashing).columns == clashing.columns
 
 
+def test_excerpt_in_smaller_id_loses_no_text(spark):
+    """Each part of a passage stays once: an excerpt's owner keeps no more than the excerpt."""
+    head, tail = prose(61, 60), prose(62, 60)
+    rows = [(3, f"{prose(63, 30)} {tail}"), (5, f"{prose(64, 30)} {head} {tail}"), (7, f"{head} {tail} {prose(65, 30)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = {r["doc_id"]: r["text"] for r in substrings.without_repeats(docs).collect()}
+    assert cut[3] == rows[0][1]
+    assert head in cut[5] and tail[80:] not in cut[5]
+    assert head[80:-80] not in cut[7] and tail[80:-80] not in cut[7] and prose(65, 30)[80:] in cut[7]
+    spans = substrings.repeated_passages(docs).collect()
+    assert {(r["doc_id"], r["first_id"], r["removed"]) for r in spans} == {
+        (3, 3, False), (5, 5, False), (5, 3, True), (7, 5, True), (7, 3, True)
+    }
+
+
 # 9 -----------------------------------------------------------------------------------------
 
 
