@@ -1,21 +1,24 @@
 """Substring deduplication by content-defined chunks.
 
 A gear rolling hash over the last few bytes decides where a chunk ends, so an insertion moves
-the borders near it and no others. Chunks are compared by digest. A passage that other
-documents repeat shows up as a run of adjacent chunks that are all repeated; runs that are
-long enough are reported, and the document with the least id keeps the passage.
+the borders near it and no others. What is compared is not single chunks but windows: the
+shortest runs of adjacent chunks with enough words, from every chunk on and up to every chunk.
+Any longer run that two documents share is the union of its windows, and a run put together from
+pieces of different documents has none. Of what shared windows cover, the document with the
+least id keeps each part.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsync.llm.common import distinct, stored, text_bytes
+from docsync.llm.common import MULTIPLIER, distinct, mixed, record_batch, stored, text_bytes
 from docsync.llm.sketch import SKETCH_BITS, dealt_by_token, frequency_classes, frequency_sketch, shared_only
 
 # The hash of 16 bytes decides; one place in 16 is a border, none within MIN_CHUNK of the last.
@@ -27,9 +30,11 @@ MIN_WORDS = 18
 SEED = 7
 SPACES = b" \t\n\x0b\x0c\r"
 
-# `place` is start, size, words and whether the digest is hot, in one number.
-CHUNK = "tok long, rk long, doc_id long, place long"
-SIZE_BITS = WORD_BITS = 13
+# `place` is start, size and whether the digest is hot, in one number; `at` the words and chunks
+# before a window, `span` those in it.
+CHUNK = "tok long, rk long, place long, at long, span long"
+PASSAGE = "rk long, doc_id long, start long, size long, n_words long, n_chunks long, first_id long, removed boolean"
+SIZE_BITS = COUNT_BITS = 31
 
 
 def gear_table() -> np.ndarray:
@@ -75,12 +80,6 @@ def digests(text: bytes, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunk_hashes():
-    """A function from a text to the distinct digests of its chunks."""
-    gear = gear_table()
-    return lambda text: distinct(digests(text, borders(text, gear))) if text else np.zeros(0, np.uint64)
-
-
 def word_starts(text: bytes) -> np.ndarray:
     """1 at each byte that begins a word."""
     data = np.frombuffer(text, dtype=np.uint8)
@@ -90,30 +89,69 @@ def word_starts(text: bytes) -> np.ndarray:
     return begins
 
 
-def chunk_task(bits: int, classes):
+def text_windows(text: bytes, gear: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """Windows of a text: hash, first chunk, chunk after the last; ends of chunks, words before each.
+
+    A word that begins before a window counts for it, so that the count is the same wherever the
+    window stands.
+    """
+    ends = borders(text, gear)
+    begins = word_starts(text)
+    starts = np.concatenate([[0], ends[:-1]])
+    words = np.concatenate([[0], np.cumsum(np.add.reduceat(begins.astype(np.int64), starts))])
+    none = np.zeros(0, dtype=np.int64)
+    if words[-1] + 1 < min_words:
+        return none.view(np.uint64), none, none, ends, words
+    data = np.frombuffer(text, dtype=np.uint8)
+    n, blank = len(ends), np.isin(data[starts], np.frombuffer(SPACES, dtype=np.uint8))
+    # Words before a chunk, less one that goes on in it: windows have fewer words the later they begin.
+    before = words[:-1] - (~blank & ~begins[starts])
+    ahead = np.searchsorted(words[1:], before + min_words)
+    back = np.searchsorted(before, words[1:] - min_words, side="right") - 1
+    first = np.concatenate([np.arange(n), back])
+    last = np.concatenate([ahead, np.arange(n)])
+    # Those from a chunk on that are also the shortest up to their last chunk are counted once.
+    keep = np.concatenate([ahead < n, back >= 0])
+    keep[n:] &= ahead[back] != np.arange(n)
+    first, after = first[keep], last[keep] + 1
+    power = np.full(n + 1, MULTIPLIER)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    inverse = np.full(n + 1, np.uint64(pow(int(MULTIPLIER), -1, 1 << 64)))
+    inverse[0] = 1
+    inverse = np.multiply.accumulate(inverse)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(mixed(digests(text, ends)) * power[:n], out=sums[1:])
+    marks = mixed((sums[after] - sums[first]) * inverse[first] + (after - first).astype(np.uint64))
+    return marks, first, after, ends, words
+
+
+def window_hashes(min_words: int):
+    """A function from a text to the distinct hashes of its windows."""
+    gear = gear_table()
+    return lambda text: distinct(text_windows(text, gear, min_words)[0]) if text else np.zeros(0, np.uint64)
+
+
+def chunk_task(bits: int, classes, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gear, of_cell, shift = gear_table(), classes.value, np.uint64(64 - bits)
         names = [part.split()[0] for part in CHUNK.split(", ")]
         for batch in batches:
             parts: list[list[np.ndarray]] = []
             held = 0
-            ids = zip(batch.column("rk").to_pylist(), batch.column("doc_id").to_pylist())
-            for (rk, doc_id), text in zip(ids, text_bytes(batch.column("text"))):
+            for rk, text in zip(batch.column("rk").to_pylist(), text_bytes(batch.column("text"))):
                 if not text:
                     continue
-                ends = borders(text, gear)
-                marks = digests(text, ends)
-                starts = np.concatenate([[0], ends[:-1]])
-                words = np.add.reduceat(word_starts(text).astype(np.int32), starts)
-                n = len(ends)
+                marks, first, after, ends, words = text_windows(text, gear, min_words)
+                if not len(marks):
+                    continue
+                starts = np.concatenate([[0], ends])
                 hot = of_cell[(marks >> shift).astype(np.int64)] > 0
-                place = (starts << SIZE_BITS | ends - starts) << WORD_BITS | words
-                no_id = doc_id is None
-                parts.append([
-                    marks.view(np.int64), np.full(n, rk), np.full(n, 0 if no_id else doc_id), place << 1 | hot,
-                    np.full(n, no_id),
-                ])
-                held += n
+                place = (starts[first] << SIZE_BITS | starts[after] - starts[first]) << 1 | hot
+                at = words[first] << COUNT_BITS | first
+                span = words[after] - words[first] << COUNT_BITS | after - first
+                parts.append([marks.view(np.int64), np.full(len(marks), rk), place, at, span])
+                held += len(marks)
                 if held > 100_000:
                     yield chunk_batch(parts, names)
                     parts, held = [], 0
@@ -123,68 +161,100 @@ def chunk_task(bits: int, classes):
 
 
 def chunk_batch(parts: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
-    columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, dtype=np.int64)] * 5
-    masks = [None, None, columns[4].astype(bool), None]
-    arrays = [pa.array(c.astype(np.int64), pa.int64(), mask=m) for c, m in zip(columns, masks)]
-    return pa.RecordBatch.from_arrays(arrays, names=names)
+    columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, dtype=np.int64)] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64), pa.int64()) for c in columns], names=names)
 
 
-def repeated_chunks(rows: DataFrame, bits: int) -> DataFrame:
-    """Stored chunks (tok, rk, doc_id, start, size, words) whose digest stands in two rows or more.
+def repeated_windows(rows: DataFrame, min_words: int, bits: int) -> DataFrame:
+    """Stored windows (tok, rk, place, at, span) whose hash stands in two places or more.
 
-    Hot digests all pass; whether they stand in two rows is counted later.
+    Hot hashes all pass; whether they stand in two rows is counted later.
     """
     spark = rows.sparkSession
-    classes = spark.sparkContext.broadcast(frequency_classes(frequency_sketch(rows, chunk_hashes, (), bits)))
-    chunks = rows.select("rk", "doc_id", "text").mapInArrow(chunk_task(bits, classes), CHUNK)
-    kept = dealt_by_token(chunks, "rk").mapInArrow(shared_only, CHUNK)
-    low = F.lit((1 << SIZE_BITS) - 1)
-    return stored(
-        kept.select(
-            "tok", "rk", "doc_id", F.shiftright("place", SIZE_BITS + WORD_BITS + 1).alias("start"),
-            F.shiftright("place", WORD_BITS + 1).bitwiseAND(low).alias("size"),
-            F.shiftright("place", 1).bitwiseAND(low).alias("words"),
-        ),
-        "chunks",
-    )
+    classes = spark.sparkContext.broadcast(frequency_classes(frequency_sketch(rows, window_hashes, (min_words,), bits)))
+    chunks = rows.select("rk", "text").mapInArrow(chunk_task(bits, classes, min_words), CHUNK)
+    return stored(dealt_by_token(chunks, "rk").mapInArrow(shared_only, CHUNK), "chunks")
+
+
+def joined_windows(windows: list[tuple]) -> Iterator[tuple]:
+    """(start, size, n_words, n_chunks, first_id), the parts of a row that shared windows cover.
+
+    `windows` are (start, end, words at both, chunks at both, first_id) in order of start. The
+    first_id of a place is the least of the windows over it; None comes after all.
+    """
+    borders = sorted({(w[0], w[2], w[4]) for w in windows} | {(w[1], w[3], w[5]) for w in windows})
+    over: list[tuple] = []
+    run: list[list] = []
+    at = 0
+    for here, there in zip(borders, [*borders[1:], None]):
+        while at < len(windows) and windows[at][0] <= here[0]:
+            owner = windows[at][6]
+            heapq.heappush(over, (owner is None, owner or 0, windows[at][1]))
+            at += 1
+        while over and over[0][2] <= here[0]:
+            heapq.heappop(over)
+        if over:
+            owner = None if over[0][0] else over[0][1]
+            if run and run[-1][2] == owner:
+                run[-1][1] = there
+            else:
+                run.append([here, there, owner])
+        elif run:
+            for (start, words, chunks), (end, words_to, chunks_to), owner in run:
+                yield start, end - start, words_to - words, chunks_to - chunks, owner
+            run = []
+
+
+def passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    low = (1 << COUNT_BITS) - 1
+
+    def passages(rk: int, doc_id: int | None, windows: list[tuple]) -> Iterator[tuple]:
+        for *part, owner in joined_windows(windows):
+            yield rk, doc_id, *part, owner, doc_id != owner
+
+    key, windows = None, []
+    for batch in batches:
+        out = []
+        for rk, doc_id, place, at, span, owner in zip(*[c.to_pylist() for c in batch.columns]):
+            if key != (rk, doc_id):
+                if windows:
+                    out += passages(*key, windows)
+                key, windows = (rk, doc_id), []
+            start, words, chunks = place >> SIZE_BITS + 1, at >> COUNT_BITS, at & low
+            end = start + (place >> 1 & low)
+            windows.append((start, end, words, words + (span >> COUNT_BITS), chunks, chunks + (span & low), owner))
+        yield record_batch(out, PASSAGE)
+    if windows:
+        yield record_batch(list(passages(*key, windows)), PASSAGE)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = SKETCH_BITS) -> DataFrame:
     """(rk, doc_id, start, size, n_words, n_chunks, first_id, removed), one row per repeated passage.
 
-    A passage is a run of adjacent chunks, each found in at least two rows of `docs`, of at least
-    `min_words` words in all, as far as the same row keeps its chunks: where that changes the run
-    is split, and its parts may be shorter. start and size are in bytes of the UTF-8 text.
-    first_id is the least doc_id among the rows that have its chunks, and `removed` is false where
-    that is this row. Digests are of 64 bits, and only whole runs count. Null and
+    A passage is a stretch of chunks, each within a run of adjacent chunks of at least `min_words`
+    words, counting one that goes on into the first, that another row of `docs` has just so. Where the row that keeps them changes the stretch
+    is split, and its parts may be shorter. start and size are in bytes of the UTF-8 text. first_id
+    is the least doc_id among the rows that have such a run around the chunks, and `removed` is
+    false where that is this row. Digests are of 64 bits, and only whole windows count. Null and
     empty texts have no chunks; rows without doc_id keep nothing that a row with one has;
     repeated rows repeat each other's whole text; no rows give none.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.withColumn("rk", F.xxhash64("doc_id", "text")).filter("text IS NOT NULL")
-    chunks = repeated_chunks(rows, bits)
-    # Rows that agree in id and text share rk: their chunks stand twice at the same place.
-    placed = chunks.groupBy("tok", "rk", "start").agg(
-        F.count("*").alias("n"), F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("words").alias("words")
+    windows = repeated_windows(rows, min_words, bits)
+    ids = rows.groupBy(F.col("rk").alias("_rk")).agg(F.first("doc_id").alias("doc_id"))
+    # Rows that agree in id and text share rk: their windows stand twice at the same place.
+    placed = windows.groupBy("tok", "rk", "place").agg(
+        F.count("*").alias("n"), F.first("at").alias("at"), F.first("span").alias("span")
     )
+    placed = stored(placed.join(ids, placed["rk"] == ids["_rk"]).drop("_rk"), "placed")
     first = placed.groupBy("tok").agg(
         F.min("doc_id").alias("first_id"), F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.max("n").alias("most")
     )
-    # A digest within one row alone is no repeat.
+    # A window within one row alone is no repeat.
     shared = first.filter("lo <> hi OR most > 1").select(F.col("tok").alias("_tok"), "first_id")
-    met = placed.join(shared, placed["tok"] == shared["_tok"])
-    order = Window.partitionBy("rk").orderBy("start")
-    apart = F.coalesce(F.lag(F.col("start") + F.col("size")).over(order) != F.col("start"), F.lit(True))
-    # Within a run each stretch of chunks with one first_id is a passage of its own.
-    turns = apart | ~F.lag("first_id").over(order).eqNullSafe(F.col("first_id"))
-    runs = met.withColumn("_apart", apart.cast("int")).withColumn("_turns", turns.cast("int"))
-    runs = runs.withColumn("_run", F.sum("_apart").over(order)).withColumn("_part", F.sum("_turns").over(order))
-    runs = runs.withColumn("_words", F.sum("words").over(Window.partitionBy("rk", "_run"))).filter(F.col("_words") >= min_words)
-    return runs.groupBy("rk", "_part").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("size").alias("size"),
-        F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"), F.first("first_id").alias("first_id"),
-        (~F.first("doc_id").eqNullSafe(F.first("first_id"))).alias("removed"),
-    ).drop("_part")
+    met = placed.join(shared, placed["tok"] == shared["_tok"]).select("rk", "doc_id", "place", "at", "span", "first_id")
+    return met.repartition("rk").sortWithinPartitions("rk", "place").mapInArrow(passage_rows, PASSAGE)
 
 
 def cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

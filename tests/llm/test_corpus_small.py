@@ -598,6 +598,60 @@ def test_excerpt_in_smaller_id_loses_no_text(spark):
     }
 
 
+def test_stock_phrases_are_no_passage(spark):
+    """A sentence whose every chunk stands in some other document is no repeat of any of them."""
+    gear = substrings.gear_table()
+    chunk = lambda t: np.split(np.frombuffer(t, np.uint8), substrings.borders(t, gear)[:-1])
+    # Whole chunks that end at a border stay chunks wherever one follows another.
+    sources = [prose(700 + i, 60) for i in range(12)]
+    pieces = [chunk(t.encode())[3].tobytes().decode() for t in sources]
+    assert max(len(p.split()) for p in pieces) < 15
+    rows = [*enumerate(sources), (50, "".join(pieces))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert substrings.repeated_passages(docs).count() == 0
+    assert {r["doc_id"]: r["text"] for r in substrings.without_repeats(docs).collect()}[50] == rows[-1][1]
+
+
+def brute_passages(rows, min_words):
+    """Cut bytes by row, from all runs of chunks of all pairs of rows."""
+    gear, parts = substrings.gear_table(), []
+    for _, t in rows:
+        ends = [0, *substrings.borders(t.encode(), gear).tolist()]
+        parts.append([t.encode()[a:b] for a, b in itertools.pairwise(ends)])
+    cut = collections.defaultdict(set)
+    for (d, _), x in zip(rows, parts):
+        for (e, _), y in zip(rows, parts):
+            for i, j in itertools.product(range(len(x)), range(len(y))) if e < d else ():
+                n = 0
+                while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+                    n += 1
+                if len(b"".join(x[i : i + n]).split()) >= min_words:
+                    cut[d] |= set(range(len(b"".join(x[:i])), len(b"".join(x[: i + n]))))
+    return cut
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passages_match_brute_force(spark, seed):
+    """Documents cut and put together from the same few texts, some with few words in long chunks."""
+    rng = np.random.default_rng(seed)
+    source = [*(prose(800 + i, 120) for i in range(3)), "y" * 9000 + " " + prose(810, 60), "\n" * 200 + prose(811, 60)]
+    rows = []
+    for i in range(14):
+        text = prose(820 + i, 10)
+        for s in rng.choice(len(source), 3):
+            words = source[s].split(" ")
+            a, n = int(rng.integers(0, len(words) - 20)), int(rng.integers(15, 90))
+            text += f" q{i} " + " ".join(words[a : a + n])
+        rows.append((i, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.defaultdict(set)
+    for r in substrings.repeated_passages(docs).collect():
+        if r["removed"]:
+            got[r["doc_id"]] |= set(range(r["start"], r["start"] + r["size"]))
+    wanted = brute_passages(rows, substrings.MIN_WORDS)
+    assert wanted and got == wanted
+
+
 # 9 -----------------------------------------------------------------------------------------
 
 
