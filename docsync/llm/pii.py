@@ -28,6 +28,18 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9A-Za-z])",
 }
 ANY = "|".join(PATTERNS.values())
+# A match may be several numbers with one space between. How it is read instead: first in the
+# usual shapes of cards and as other kinds, then as a card of any grouping, longest first.
+CARD_END = r"(?![0-9A-Za-z-])"
+CARD_SHAPES = [
+    r"[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}\1[0-9]{3}", r"[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}",
+    r"[0-9]{4}([ -])[0-9]{6}\1[0-9]{4,5}", r"[0-9]{13,19}",
+]
+OTHERS = "|".join(p for k, p in PATTERNS.items() if k != "card")
+# The same without groups that refer back, to be joined.
+CARD_PLAIN = ["[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{3})?", "[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}", "[0-9]{13,19}"]
+SHAPED = [*(f"{p}{CARD_END}" for p in CARD_SHAPES), OTHERS]
+LOOSE = [rf"[0-9](?:[ -]?[0-9]){{{n - 1}}}{CARD_END}" for n in range(19, 12, -1)]
 # Nothing above matches a text without a digit, an at sign or a word that announces a secret.
 WORTH_A_LOOK = "[0-9@]|password|passwd|secret|api_key|token"
 
@@ -148,6 +160,45 @@ def kind_of(value: Column) -> Column:
     return out
 
 
+def readings(value: Column) -> Column:
+    """A rejected match as pieces (m, k) in order, which make it up; k is null where no value is."""
+    whole = F.length(value)
+    begins = F.filter(F.sequence(F.lit(1), whole), lambda i: F.substring(F.concat(F.lit(" "), value), i, F.lit(2)).rlike("^ [0-9]"))
+
+    def of(i: Column) -> Column:
+        rest = F.substring(value, i, whole)
+        tries = [(0, p) for p in SHAPED] + [(1, p) for p in LOOSE]
+        found = [F.struct(F.lit(r).alias("r"), F.regexp_extract(rest, f"^(?:{p})", 0).alias("m")) for r, p in tries]
+        full = F.transform(
+            F.filter(F.array(*found), lambda c: c["m"] != ""),
+            lambda c: F.struct(c["r"].alias("r"), i.alias("i"), c["m"].alias("m"), kind_of(c["m"]).alias("k")),
+        )
+        return F.filter(full, lambda c: c["k"].isNotNull())
+
+    # By shape, then from left to right, each where none taken before stands.
+    tried = F.flatten(F.transform(begins, of))
+    tried = F.concat(F.filter(tried, lambda c: c["r"] == 0), F.filter(tried, lambda c: c["r"] == 1))
+
+    def take(taken: Column, c: Column) -> Column:
+        meets = F.exists(taken, lambda t: (c["i"] < t["i"] + F.length(t["m"])) & (t["i"] < c["i"] + F.length(c["m"])))
+        return F.when(meets, taken).otherwise(F.concat(taken, F.array(F.struct(c["i"].alias("i"), c["m"].alias("m"), c["k"].alias("k")))))
+
+    empty = F.array().cast("array<struct<i:int,m:string,k:string>>")
+    taken = F.array_sort(F.aggregate(tried, empty, take))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<m:string,k:string>>").alias("out"))
+
+    def cover(s: Column, t: Column) -> Column:
+        gap = F.struct(F.substring(value, s["at"], t["i"] - s["at"]).alias("m"), F.lit(None).cast("string").alias("k"))
+        piece = F.struct(t["m"].alias("m"), t["k"].alias("k"))
+        return F.struct((t["i"] + F.length(t["m"])).alias("at"), F.concat(s["out"], F.array(gap, piece)).alias("out"))
+
+    def ended(s: Column) -> Column:
+        rest = F.struct(F.substring(value, s["at"], whole).alias("m"), F.lit(None).cast("string").alias("k"))
+        return F.concat(s["out"], F.array(rest))
+
+    return F.aggregate(taken, start, cover, ended)
+
+
 def pseudonym(value: Column, kind: Column, key: str) -> Column:
     """What stands in for a value of a kind; the value itself where kind is null."""
     whole = F.length(value)
@@ -226,15 +277,20 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     found = F.when(look, F.regexp_extract_all("text", F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.struct(*others, F.lit(1).alias("_")).alias("_row"), "text", found.alias("_found"))
     values = F.transform("_found", lambda m: F.struct(m.alias("m"), kind_of(m).alias("k")))
+    # Cards of no usual shape may be several numbers as well; read again, the whole comes last.
+    usual = "^(?:" + "|".join(f"(?:{p})" for p in CARD_PLAIN) + ")$"
+    again = lambda v: v["k"].isNull() | ((v["k"] == "card") & ~v["m"].rlike(usual))
+    rows = rows.select("_row", "text", values.alias("_once"))
+    values = F.transform("_once", lambda v: F.when(again(v), readings(v["m"])).otherwise(F.array(v)))
     rows = rows.select("_row", "text", values.alias("_values"))
     pieces = F.split("text", ANY, -1)
-    joined = F.array_join(
-        F.zip_with(
-            pieces, "_values", lambda p, v: F.concat(p, F.coalesce(pseudonym(v["m"], v["k"], key), F.lit("")))
-        ),
-        "",
-    )
-    kinds = F.filter(F.transform("_values", lambda v: v["k"]), lambda k: k.isNotNull())
+
+    def replaced(p: Column, v: Column) -> Column:
+        new = F.transform(v, lambda x: F.coalesce(pseudonym(x["m"], x["k"], key), F.lit("")))
+        return F.concat(p, F.coalesce(F.array_join(new, ""), F.lit("")))
+
+    joined = F.array_join(F.zip_with(pieces, "_values", replaced), "")
+    kinds = F.filter(F.transform(F.flatten("_values"), lambda v: v["k"]), lambda k: k.isNotNull())
     rows = rows.withColumn("kinds", kinds)
     text = F.when(F.size("kinds") > 0, joined).otherwise(F.col("text")).alias("text")
     return rows.select(*[F.col("_row")[c].alias(c) for c in others], text, F.size("kinds").cast("long").alias("n_private"), "kinds")

@@ -281,6 +281,25 @@ def test_pseudonyms_keep_kind_and_link(spark):
     assert any(again[i] != out[i]["text"] for i in range(len(where)))
 
 
+FOLLOWED = [
+    ("4111111111111111 12/27", ["card"], "4111111111111111"), ("4111 1111 1111 1111 123", ["card"], "4111 1111 1111 1111"),
+    ("555-123-4567 2024-01-02", ["phone", "date"], "555-123-4567"), ("3782 822463 10005 77", ["card"], "3782 822463 10005"),
+    ("123 4111 1111 1111 1111", ["card"], "4111 1111 1111 1111"), ("411 111 1111 11 1111 1 7", ["card"], "411 111 1111 11 1111 1"),
+    ("123-45-6789 4111111111111111 12", ["ssn", "card"], "4111111111111111"),
+]
+
+
+def test_pseudonyms_of_values_that_numbers_follow(spark):
+    rows = [(i, f"no {v}; {w}") for i, (v, _, w) in enumerate(FOLLOWED)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.pseudonymise(docs, "k1").collect()}
+    for i, (value, kinds, word) in enumerate(FOLLOWED):
+        assert out[i]["kinds"][: len(kinds)] == kinds, value
+        assert word not in out[i]["text"] and len(out[i]["text"]) == len(rows[i][1])
+        # The value alone has the same pseudonym.
+        assert out[i]["text"].split("; ")[1] in out[i]["text"].split("; ")[0]
+
+
 def test_pseudonyms_are_permutations(spark):
     """All values of a small domain map to different ones of the same domain."""
     ips = [f"10.0.{a}.{b}" for a in range(4) for b in range(0, 250, 5)]
