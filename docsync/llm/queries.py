@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docsync.llm import exact, jaccard, licenses, mixing, packing, pii, quality, substrings, tokens, warc
+from docsync.llm import (
+    balance,
+    divergence,
+    exact,
+    jaccard,
+    licenses,
+    mixing,
+    packing,
+    pii,
+    quality,
+    substrings,
+    tokens,
+    trie,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +33,7 @@ SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "labels": "doc_id bigint, quality int, toxic int",
     "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
 
@@ -68,6 +83,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balance.balanced_packing(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 REGISTRY: dict[str, Query] = {
     "op1_mix": op1_mix,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -79,6 +106,9 @@ REGISTRY: dict[str, Query] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_cost_packing": op12_cost_packing,
+    "op13_source_divergence": op13_source_divergence,
 }
 # The others keep hash-random orders, tokenizer ids, models or keyed permutations, which SQL
 # cannot express; tests compare them with brute force.
@@ -114,4 +144,75 @@ ORACLE: dict[str, str] = {
             CASE WHEN page_id <> first AND strlen(html) >= 100 THEN first END AS refers_to
         FROM (SELECT page_id, html, min(page_id) OVER (PARTITION BY html) AS first
             FROM (SELECT page_id, coalesce(html, '') AS html FROM pages))""",
+    "op11_prefix_trie": r"""
+        WITH ids AS (
+            -- crc32 of the decimal id, bit by bit.
+            SELECT conv_id, conv_id - conv_id % 100 AS head, xor(list_reduce(
+                list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+                lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y:
+                    CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 6 AS h
+            FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+        turns AS MATERIALIZED (
+            SELECT conv_id, digest, length(text) AS points,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS i
+            FROM (SELECT conv_id, turn, text, sha256(strlen(role)::VARCHAR || ':' || role || text) AS digest
+                FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations))),
+        rebuilt AS (
+            SELECT d.conv_id, t.i, t.digest, t.points FROM ids d JOIN turns t ON t.conv_id = d.head AND t.i <= d.h
+            UNION ALL
+            SELECT d.conv_id, t.i, t.digest, t.points FROM ids d JOIN turns t ON t.conv_id = d.conv_id AND t.i > d.h),
+        paths AS MATERIALIZED (
+            SELECT conv_id, row_number() OVER w AS depth, sha256(string_agg(digest, '') OVER w) AS node, points
+            FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+            UNION ALL SELECT conv_id, 0, '', 0 FROM ids),
+        members AS MATERIALIZED (
+            SELECT *, lag(node) OVER w AS parent, lead(node) OVER w IS NULL AS is_end
+            FROM paths WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+        nodes AS (
+            SELECT depth, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs,
+                (count(*) - 1) * any_value(points) AS saved,
+                sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256
+            FROM members GROUP BY depth, node),
+        children AS (SELECT depth - 1 AS depth, parent AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+        known AS MATERIALIZED (
+            SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c USING (depth, node)),
+        below AS (
+            SELECT m.depth, m.node, count(*) FILTER (k.n_children = 0) AS n_leaves, sum(k.saved) AS saved_tokens
+            FROM known k JOIN paths m ON m.conv_id = k.conv_id AND m.depth <= k.depth GROUP BY ALL)
+        SELECT k.conv_id, k.depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, b.n_leaves::BIGINT AS n_leaves,
+            b.saved_tokens::BIGINT AS saved_tokens, k.ends_sha256
+        FROM known k JOIN below b USING (depth, node) LEFT JOIN known p ON p.depth = k.depth - 1 AND p.node = k.parent""",
+    "op13_source_divergence": r"""
+        WITH docs AS MATERIALIZED (
+            SELECT row_number() OVER () AS row, coalesce(text, '') AS text, coalesce(lang, '') AS lang,
+                coalesce(source, '') AS source FROM documents),
+        words AS MATERIALIZED (
+            SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+        kept AS MATERIALIZED (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT row) >= 10),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        grid AS MATERIALIZED (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n
+            FROM groups g JOIN kept k ON k.lang = g.lang
+            LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        shares AS MATERIALIZED (
+            SELECT *, 1 + (1000000000 * (n + 2)) // (sum(n) OVER w + 2 * count(*) OVER w) AS p
+            FROM grid WINDOW w AS (PARTITION BY lang, source)),
+        langs AS (
+            SELECT lang, term, 1 + (1000000000 * (n + 2)) // (sum(n) OVER w + 2 * count(*) OVER w) AS q
+            FROM (SELECT lang, term, sum(n) AS n FROM grid GROUP BY ALL) WINDOW w AS (PARTITION BY lang)),
+        pairs AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0)::BIGINT AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+            UNION ALL
+            SELECT s.lang, s.source, 'term', s.term, ((p - q) * (p - q) // (p + q))::BIGINT
+            FROM shares s JOIN langs l ON l.lang = s.lang AND l.term = s.term WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value, rank::INT AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+        WHERE part = 'pair' OR rank <= 10""",
 }
