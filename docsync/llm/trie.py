@@ -64,7 +64,8 @@ class Slab:
         there = column[None, :] < left[:, None]
         place = np.where(there, shard.begin[rows][:, None] + first + column[None, :], 0)
         ids = np.where(there, shard.ids[place] if len(shard.ids) else 0, 0)
-        order = np.lexsort((shard.conv[rows], *ids.T[::-1], group))
+        # Rows that end at the lower border come before those that go on, as everywhere else.
+        order = np.lexsort((shard.conv[rows], left > self.width, *ids.T[::-1], group))
         self.rows, self.group, self.ids, self.place = rows[order], group[order], ids[order], place[order]
         m = len(rows)
         change = np.ones((m, self.width), dtype=bool)

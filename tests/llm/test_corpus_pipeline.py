@@ -113,7 +113,7 @@ def test_field_tells_held_out_documents(spark):
 def test_queries_are_registered():
     names = set(spark_entry.queries())
     assert {"pipeline", *REGISTRY} <= names
-    assert [sum(n.startswith(f"op{i}_") for n in REGISTRY) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in REGISTRY) for i in range(1, 14)] == [1] * 13
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -121,7 +121,7 @@ def test_query_equals_its_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     got = REGISTRY[name](spark, SMALL)
     want = con.execute(ORACLE[name])
