@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import re
 import sys
 from collections.abc import Iterator
 
@@ -25,11 +24,6 @@ from docsync.llm.common import record_batch, scratch_path, text_bytes
 # The pre-tokenizer's pattern of byte-level vocabularies, and its special token.
 BYTE_LEVEL_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-# A single space between two other characters always begins a new pre-token; this finds texts
-# in which some space has white space beside it or stands at an end.
-ODD_SPACE = re.compile(r" \s|\s |^ | \Z")
-CACHED_CHUNKS = 300_000
-
 
 def byte_letters() -> dict[str, int]:
     """Byte-level vocabularies write each byte as a letter: printable ones as themselves, the rest
@@ -66,8 +60,8 @@ def fast_engine(model: dict):
 class Encoder:
     """Ids of texts as the library of a tokenizer file gives them, without added tokens.
 
-    Byte-level vocabularies are read by tiktoken, which gives the same ids several times faster;
-    texts are encoded by the chunks between single spaces, and the ids of a chunk are remembered.
+    Byte-level vocabularies are read by tiktoken, which gives the same ids several times faster.
+    Nothing of a text is remembered, so what a worker holds does not grow with what it has read.
     """
 
     def __init__(self, path: str):
@@ -79,8 +73,6 @@ class Encoder:
         else:
             with open(path, encoding="utf-8") as f:
                 self.fast = fast_engine(json.load(f))
-            self.special = tuple(self.fast.special_tokens_set) if self.fast else ()
-        self.chunks: dict[str, bytes] = {}
 
     def by_library(self, text: str) -> list[int]:
         if self.pieces is not None:
@@ -93,34 +85,15 @@ class Encoder:
             self.library.no_padding()
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def ids(self, text: str) -> list[int]:
-        if self.fast is None:
-            return self.by_library(text)
-        try:
-            if any(s in text for s in self.special):
-                return self.fast.encode(text, allowed_special="all")
-            return self.fast.encode_ordinary(text)
-        except BaseException as e:  # its regular expressions give up on some very long runs
-            if type(e).__name__ not in ("ValueError", "PanicException"):
-                raise
-            return self.by_library(text)
-
     def packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        if self.fast is None or ODD_SPACE.search(text):
-            return np.array(self.ids(text), dtype="<u4").tobytes()
-        first, *rest = text.split(" ")
-        return np.array(self.ids(first), dtype="<u4").tobytes() + b"".join(map(self.chunk, rest))
-
-    def chunk(self, chunk: str) -> bytes:
-        known = self.chunks.get(chunk)
-        if known is None:
-            if len(self.chunks) >= CACHED_CHUNKS:
-                self.chunks.clear()
-            known = np.array(self.ids(" " + chunk), dtype="<u4").tobytes()
-            if len(chunk) <= 64:
-                self.chunks[chunk] = known
-        return known
+        if self.fast is not None:
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+            except BaseException as e:  # its regular expressions give up on some very long runs
+                if type(e).__name__ not in ("ValueError", "PanicException"):
+                    raise
+        return np.array(self.by_library(text), dtype="<u4").tobytes()
 
 
 def encoder(path: str) -> Encoder:
@@ -138,11 +111,12 @@ class Encoders(dict):
 
 
 def tokenizer_version(path: str) -> str:
-    """Digest of a tokenizer: its file and the version of the library that reads it."""
+    """Digest of a tokenizer: its file and the versions of the libraries that may read it."""
     import sentencepiece
+    import tiktoken
     import tokenizers
 
-    library = sentencepiece.__version__ if path.endswith(".model") else tokenizers.__version__
+    library = sentencepiece.__version__ if path.endswith(".model") else f"{tokenizers.__version__} {tiktoken.__version__}"
     with open(path, "rb") as f:
         digest = hashlib.sha256(f.read())
     digest.update(library.encode())
