@@ -10,14 +10,13 @@ as one entry per task, and the owner holds one copy of it at a time.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsync.llm.common import BLANKS, record_batch, stored, text_bytes
+from docsync.llm.common import BLANKS, record_batch, stored
 
 CAPACITY = 20_000
 # 2**16 cells: the directory stays below 2 MB, so it can be broadcast at any size of the data.
@@ -29,40 +28,18 @@ ENTRY = "key long, norm binary, sha string, rows long, points long, doc_id long,
 INDEX = "start long, key long, chain int, sha string, rows long, keep_id long, ties long"
 
 
-def normalised(texts: list[bytes]) -> list[bytes]:
-    blanks = BLANKS.encode()
-    return [t.translate(None, blanks) for t in texts]
-
-
-def digest_of(norm: bytes) -> tuple[int, str]:
-    """Index key and SHA-256 of a normalised text; the key is the digest's first 64 bits."""
-    digest = hashlib.sha256(norm).digest()
-    return int.from_bytes(digest[:8], "big", signed=True), digest.hex()
-
-
-def digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Put key, sha and points (code points of the original) in the place of every `_text`."""
-    for batch in batches:
-        texts = text_bytes(batch.column("_text"))
-        digests = [digest_of(n) for n in normalised(texts)]
-        made = {
-            "_key": pa.array([d[0] for d in digests], pa.int64()),
-            "_sha": pa.array([d[1] for d in digests], pa.string()),
-            "_points": pa.array([len(t.decode("utf-8", "replace")) for t in texts], pa.int64()),
-        }
-        carried = [n for n in batch.schema.names if n != "_text"]
-        yield pa.RecordBatch.from_arrays(
-            [*[batch.column(n) for n in carried], *made.values()], names=[*carried, *made]
-        )
-
-
 def with_digests(docs: DataFrame, *columns) -> DataFrame:
-    """doc_id and `columns` of `docs`, then _key, _sha and _points of its text."""
-    rows = docs.select("doc_id", *columns, F.col("text").alias("_text"))
-    schema = docs.select("doc_id", *columns).schema
-    for name, kind in (("_key", "long"), ("_sha", "string"), ("_points", "long")):
-        schema = schema.add(name, kind)
-    return rows.mapInArrow(digest_rows, schema)
+    """doc_id and `columns` of `docs`, then _norm (the normalised text), its _sha and _key (the first 64
+    bits of its SHA-256), and _points (code points of the original).
+
+    All are built-in functions, so rows stay in the JVM, and a column that is not used costs nothing.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    norm = F.translate(text, BLANKS, "")
+    sha = F.sha2(norm, 256)
+    key = F.conv(F.substring(sha, 1, 16), 16, -10).cast("long")
+    return docs.select("doc_id", *columns, key.alias("_key"), sha.alias("_sha"),
+                       F.char_length(text).cast("long").alias("_points"), norm.cast("binary").alias("_norm"))
 
 
 def better(a: list, b: list) -> list:
@@ -79,24 +56,19 @@ def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def entries() -> pa.RecordBatch:
-        rows = [
-            (key, n, sha, v[0], *v[1])
-            for n, v in kept.items()
-            for key, sha in [digest_of(n)]
-        ]
-        return record_batch(rows, ENTRY)
+        return record_batch([(key, n, sha, rows, *best) for n, (key, sha, rows, best) in kept.items()], ENTRY)
 
     for batch in batches:
-        texts = text_bytes(batch.column("text"))
-        for doc_id, text, norm in zip(batch.column("doc_id").to_pylist(), texts, normalised(texts)):
-            row = [len(text.decode("utf-8", "replace")), doc_id, 1]
+        names = ("_norm", "_key", "_sha", "_points", "doc_id")
+        for norm, key, sha, points, doc_id in zip(*[batch.column(n).to_pylist() for n in names]):
+            row = [points, doc_id, 1]
             seen = kept.get(norm)
             if seen is None:
-                kept[norm] = [1, row]
+                kept[norm] = [key, sha, 1, row]
                 size += len(norm) + 400
             else:
-                seen[0] += 1
-                seen[1] = better(seen[1], row)
+                seen[2] += 1
+                seen[3] = better(seen[3], row)
             if size > FOLD_BYTES:
                 yield entries()
                 kept.clear()
@@ -161,7 +133,8 @@ def build_index(
     cells = keys.select("key", cell_of("key", max_depth).alias("cell")).distinct()
     places = directory(cells.groupBy("cell").agg(F.count("*").alias("n")), capacity, max_depth)
     places = stored(places, "directory")
-    entries = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(fold, ENTRY)
+    rows = with_digests(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    entries = rows.mapInArrow(fold, ENTRY)
     placed = entries.withColumn("cell", cell_of("key", max_depth)).join(F.broadcast(places), "cell")
     owned = placed.drop("cell").repartition("start").sortWithinPartitions("start", "key")
     names = ["start", "key", "norm", "sha", "rows", "points", "doc_id", "ties"]
@@ -194,7 +167,7 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
     row has one. Rows that repeat a doc_id and its text each count in group_size and
     one of them stays. No rows give no rows; other columns of `docs` play no part.
     """
-    digests = stored(with_digests(docs), "digests")
+    digests = stored(with_digests(docs).drop("_norm"), "digests")
     index = build_index(docs, digests.select(F.col("_key").alias("key")), capacity, max_depth)
     return judged(digests, index).select(
         "doc_id",

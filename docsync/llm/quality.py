@@ -12,8 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docsync.llm.common import BLANKS, WordHasher, record_batch, text_bytes, windows
 
@@ -210,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = SAMPLE_DOCS, max_l
     return fit([(np.frombuffer(r.features).reshape(-1, N_FEATURES), r.quality) for r in rows])
 
 
-def judge(field: Field | None, min_share: float):
+def judge(field: Field | None, min_share: float, carried: bool):
     step = [[0.0, 0.0], [0.0, 0.0]] if field is None else field.step.tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +220,8 @@ def judge(field: Field | None, min_share: float):
         skip = BLANKS.encode() + CONTINUATION
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column("_doc_id").to_pylist(), text_bytes(batch.column("_text"))):
+            ids, texts = (pc.struct_field(batch.column("_row"), n) for n in ("doc_id", "text"))
+            for doc_id, text in zip(ids.cast(pa.int64()).to_pylist(), text_bytes(texts)):
                 words = text.split()
                 features, counts, repeats = lines_of(text)
                 states = [1] * len(counts)
@@ -233,21 +236,25 @@ def judge(field: Field | None, min_share: float):
                      failed, len(counts), content, kept)
                 )
             made = record_batch(out, VERDICT)
-            carried = [n for n in batch.schema.names if n not in ("_doc_id", "_text")]
-            columns = [batch.column(n) for n in carried] + list(made.columns)
-            yield pa.RecordBatch.from_arrays(columns, names=[*carried, *[f"_v_{n}" for n in made.schema.names]])
+            columns = [batch.column("_row")] * carried + list(made.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=["_row"] * carried + [f"_v_{n}" for n in made.schema.names])
 
     return run
 
 
-def with_verdicts(docs: DataFrame, columns: list, field: Field | None, min_share: float = MIN_CONTENT_SHARE) -> DataFrame:
-    """`columns` of `docs`, then the verdict columns with a leading `_v_`."""
-    rows = docs.select(*columns, F.col("doc_id").cast("long").alias("_doc_id"), F.col("text").alias("_text"))
-    schema = docs.select(*columns).schema
+def with_verdicts(docs: DataFrame, field: Field | None, min_share: float = MIN_CONTENT_SHARE, carried: bool = False) -> DataFrame:
+    """The verdict columns with a leading `_v_`, behind the whole row as `_row` if it is carried.
+
+    A row passes through Python once, as one struct that the text is read from, so that no
+    name of its own can clash and no text stands twice in a batch.
+    """
+    row = F.struct("*") if carried else F.struct("doc_id", "text")
+    rows = docs.select(row.alias("_row"))
+    schema = StructType(rows.schema.fields[:] if carried else [])
     for part in VERDICT.split(","):
         name, kind = part.split()
         schema = schema.add(f"_v_{name}", kind)
-    return rows.mapInArrow(judge(field, min_share), schema)
+    return rows.mapInArrow(judge(field, min_share, carried), schema)
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, min_share: float = MIN_CONTENT_SHARE) -> DataFrame:
@@ -257,12 +264,11 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, min_share: float = MIN_
     are no lines. Without labelled documents of both qualities every line is content. Repeated
     rows are judged alike; no rows give no rows; other columns of `docs` play no part.
     """
-    out = with_verdicts(docs.select("doc_id", "text"), [], train(docs, labels), min_share)
+    out = with_verdicts(docs, train(docs, labels), min_share)
     return out.select(*[F.col(c).alias(c.removeprefix("_v_")) for c in out.columns])
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, min_share: float = MIN_CONTENT_SHARE) -> DataFrame:
     """The rows of `docs` that are kept, with their own columns."""
-    # The row travels as one column, so that no name of its own can clash.
-    out = with_verdicts(docs, [F.struct("*").alias("_row")], train(docs, labels), min_share)
+    out = with_verdicts(docs, train(docs, labels), min_share, carried=True)
     return out.filter("_v_kept").select("_row.*")

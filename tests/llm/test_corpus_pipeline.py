@@ -102,7 +102,8 @@ def test_field_tells_held_out_documents(spark):
     """Fitted on one half of the labelled documents, the field judges the other half."""
     docs, labels = table(spark, MEDIUM, "documents"), table(spark, MEDIUM, "labels")
     field = quality.train(docs, labels.filter("doc_id % 2 = 0"))
-    out = quality.with_verdicts(docs, ["doc_id"], field).join(labels.filter("doc_id % 2 = 1"), "doc_id")
+    verdicts = quality.with_verdicts(docs, field).withColumnRenamed("_v_doc_id", "doc_id")
+    out = verdicts.join(labels.filter("doc_id % 2 = 1"), "doc_id")
     rows = out.filter("NOT _v_base_failed").select("quality", F.col("_v_kept").cast("int").alias("kept")).collect()
     good = [r["kept"] for r in rows if r["quality"] == 1]
     bad = [r["kept"] for r in rows if r["quality"] == 0]
