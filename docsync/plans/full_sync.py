@@ -211,7 +211,8 @@ def run_sync(
     changes are committed.
 
     `contents` adds a `content` column to planned files, such as
-    `plans.tree_sync.read_spread`. `deliver` takes the payload table and returns the
+    `plans.tree_sync.read_spread`, or gives their payloads in parts, such as
+    `plans.tree_sync.read_parts_spread`. `deliver` takes the payload table and returns the
     keys and remote ids that went through. Without a `remote` listing nothing is healed and
     the run goes on. Decisions are written before anything is delivered, so delivery and
     commit work from the same rows even if files change or executors are lost meanwhile.
@@ -232,8 +233,8 @@ def run_sync(
     due = with_convert(payload.due(frame), config).withColumn(
         "upload_filename", S.upload_filename(F.col("filename"), F.col("convert"))
     )
-    bodies = payload.build_payload(contents(payload.with_header(due, config)))
-    payloads = store.stage("payloads", bodies)
+    bodies = contents(payload.with_header(due, config))
+    payloads = store.stage("payloads", bodies if "payload" in bodies.columns else payload.build_payload(bodies))
     deletes = store.stage("deletes", remote_deletes(frame))
     if plan_path:
         write_plan(delivery_work(frame, config), plan_path)

@@ -172,7 +172,7 @@ CTE["payloads"] = f"""
         ELSE {header("p.context_text", "p.label")} || CASE
             WHEN p.convert AND NOT {ext_in("p.filename", C.MARKDOWN_EXTENSIONS)}
             THEN '```' || {fence_lang("p.filename")} || chr(10) || t.text || chr(10) || '```' || chr(10)
-            ELSE t.text END END AS payload
+            ELSE t.text END END AS payload, strlen(t.text) AS content_bytes
     FROM planned p JOIN contents t ON t.kb_id = p.kb_id AND t.path = p.path WHERE p.action IN ('NEW', 'UPDATE')"""
 CTE["run"] = """
     SELECT coalesce(d.kb_id, s.kb_id) AS kb_id, coalesce(d.file_key, s.file_key) AS file_key,
@@ -486,6 +486,8 @@ BODY: dict[str, str] = {
                         len(list_filter(string_split_regex(header, '[ \\t\\r\\n\\f]+'), lambda w: w <> ''))
                             AS header_words FROM payloads)
                     WHERE len(words) > 0)))""",
+    "payload_parts": """SELECT kb_id, path, greatest(1, (content_bytes + 999) // 1000) AS n_parts,
+        CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_hash FROM payloads""",
     "orphans_missing": """SELECT kb_id, file_key, absolute_path, remote_file_id FROM judged
         WHERE reason = 'missing'""",
     "orphans": """SELECT *, remote_file_id <> '' AS delete_remote FROM judged WHERE reason <> 'kept'""",
@@ -576,6 +578,8 @@ BODY: dict[str, str] = {
             AND {OUTCOME.replace("final_code", "a.final_code").replace("logged", "a.logged")} = 'success'""",
 }
 
+BODY["chunk_payload_parts"] = BODY["chunk_payloads"]
+
 
 def _needs(text: str, known: dict[str, str]) -> list[str]:
     """Names of the shared parts that `text` reads, directly or through one another."""

@@ -20,6 +20,7 @@ from docsync.operators import (
     reports,
     state_ops,
 )
+from docsync.operators import payload_parts as parted
 from docsync.operators.skew import lookup_by_kb, set_down
 from docsync.plans import full_sync as sync
 from docsync.sources import config as config_source
@@ -450,11 +451,32 @@ def upload_collisions(t: Tables) -> DataFrame:
     return ingest.upload_collisions(named)
 
 
-def payload_rows(t: Tables) -> DataFrame:
+def content_rows(t: Tables) -> DataFrame:
     plan = payload.due(ingest.plan_ingest(accepted(t), t.state, t.config))
     headed = payload.with_header(plan, t.config)
     contents = t.contents.select("kb_id", "path", F.col("text").cast("binary").alias("content"))
-    return payload.build_payload(payload.attach_content(headed, contents))
+    return payload.attach_content(headed, contents)
+
+
+def payload_rows(t: Tables) -> DataFrame:
+    return payload.build_payload(content_rows(t))
+
+
+PART_BYTES = 1000
+
+
+@query
+def payload_parts(t: Tables) -> DataFrame:
+    """Payloads from contents in parts of 1000 bytes, most of them cut inside a word or character."""
+    parts = parted.build_payload_parts(parted.split_content(content_rows(t), PART_BYTES))
+    totals = parts.filter("is_last").withColumn("n_parts", F.col("part_no") + 1)
+    return totals.select("kb_id", "path", "n_parts", "payload_bytes", "payload_hash")
+
+
+@query
+def chunk_payload_parts(t: Tables) -> DataFrame:
+    """The windows of `chunk_payloads`, from payloads in parts."""
+    return parted.chunk_payload_parts(parted.build_payload_parts(parted.split_content(content_rows(t), PART_BYTES)))
 
 
 @query

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsync.functions import scalars as S
+from docsync.operators import payload_parts
 from docsync.operators.filters import filter_disposition
 from docsync.operators.state_ops import tracked_state
 from docsync.plans.snapshot import SnapshotStore
@@ -94,6 +95,12 @@ def read_spread(files: DataFrame) -> DataFrame:
     return doctree.read_contents(spread(files))
 
 
+def read_parts_spread(files: DataFrame) -> DataFrame:
+    """Payload parts of planned files, for files of any size; `run_sync` takes it in the place of
+    `read_spread` and then hands over parts instead of whole payloads."""
+    return payload_parts.read_payload_parts(spread(files), doctree.to_open)
+
+
 def file_keys(paths: DataFrame) -> DataFrame:
     """Keys of given paths, for setting or getting their context. A path that exists is
     made canonical first, as a walk would have found it; any other is taken as given."""

@@ -233,7 +233,7 @@ def _plus(df: DataFrame, name: str, of: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, of)])
 
 
-def _to_open(batch: pa.RecordBatch) -> list[str | bytes]:
+def to_open(batch: pa.RecordBatch) -> list[str | bytes]:
     """What to open for each row: the raw path where there is one."""
     paths = batch.column("path").to_pylist()
     raw = batch.column("raw").to_pylist() if "raw" in batch.schema.names else [None] * len(paths)
@@ -256,7 +256,7 @@ def hash_files(files: DataFrame) -> DataFrame:
 
     def hashed(batches):
         for batch in batches:
-            digests = [_hash_file(p) for p in _to_open(batch)]
+            digests = [_hash_file(p) for p in to_open(batch)]
             yield batch.append_column("content_hash", pa.array(digests, pa.string()))
 
     return files.mapInArrow(hashed, _plus(files, "content_hash", T.StringType()))
@@ -273,7 +273,7 @@ def read_contents(files: DataFrame) -> DataFrame:
     def contents(batches):
         for batch in batches:
             held, size, picked = [], 0, []
-            for row, path in enumerate(_to_open(batch)):
+            for row, path in enumerate(to_open(batch)):
                 try:
                     with open(path, "rb") as handle:
                         data = handle.read()
