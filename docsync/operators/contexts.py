@@ -9,11 +9,11 @@ from docsync import constants as C
 from docsync.functions import predicates as P
 from docsync.functions import scalars as S
 from docsync.operators.filters import filter_disposition
-from docsync.operators.skew import lookup_by_kb, ranked, split_points
+from docsync.operators.reports import with_configured
+from docsync.operators.skew import lookup_by_kb, ranked
 
 # Spark trims a `row_number() <= k` window before the shuffle for k up to this value.
 RANK_PUSHDOWN = 1000
-ROWS_PER_RANGE = 250_000
 
 
 def context_listing(listing: DataFrame, state: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -25,15 +25,15 @@ def context_listing(listing: DataFrame, state: DataFrame, patterns: DataFrame) -
     )
 
 
-def context_page_count(listing: DataFrame, search: str = "", page_size: int = C.PAGE_SIZE) -> DataFrame:
-    """Matches and pages per knowledge base; one without a match still has one page."""
+def context_page_count(
+    listing: DataFrame, search: str = "", page_size: int = C.PAGE_SIZE, configured: DataFrame | None = None
+) -> DataFrame:
+    """Matches and pages per knowledge base; one without a match still has one page, and so has one
+    of `configured` without any file."""
     hit = P.path_contains(F.col("path"), search)
     pages = F.greatest(F.ceil(F.col("total") / page_size), F.lit(1)).cast("bigint")
-    return (
-        listing.groupBy("kb_id")
-        .agg(F.count_if(hit).alias("total"))
-        .withColumn("total_pages", pages)
-    )
+    counts = listing.groupBy("kb_id").agg(F.count_if(hit).alias("total"))
+    return with_configured(counts, configured, "total").withColumn("total_pages", pages)
 
 
 def context_page(
@@ -53,7 +53,7 @@ def context_page(
             F.col("rank") <= wanted * page_size
         )
     else:
-        top = ranked(matched, ["kb_id"], "path", split_points(matched, "path", ROWS_PER_RANGE))
+        top = ranked(matched, ["kb_id"], "path")
         top = top.filter(F.col("rank") <= wanted * page_size)
     counts = context_page_count(listing, search, page_size)
     shown = F.least(F.lit(wanted).cast("bigint"), F.col("total_pages"))
@@ -70,15 +70,21 @@ def numbered_pages(
     listing: DataFrame,
     search: str = "",
     page_size: int = C.PAGE_SIZE,
-    rows_per_range: int = ROWS_PER_RANGE,
+    runs: int | None = None,
 ) -> DataFrame:
     """Every match with its rank and page number, for listings of any size."""
     matched = listing.filter(P.path_contains(F.col("path"), search))
-    out = ranked(matched, ["kb_id"], "path", split_points(matched, "path", rows_per_range))
+    out = ranked(matched, ["kb_id"], "path", runs)
     page = F.floor((F.col("rank") - 1) / page_size) + 1
     return out.withColumn("page", page.cast("bigint")).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def page_numbers(counts: DataFrame) -> DataFrame:
+    """Every page of every knowledge base, from its `total_pages` alone."""
+    page = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("total_pages")))
+    return counts.select("kb_id", "total_pages", page.alias("page"))
+
+
 def pager_strip(pages: DataFrame) -> DataFrame:
     """Page numbers offered around `page` of `total_pages`, one row each."""
     strip = S.pager_window(F.col("page"), F.col("total_pages"))

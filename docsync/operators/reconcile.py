@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docsync.functions import predicates as P
 from docsync.functions import scalars as S
-from docsync.operators.skew import run_number
+from docsync.operators.skew import cut_into_runs, lookup_hot, ranked
 from docsync.operators.state_ops import upsert_state
 
 
@@ -29,6 +29,13 @@ def filename_index(inventory: DataFrame) -> DataFrame:
     )
 
 
+def filename_paths(inventory: DataFrame) -> DataFrame:
+    """Every path of every file name, numbered by path; number 1 is the one that names resolve to."""
+    paths = visible_files(inventory).select("kb_id", "filename", "path")
+    numbered = ranked(paths, ["kb_id", "filename"], "path")
+    return numbered.withColumn("rank", F.col("rank").cast("bigint"))
+
+
 def first_local_path(inventory: DataFrame) -> DataFrame:
     return filename_index(inventory).select("kb_id", "filename", "first_path")
 
@@ -37,11 +44,11 @@ def _on_name(remote: DataFrame, targets: DataFrame) -> DataFrame:
     """Join remote rows to one row per file name.
 
     A name may own a third of the listing, so the big join is on (name, run), a run being
-    a stretch of list positions. Each run is summed up first, by its last id; targets
-    are laid out over those few summaries, which also yields `carried_id`, the id the
-    list left on the name before the run began.
+    a stretch of the list cut by row count, however far apart positions lie. Each run is
+    summed up first, by its last id; targets are laid out over those few summaries, which also
+    yields `carried_id`, the id the list left on the name before the run began.
     """
-    rows = remote.withColumn("_run", run_number("pos"))
+    rows = cut_into_runs(remote, ["kb_id", "filename"], "pos")
     last = F.max_by("remote_file_id", "pos").alias("_last")
     runs = rows.groupBy("kb_id", "filename", "_run").agg(last)
     by_name = Window.partitionBy("kb_id", "filename").orderBy("_run")
@@ -158,14 +165,14 @@ def heal_summary(log: DataFrame) -> DataFrame:
 
 def untracked_remote(remote: DataFrame, inventory: DataFrame, state: DataFrame) -> DataFrame:
     """Remote ids that no tracked row holds; `is_ghost` marks names that no longer
-    exist locally. Repeats are counted before the joins, so they cannot skew them."""
+    exist locally. Repeats are counted before the joins; a name with very many different ids is
+    dealt over salts (see `lookup_hot`)."""
     held = state.filter("remote_file_id <> ''").select("kb_id", "remote_file_id").distinct()
     local = first_local_path(inventory).select("kb_id", "filename", F.lit(True).alias("_local"))
+    ids = remote.groupBy("kb_id", "remote_file_id", "filename").agg(F.count("*").alias("n_rows"))
+    rows = ids.join(held, ["kb_id", "remote_file_id"], "left_anti")
     return (
-        remote.groupBy("kb_id", "remote_file_id", "filename")
-        .agg(F.count("*").alias("n_rows"))
-        .join(held, ["kb_id", "remote_file_id"], "left_anti")
-        .join(local, ["kb_id", "filename"], "left")
+        lookup_hot(rows, local, ["kb_id", "filename"], F.col("remote_file_id"))
         .withColumn("is_ghost", F.col("_local").isNull())
         .select("kb_id", "remote_file_id", "filename", "n_rows", "is_ghost")
     )

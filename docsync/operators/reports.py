@@ -18,8 +18,16 @@ def filter_summary(dispositions: DataFrame) -> DataFrame:
     )
 
 
-def kb_file_counts(remote: DataFrame) -> DataFrame:
-    return remote.groupBy("kb_id").agg(F.count("*").alias("n_files"))
+def with_configured(counts: DataFrame, configured: DataFrame | None, name: str) -> DataFrame:
+    """Counts per knowledge base, with a zero for each of `configured` that has none."""
+    if configured is None:
+        return counts
+    zero = configured.select("kb_id", F.lit(0).cast("bigint").alias(name))
+    return counts.unionByName(zero).groupBy("kb_id").agg(F.sum(name).alias(name))
+
+
+def kb_file_counts(remote: DataFrame, configured: DataFrame | None = None) -> DataFrame:
+    return with_configured(remote.groupBy("kb_id").agg(F.count("*").alias("n_files")), configured, "n_files")
 
 
 def tracked_key_count(state: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 
@@ -12,7 +11,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 128 * 1024 * 1024
 SALTS = 64
-RUN_WIDTH = 65_536
+# Rows of one key that may meet in one task.
+HOT_ROWS = 1_000_000
 
 
 def fits_broadcast(df: DataFrame) -> bool:
@@ -84,86 +84,79 @@ def lookup_by_kb(left: DataFrame, right: DataFrame, spread: Column) -> DataFrame
     return joined.drop("_salt")
 
 
-def run_number(order: str, width: int = RUN_WIDTH) -> Column:
-    """Number of the run of `width` consecutive integers that `order` falls in."""
-    return F.expr(f"`{order}` div {width}")
+def cut_into_runs(df: DataFrame, keys: list[str], order: str, runs: int | None = None) -> DataFrame:
+    """Set `df` down with `_run`: the number of the range it falls in, in the order of `keys` and `order`.
+
+    Ranges are cut by row count (Spark samples the rows), so a run holds about as many rows as
+    any other however many rows a key has and however far apart its positions lie. Runs of a key
+    have ascending numbers. `order` should be unique within a key. The table is written because
+    a second reading would sample anew and cut elsewhere.
+    """
+    columns = [*keys, order]
+    ranged = df.repartitionByRange(*columns) if runs is None else df.repartitionByRange(runs, *columns)
+    return set_down(ranged.withColumn("_run", F.spark_partition_id().cast("bigint")), "runs")
 
 
-def run_lag(
-    df: DataFrame, keys: list[str], order: str, column: str, depth: int, width: int = RUN_WIDTH
-) -> DataFrame:
+def run_lag(df: DataFrame, keys: list[str], order: str, column: str, depth: int, runs: int | None = None) -> DataFrame:
     """Add `<column>_lag1..depth`: earlier values of `column` within `keys` by `order`.
 
-    `order` is an integer, unique within a key. Rows are cut into runs of `width`
-    consecutive order values, so no window group exceeds `width` rows however many
-    rows a key has. Only the first and last `depth` rows of each run meet in a second
-    window, which carries values across run borders.
+    A window runs inside each run of a key (see `cut_into_runs`), so none holds more than a run.
+    Only the first and last `depth` rows of each run meet in a second window, which carries
+    values across run borders and holds a few rows per run of the key.
     """
     lags = [f"{column}_lag{i}" for i in range(1, depth + 1)]
-    run = run_number(order, width)
     ordered = Window.partitionBy(*keys, "_run").orderBy(order)
-    runs = (
-        df.withColumn("_run", run)
+    rows = (
+        cut_into_runs(df, keys, order, runs)
         .withColumn("_from_start", F.row_number().over(ordered))
         .withColumn("_ahead", F.lead(order, depth).over(ordered))
     )
     for i, name in enumerate(lags, 1):
-        runs = runs.withColumn(name, F.lag(column, i).over(ordered))
+        rows = rows.withColumn(name, F.lag(column, i).over(ordered))
     head = F.col("_from_start") <= depth
     tail = F.col("_ahead").isNull()
     across = Window.partitionBy(*keys).orderBy(order)
-    borders = runs.filter(head | tail)
+    borders = rows.filter(head | tail)
     for i, name in enumerate(lags, 1):
         borders = borders.withColumn(name, F.lag(column, i).over(across))
-    out = runs.filter(~head).unionByName(borders.filter(head))
+    out = rows.filter(~head).unionByName(borders.filter(head))
     return out.drop("_run", "_from_start", "_ahead")
 
 
-def range_number(value: Column, splits: list[str]) -> Column:
-    """How many of the sorted `splits` are at most `value`.
-
-    Two steps over blocks of splits, so a row meets about 2 * sqrt(n) of them.
-    """
-    if not splits:
-        return F.lit(0)
-    width = math.isqrt(len(splits) - 1) + 1
-    blocks = [splits[i : i + width] for i in range(0, len(splits), width)]
-
-    def at_most(values: Column) -> Column:
-        return F.size(F.filter(values, lambda s: s <= value))
-
-    heads = F.array(*[F.lit(b[0]) for b in blocks])
-    table = F.array(*[F.array(*[F.lit(s) for s in b]) for b in blocks])
-    block = at_most(heads)
-    inside = (block - 1) * width + at_most(F.element_at(table, block))
-    return F.when(block > 0, inside).otherwise(0)
-
-
-def ranked(df: DataFrame, keys: list[str], order: str, splits: list[str]) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: str, runs: int | None = None) -> DataFrame:
     """Add `rank`: exact 1-based position of each row within `keys` by `order`.
 
-    `splits` are sorted values of `order` that cut it into ranges. A window ranks each
-    range alone and a small table of range sizes supplies how many rows come before.
+    Rows are dealt out by ranges of the order; a window ranks each range alone, and a table of range
+    sizes, one row for each key and range, supplies how many rows come before. Nothing of
+    the order passes through the driver or the plan.
     """
-    cut = df.withColumn("_range", range_number(F.col(order), splits))
-    sizes = cut.groupBy(*keys, "_range").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut_into_runs(df, keys, order, runs)
+    sizes = cut.groupBy(*keys, "_run").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *keys, "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
+        *keys, "_run", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
     )
-    local = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order))
+    local = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(order))
     return (
         cut.withColumn("_local", local)
-        .join(offsets, [*keys, "_range"])
+        .join(offsets, [*keys, "_run"])
         .withColumn("rank", F.col("_before") + F.col("_local"))
-        .drop("_range", "_local", "_before")
+        .drop("_run", "_local", "_before")
     )
 
 
-def split_points(df: DataFrame, column: str, rows_per_range: int) -> list[str]:
-    """Sorted values that cut `column` into ranges of about `rows_per_range` rows.
+def lookup_hot(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Left join on `keys` with a table of one row per key, where few keys may own most of `left`.
 
-    Values are picked by hash, so only about one in `rows_per_range` reaches the driver.
+    Keys are counted first, combined before the shuffle. One with more than `hot_rows` rows gets a salt
+    for each `hot_rows` of them: its rows are dealt over the salts by the hash of `spread`, and its one
+    row on the right is repeated.
     """
-    picked = df.filter(F.pmod(F.xxhash64(column), F.lit(rows_per_range)) == 0)
-    return [r[0] for r in picked.select(column).distinct().orderBy(column).toLocalIterator()]
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
+    salts = counts.select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
+    # One row for each `hot_rows` rows of `left` at most.
+    salts = broadcast_if_small(set_down(salts, "hot_keys"))
+    n = F.coalesce("_salts", F.lit(1))
+    dealt = left.join(salts, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), n).cast("int"))
+    repeated = right.join(salts, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1)))
+    return dealt.drop("_salts").join(repeated.drop("_salts"), [*keys, "_salt"], "left").drop("_salt")

@@ -265,10 +265,11 @@ CTE["attach_ok"] = _outcomes(
     "(SELECT * REPLACE (CASE WHEN seq % 3 = 0 THEN 503 ELSE 200 END AS code) FROM attempts)"
 )
 CTE["poll_ok"] = _polls(POLL_STATUS.format(signup="pending"))
+CTE["configured"] = "SELECT kb_id FROM config UNION SELECT 'c' || c_custkey FROM customer"
 PAGE_COUNT = f"""
-    SELECT kb_id, count(*) FILTER (WHERE {{hit}}) AS total,
-        CAST(greatest(ceil(count(*) FILTER (WHERE {{hit}}) / {C.PAGE_SIZE}), 1) AS BIGINT) AS total_pages
-    FROM listing GROUP BY ALL"""
+    SELECT kb_id, total, CAST(greatest(ceil(total / {C.PAGE_SIZE}), 1) AS BIGINT) AS total_pages
+    FROM (SELECT kb_id, count(*) FILTER (WHERE found) AS total
+        FROM (SELECT kb_id, {{hit}} AS found FROM listing UNION ALL SELECT kb_id, false FROM configured) GROUP BY ALL)"""
 FOUND = f"contains(lower(path), lower('{SEARCH}'))"
 CTE["page_count"] = PAGE_COUNT.format(hit="true")
 CTE["found_count"] = PAGE_COUNT.format(hit=FOUND)
@@ -449,6 +450,8 @@ BODY: dict[str, str] = {
         FROM pages""",
     "filename_index": """SELECT kb_id, filename, count(*) AS n_paths, min(path) AS first_path
         FROM main_files GROUP BY ALL""",
+    "filename_paths": """SELECT kb_id, filename, path,
+        row_number() OVER (PARTITION BY kb_id, filename ORDER BY path) AS rank FROM main_files""",
     "first_local_path": "SELECT kb_id, filename, path AS first_path FROM main_first",
     "reconcile_match": """SELECT r.kb_id, r.pos, r.remote_file_id, r.filename, f.path AS first_path
         FROM main_remote r JOIN main_first f ON f.kb_id = r.kb_id AND f.filename = r.filename""",
@@ -461,7 +464,8 @@ BODY: dict[str, str] = {
         FROM remote r LEFT JOIN first_path f ON f.kb_id = r.kb_id AND f.filename = r.filename
         WHERE NOT EXISTS (SELECT 1 FROM state s WHERE s.kb_id = r.kb_id AND s.remote_file_id = r.remote_file_id)
         GROUP BY ALL""",
-    "kb_file_counts": "SELECT kb_id, count(*) AS n_files FROM remote GROUP BY ALL",
+    "kb_file_counts": """SELECT kb_id, count(pos) AS n_files
+        FROM (SELECT kb_id, pos FROM remote UNION ALL SELECT kb_id, NULL FROM configured) GROUP BY ALL""",
     "classify_files": """SELECT kb_id, file_key, path, action,
         CASE WHEN action = 'UPDATE' THEN nullif(old_id, '') END AS delete_remote_id FROM classified""",
     "ingest_plan": """SELECT kb_id, file_key, path, filename, content_hash, convert, upload_filename, action,
@@ -557,8 +561,8 @@ BODY: dict[str, str] = {
     "pager_window": f"""
         SELECT kb_id, page, total_pages, unnest(range(start, least(start + {C.PAGER_WIDTH - 1}, total_pages) + 1))
             AS offered
-        FROM (SELECT DISTINCT n.kb_id, n.page, c.total_pages, CASE WHEN n.page > 3 THEN n.page - 2 ELSE 1 END AS start
-            FROM numbered n JOIN page_count c ON c.kb_id = n.kb_id)""",
+        FROM (SELECT *, CASE WHEN page > 3 THEN page - 2 ELSE 1 END AS start
+            FROM (SELECT kb_id, total_pages, unnest(range(1, total_pages + 1)) AS page FROM page_count))""",
     "get_context": f"""
         SELECT d.kb_id, d.path, {header("s.context_text", "g.context_header_label")} AS formatted
         FROM disk d LEFT JOIN state s ON s.kb_id = d.kb_id AND s.file_key = d.file_key

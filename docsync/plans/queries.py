@@ -381,6 +381,11 @@ def filename_index(t: Tables) -> DataFrame:
     return reconcile.filename_index(t.heal_inventory)
 
 
+@query
+def filename_paths(t: Tables) -> DataFrame:
+    return reconcile.filename_paths(t.heal_inventory)
+
+
 @query
 def first_local_path(t: Tables) -> DataFrame:
     return reconcile.first_local_path(t.heal_inventory)
@@ -416,9 +421,16 @@ def untracked_remote(t: Tables) -> DataFrame:
     return reconcile.untracked_remote(t.remote, t.disk, t.state)
 
 
+def configured(t: Tables) -> DataFrame:
+    """Knowledge bases that have a configuration: those with files, and customers, who have none."""
+    customers = t.read("customer").select(F.expr("concat('c', c_custkey)").alias("kb_id"))
+    return t.config.select("kb_id").unionByName(customers)
+
+
 @query
 def kb_file_counts(t: Tables) -> DataFrame:
-    return reports.kb_file_counts(t.remote)
+    """Files per knowledge base, of every configured one; customers are those without a file."""
+    return reports.kb_file_counts(t.remote, configured(t))
 
 
 # Ingestion and cleanup
@@ -556,7 +568,7 @@ def context_listing(t: Tables) -> DataFrame:
 
 @query
 def context_page_count(t: Tables) -> DataFrame:
-    return contexts.context_page_count(listing(t), SEARCH)
+    return contexts.context_page_count(listing(t), SEARCH, configured=configured(t))
 
 
 @query
@@ -571,9 +583,8 @@ def numbered_pages(t: Tables) -> DataFrame:
 
 @query
 def pager_window(t: Tables) -> DataFrame:
-    numbered = contexts.numbered_pages(listing(t)).select("kb_id", "page").distinct()
-    counts = contexts.context_page_count(listing(t))
-    return contexts.pager_strip(numbered.join(counts, "kb_id"))
+    counts = contexts.context_page_count(listing(t), configured=configured(t))
+    return contexts.pager_strip(contexts.page_numbers(counts))
 
 
 @query

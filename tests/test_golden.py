@@ -106,10 +106,10 @@ def simulate(local, state, remote):
     return sorted(heals, key=repr), ids
 
 
-@pytest.mark.parametrize("width", [65_536, 16])
+@pytest.mark.parametrize("runs", [None, 16])
 @pytest.mark.parametrize("sf_dir, n_heals, n_paths", [(SMALL, 60, 37), (MEDIUM, 327, 37)])
-def test_heals_equal_one_by_one_application(spark, monkeypatch, sf_dir, n_heals, n_paths, width):
-    monkeypatch.setattr(skew.run_number, "__defaults__", (width,))
+def test_heals_equal_one_by_one_application(spark, monkeypatch, sf_dir, n_heals, n_paths, runs):
+    monkeypatch.setattr(skew.cut_into_runs, "__defaults__", (runs,))
     local, state, remote = reconciliation(spark, sf_dir)
     healed, log = reconcile.reconcile(local, state, remote)
     heals = rows(log.filter("healed").select("file_key", "pos"))

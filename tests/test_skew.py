@@ -2,24 +2,26 @@
 
 import random
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from docsync.operators import contexts, delivery, reconcile, skew
+from docsync.operators import contexts, delivery, reconcile, reports, skew
 from docsync.operators.payload import chunk_payloads
 
 
-def hot_sequence(n=3000, seed=5):
+def hot_sequence(n=3000, seed=5, spacing=10):
     """(key, seq, value) where one key owns most rows and seq has gaps."""
     rng = random.Random(seed)
-    seqs = sorted(rng.sample(range(10 * n), n))
+    seqs = sorted(rng.sample(range(spacing * n), n))
     return [(rng.choice("aaab") if rng.random() < 0.9 else f"k{rng.randrange(99)}", s, rng.randrange(5)) for s in seqs]
 
 
-def test_run_lag_equals_plain_lag(spark):
-    data = hot_sequence()
+@pytest.mark.parametrize("spacing, runs", [(1, 40), (10, 1), (10, 40), (10**6, 7), (10**13, 40), (10, 3000)])
+def test_run_lag_equals_plain_lag(spark, spacing, runs):
+    data = hot_sequence(spacing=spacing)
     df = spark.createDataFrame(data, "key string, seq bigint, value int")
-    got = rows(skew.run_lag(df, ["key"], "seq", "value", 2, width=50))
+    got = rows(skew.run_lag(df, ["key"], "seq", "value", 2, runs=runs))
     seen, want = {}, []
     for key, seq, value in data:
         past = seen.setdefault(key, [])
@@ -28,21 +30,63 @@ def test_run_lag_equals_plain_lag(spark):
     assert got == sorted(want, key=repr)
 
 
-def test_range_number_counts_splits(spark):
-    for n in (0, 1, 2, 7, 50):
-        splits = sorted(f"p{i:03d}" for i in range(0, 2 * n, 2))
-        values = ["a", *[f"p{i:03d}" for i in range(2 * n + 1)], "z"]
-        df = spark.createDataFrame([(v,) for v in values], "v string")
-        got = {r["v"]: r["n"] for r in df.withColumn("n", skew.range_number(F.col("v"), splits)).collect()}
-        assert got == {v: sum(s <= v for s in splits) for v in values}
+@pytest.mark.parametrize("spacing", [1, 1000, 10**12])
+def test_runs_are_bounded_at_any_spacing(spark, spacing):
+    """However far apart positions lie, no group of rows of the hot key exceeds a few runs' size."""
+    n, runs = 40_000, 32
+    df = spark.range(n).select(
+        F.when(F.col("id") % 50 != 0, "hot").otherwise(F.expr("concat('k', id % 7)")).alias("key"),
+        (F.col("id") * spacing).alias("seq"),
+    )
+    cut = skew.cut_into_runs(df, ["key"], "seq", runs)
+    per_run = [r["count"] for r in cut.groupBy("key", "_run").count().collect()]
+    assert sum(per_run) == n and max(per_run) < 3 * n / runs
+    # Rows at run borders, which meet once more by key, are a few for each run.
+    assert len(per_run) <= runs + 7
+    ordered = cut.groupBy("key", "_run").agg(F.min("seq").alias("a"), F.max("seq").alias("b")).collect()
+    for key in ("hot", "k0"):
+        spans = sorted((r["_run"], r["a"], r["b"]) for r in ordered if r["key"] == key)
+        assert all(x[2] < y[1] for x, y in zip(spans, spans[1:]))
+
+
+def test_hot_names_are_dealt_over_salts(spark):
+    left = spark.range(5000).select(
+        F.when(F.col("id") < 4000, "README.md").otherwise(F.concat(F.lit("n"), F.col("id") % 100)).alias("name"),
+        F.col("id").cast("string").alias("rid"),
+    )
+    right = spark.createDataFrame([("README.md", 1), ("n3", 2), ("unmet", 3)], "name string, v int")
+    want = rows(left.join(right, "name", "left").select("name", "rid", "v"))
+    for hot in (100, 3999, 4000, 10**6):
+        got = skew.lookup_hot(left, right, ["name"], F.col("rid"), hot)
+        assert rows(got.select("name", "rid", "v")) == want
+    salted = skew.lookup_hot(left, right, ["name"], F.col("rid"), 100)
+    assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_every_path_of_a_name_is_ranked(spark):
+    data = [("k", f"/rag/{i * 37 % 101:03d}/a.md", f"{i}/a.md", "a.md", "file") for i in range(101)]
+    data += [("k", "/rag/b.md", "b.md", "b.md", "file"), ("k", "/rag/.h/a.md", ".h/a.md", "a.md", "file"), ("k", "/rag/a.md", "a.md", "a.md", "dir")]
+    inventory = spark.createDataFrame(data, "kb_id string, path string, rel_path string, filename string, kind string")
+    paths = sorted(r[1] for r in data[:101])
+    want = [("k", "a.md", p, i) for i, p in enumerate(paths, 1)] + [("k", "b.md", "/rag/b.md", 1)]
+    assert rows(reconcile.filename_paths(inventory)) == sorted(want, key=repr)
+
+
+def test_configured_knowledge_bases_without_files(spark):
+    config = spark.createDataFrame([("k",), ("empty",)], "kb_id string")
+    listing = spark.createDataFrame([("k", f"/{i}.md") for i in range(11)] + [("other", "/x")], "kb_id string, path string")
+    counts = contexts.context_page_count(listing, "", 10, config)
+    assert rows(counts) == [("empty", 0, 1), ("k", 11, 2), ("other", 1, 1)]
+    assert rows(contexts.page_numbers(counts).select("kb_id", "page")) == [("empty", 1), ("k", 1), ("k", 2), ("other", 1)]
+    assert rows(reports.kb_file_counts(listing, config)) == [("empty", 0), ("k", 11), ("other", 1)]
 
 
 def test_ranks_are_exact_for_any_splits(spark):
     paths = [("k1" if i % 10 else "k2", f"/rag/{i * 7919 % 1000:04d}.md") for i in range(1000)]
     df = spark.createDataFrame(paths, "kb_id string, path string")
     listing = df.withColumn("context_text", F.lit("")).withColumn("file_key", F.col("path"))
-    for per_range in (10, 100, 100_000):
-        numbered = contexts.numbered_pages(listing, rows_per_range=per_range)
+    for runs in (1, 10, 100):
+        numbered = contexts.numbered_pages(listing, runs=runs)
         want = []
         for kb in ("k1", "k2"):
             own = sorted(p for k, p in paths if k == kb)
@@ -86,8 +130,8 @@ def fold_polls(statuses):
 
 
 def test_poll_fold(spark, monkeypatch):
-    monkeypatch.setattr(skew, "RUN_WIDTH", 7)
-    monkeypatch.setattr(skew.run_lag, "__defaults__", (7,))
+    monkeypatch.setattr(skew.cut_into_runs, "__defaults__", (50,))
+    monkeypatch.setattr(delivery, "run_lag", lambda *a: skew.run_lag(*a, runs=50))
     rng = random.Random(1)
     by_file = {}
     for seq in range(4000):
@@ -164,7 +208,7 @@ def test_full_join_of_a_stored_side(spark, monkeypatch, tmp_path):
 
 
 def test_hot_name_is_joined_by_runs(spark, monkeypatch):
-    monkeypatch.setattr(skew.run_number, "__defaults__", (16,))
+    monkeypatch.setattr(skew.cut_into_runs, "__defaults__", (16,))
     inventory = spark.createDataFrame(
         [("k", f"/rag/{d}/README.md", f"{d}/README.md", "README.md", "file", "h") for d in "ba"],
         "kb_id string, path string, rel_path string, filename string, kind string, content_hash string",
