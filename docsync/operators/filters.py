@@ -6,18 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsync.functions import predicates as P
-from docsync.operators.skew import fits_broadcast, salted, with_salt
+from docsync.operators import pattern_index
+from docsync.operators.skew import fits_broadcast, literal_bytes
+
+# Patterns of one knowledge base that are tried one after another.
+FEW_PATTERNS = 64
+FEW_BYTES = 64 * 1024
+
+
+def few_patterns(patterns: DataFrame) -> bool:
+    """No knowledge base has many patterns, and together they fit a broadcast."""
+    size = literal_bytes(patterns)
+    if size is not None and size <= FEW_BYTES:
+        return True
+    most = patterns.groupBy("kb_id").count().agg(F.max("count")).first()[0]
+    return (most or 0) <= FEW_PATTERNS and fits_broadcast(patterns)
 
 
 def flag_ragignored(files: DataFrame, patterns: DataFrame, dialect: str = "substring") -> DataFrame:
     """Add `is_ragignored`: an ignore pattern of the file's knowledge base matches
     its path below the root. A file outside the root is never ignored.
 
-    `files` has (kb_id, path) or (kb_id, absolute_path); rows may repeat. Patterns whose size
-    was measured travel as one array per knowledge base. A bigger table is matched row by
-    row, salted, in a semi join that leaves only the paths hit.
+    `files` has (kb_id, path) or (kb_id, absolute_path); rows may repeat. Where each knowledge base
+    was measured to have few patterns, they travel as one array each. Beyond that a path only
+    meets patterns that share a rare key with it (see `pattern_index`).
     """
-    if fits_broadcast(patterns):
+    if few_patterns(patterns):
         per_kb = patterns.groupBy("kb_id").agg(F.collect_set("pattern").alias("_patterns"))
         hit = F.exists("_patterns", lambda p: P.pattern_matches(F.col("rel_path"), p, dialect))
         return (
@@ -26,14 +40,8 @@ def flag_ragignored(files: DataFrame, patterns: DataFrame, dialect: str = "subst
             .drop("_patterns")
         )
     path = "path" if "path" in files.columns else "absolute_path"
-    keyed = with_salt(files.select("kb_id", path, "rel_path"), F.col(path)).alias("f")
-    rules = salted(patterns).alias("p")
-    same = (F.col("f.kb_id") == F.col("p.kb_id")) & (F.col("f._salt") == F.col("p._salt"))
-    matches = P.pattern_matches(F.col("f.rel_path"), F.col("p.pattern"), dialect)
-    hits = keyed.join(rules, same & matches, "left_semi").select(
-        "kb_id", path, F.lit(True).alias("is_ragignored")
-    ).distinct()
-    return files.join(hits, ["kb_id", path], "left").withColumn(
+    found = pattern_index.hits(files, patterns, path, dialect).withColumn("is_ragignored", F.lit(True))
+    return files.join(found, ["kb_id", path], "left").withColumn(
         "is_ragignored", F.coalesce("is_ragignored", F.lit(False))
     )
 

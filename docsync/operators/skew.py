@@ -15,12 +15,18 @@ SALTS = 64
 HOT_ROWS = 1_000_000
 
 
+def literal_bytes(df: DataFrame) -> int | None:
+    """Bytes of literal rows, from their plan; None for anything else."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return int(str(plan.stats().sizeInBytes())) if plan.nodeName() == "LocalRelation" else None
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """Measure a side before it is broadcast. Literal rows are sized from their plan;
     anything else costs one aggregation over that side."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    if plan.nodeName() == "LocalRelation":
-        return int(str(plan.stats().sizeInBytes())) <= BROADCAST_BYTES
+    size = literal_bytes(df)
+    if size is not None:
+        return size <= BROADCAST_BYTES
     width = F.lit(16 * len(df.columns))
     for field in df.schema.fields:
         if field.dataType.typeName() in ("string", "binary"):

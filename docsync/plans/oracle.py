@@ -404,6 +404,12 @@ BODY: dict[str, str] = {
             WHEN 'de' THEN starts_with(rel_path, 'drafts') OR list_contains(string_split(rel_path, '/'), 'drafts')
             WHEN 'web' THEN starts_with(rel_path, 'web/page_2') ELSE false END AS is_ragignored
         FROM disk""",
+    "filter_pattern_index": """
+        SELECT kb_id, path, EXISTS (SELECT 1 FROM (
+                SELECT lang AS kb_id, 'doc_' || doc_id || '.' AS pattern FROM documents WHERE doc_id % 3 = 0
+                UNION ALL SELECT 'web', 'page_' || page_id || '.' FROM pages WHERE page_id % 5 = 0) p
+            WHERE p.kb_id = d.kb_id AND contains(d.rel_path, p.pattern)) AS is_ragignored
+        FROM disk d""",
     "filter_disposition": """SELECT kb_id, path, disposition, ragignored OR os_file OR bad_ext AS is_filtered
         FROM disposed""",
     "filter_summary": """

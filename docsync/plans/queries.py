@@ -15,6 +15,7 @@ from docsync.operators import (
     filters,
     ingest,
     orphans,
+    pattern_index,
     payload,
     reconcile,
     reports,
@@ -239,6 +240,18 @@ def prefix_patterns(t: Tables) -> DataFrame:
     return t.spark.sql(f"SELECT * FROM VALUES {rows} AS t(kb_id, line_no, pattern)")
 
 
+@query
+def filter_pattern_index(t: Tables) -> DataFrame:
+    """Thousands of patterns, one for every third document and every fifth page."""
+    docs = t.read("documents").filter("doc_id % 3 = 0")
+    rules = docs.select(F.col("lang").alias("kb_id"), F.expr("concat('doc_', doc_id, '.')").alias("pattern"))
+    pages = t.read("pages").filter("page_id % 5 = 0")
+    rules = rules.unionByName(pages.select(F.lit("web").alias("kb_id"), F.expr("concat('page_', page_id, '.')").alias("pattern")))
+    found = pattern_index.hits(names(t), rules, "path").withColumn("is_ragignored", F.lit(True))
+    flagged = names(t).join(found, ["kb_id", "path"], "left")
+    return flagged.select("kb_id", "path", F.coalesce("is_ragignored", F.lit(False)).alias("is_ragignored"))
+
+
 @query
 def filter_disposition(t: Tables) -> DataFrame:
     return filters.filter_disposition(names(t), t.patterns).select(
