@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 import uuid
 
 import pyarrow as pa
@@ -16,6 +17,8 @@ from docsync.operators.state_ops import tracked_state
 from docsync.plans.snapshot import SnapshotStore
 from docsync.sources import doctree
 
+# A file changed this close to the time it was hashed at may have changed again without a new stamp.
+STAMP_MARGIN_US = 2_000_000
 LISTED = ["kb_id", "root", "path", "rel_path", "filename", "kind", "file_key"]
 RAW = "raw"
 
@@ -53,15 +56,48 @@ def probe_paths(tracked: DataFrame, root: str) -> DataFrame:
     return rows.mapInArrow(existing, schema)
 
 
+def hash_changed(
+    store: SnapshotStore, files: DataFrame, kb_id: str, hashes: SnapshotStore, margin_us: int = STAMP_MARGIN_US
+) -> DataFrame:
+    """Add `content_hash` to files, and open only those whose size or stamps changed since the hash in
+    `hashes`, a store of HASHES rows, was taken.
+
+    A stored hash counts if size, modification and change time are the same, and both times were
+    `margin_us` old when it was taken: later writes may share a stamp that was still fresh. New hashes are
+    committed, and those of files that are no longer listed dropped.
+    """
+    now = time.time_ns() // 1000
+    stats = store.stage("stats", doctree.stat_files(spread(files)))
+    known = hashes.read().filter(F.col("kb_id") == kb_id)
+    held = known.select("kb_id", "file_key", *[F.col(c).alias(f"_{c}") for c in known.columns[2:]])
+    settled = F.greatest("_mtime_us", "_ctime_us") < F.col("_hashed_at_us") - margin_us
+    same = [F.col(c) == F.col(f"_{c}") for c in ("size", "mtime_us", "ctime_us")]
+    valid = F.coalesce(same[0] & same[1] & same[2] & settled, F.lit(False))
+    judged = store.stage("known", stats.join(held, ["kb_id", "file_key"], "left").withColumn("_valid", valid))
+    kept = judged.filter("_valid").withColumn("content_hash", F.col("_content_hash"))
+    fresh = store.stage("hashed", doctree.hash_files(spread(judged.filter("NOT _valid"))))
+    gone = known.join(stats.select("kb_id", "file_key"), ["kb_id", "file_key"], "left_anti")
+    rows = fresh.filter("content_hash IS NOT NULL AND size IS NOT NULL").withColumn("hashed_at_us", F.lit(now))
+    if not rows.isEmpty() or not gone.isEmpty():
+        hashes.commit_changes(rows, dropped=gone)
+    return kept.unionByName(fresh).select(*files.columns, "content_hash")
+
+
 def stage_tree(
-    store: SnapshotStore, root: str, kb_id: str, patterns: DataFrame, scanned: DataFrame | None = None
+    store: SnapshotStore,
+    root: str,
+    kb_id: str,
+    patterns: DataFrame,
+    scanned: DataFrame | None = None,
+    hashes: SnapshotStore | None = None,
 ) -> DataFrame:
     """The listing of `root` that a run decides on, written once with content hashes.
 
     Listing, probing and hashing are input/output, so each happens exactly once per run
     and its result is stored. Only accepted files are opened and hashed. The tree is listed
     level by level. Names that are not UTF-8 can look alike and then have one key; the first
-    by its raw path is the file of that key.
+    by its raw path is the file of that key. With `hashes`, a store of HASHES rows, only files that
+    changed since they were last hashed are opened (see `hash_changed`).
     """
     root = os.path.realpath(root)
     if scanned is None:
@@ -79,7 +115,11 @@ def stage_tree(
         "judged", filter_disposition(disk, patterns).select(*LISTED, RAW, "disposition")
     )
     accepted = F.col("disposition") == "accepted"
-    hashed = doctree.hash_files(spread(judged.filter(accepted)).select(*LISTED, RAW))
+    files = judged.filter(accepted).select(*LISTED, RAW)
+    if hashes is None:
+        hashed = doctree.hash_files(spread(files))
+    else:
+        hashed = hash_changed(store, files, kb_id, hashes)
     rest = judged.filter(~accepted).select(*LISTED, RAW, F.lit(None).cast("string").alias("content_hash"))
     return store.stage("disk", hashed.unionByName(rest))
 

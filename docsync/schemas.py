@@ -27,3 +27,8 @@ CHANGES = "kb_id string, file_key string, path string, content_hash string, op s
 DELIVERED_COLUMN = "remote_file_id"
 # Remote files to delete: of a replaced delivery, or of a file that is gone.
 DELETES = "kb_id string, file_key string, action string, remote_file_id string"
+# What files had for bytes when they were last hashed, as a table of a snapshot store.
+HASHES = (
+    "kb_id string, file_key string, size bigint, mtime_us bigint, ctime_us bigint, content_hash string, "
+    "hashed_at_us bigint"
+)
