@@ -535,6 +535,15 @@ BODY: dict[str, str] = {
         SELECT CAST(page AS VARCHAR) AS kb_id, CASE WHEN page % 7 = 3 THEN 'not_json' ELSE 'no_id' END AS reason
         FROM (SELECT event_id // 50 AS page, bool_or(event_id % 97 = 5) AS missing FROM events GROUP BY ALL)
         WHERE page % 7 = 3 OR missing""",
+    "valid_kb_files": """
+        SELECT CAST(event_id // 150 AS VARCHAR) AS kb_id,
+            (event_id // 50) % 3 * 50 + row_number() OVER (PARTITION BY event_id // 50 ORDER BY event_id) - 1 AS pos,
+            'f' || event_id AS remote_file_id, CASE WHEN user_id % 3 = 0 THEN '' ELSE 'n' || user_id END AS filename
+        FROM events WHERE event_id // 150 NOT IN (
+            SELECT event_id // 150 FROM events WHERE (event_id // 50) % 7 = 3 OR event_id % 397 = 5)""",
+    "valid_kb_catalog": """
+        SELECT 'kb-' || c_custkey AS id, '' AS name, CASE WHEN c_nationkey % 5 = 0 THEN '' ELSE c_mktsegment END AS description
+        FROM customer WHERE c_custkey // 50 NOT IN (SELECT c_custkey // 50 FROM customer WHERE c_custkey % 211 = 7)""",
     "latest_changes": "SELECT * FROM latest",
     "apply_changes": "SELECT * FROM decided",
     "stream_deletes": """SELECT kb_id, file_key, action, remote_file_id FROM decided

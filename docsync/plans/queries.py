@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsync.functions import predicates as P
@@ -648,12 +648,42 @@ def rejected_bodies(t: Tables) -> DataFrame:
     entry = F.expr(
         """concat('{"id":', IF(event_id % 97 = 5, 'null', concat('"f', event_id, '"')), ',"filename":"n', user_id, '"}')"""
     )
+    bodies = listing_pages(t, entry).withColumn("kb_id", F.col("page").cast("string"))
+    return remote_json.rejected_bodies(bodies).select("kb_id", "reason")
+
+
+def listing_pages(t: Tables, entry: Column) -> DataFrame:
+    """Listing bodies of 50 events each, (page, body), every seventh cut off."""
     rows = t.read("events").select(F.expr("event_id div 50").alias("page"), F.struct("event_id", entry.alias("e")).alias("e"))
     files = F.concat_ws(",", F.transform(F.sort_array(F.collect_list("e")), lambda e: e["e"]))
     end = F.expr("IF(page % 7 = 3, '', ']}')")
     bodies = rows.groupBy("page").agg(F.concat(F.lit('{"files":['), files).alias("body"))
-    bodies = bodies.select(F.col("page").alias("kb_id"), F.concat("body", end).alias("body"))
-    return remote_json.rejected_bodies(bodies).select(F.col("kb_id").cast("string").alias("kb_id"), "reason")
+    return bodies.select("page", F.concat("body", end).alias("body"))
+
+
+@query
+def valid_kb_files(t: Tables) -> DataFrame:
+    """Listings of three bodies each, of which a cut off body or a number for an id refuses all three."""
+    entry = F.expr(
+        """concat('{"id":', IF(event_id % 397 = 5, '7', concat('"f', event_id, '"')), IF(user_id % 3 = 0, '', concat(',"filename":"n', user_id, '"')), '}')"""
+    )
+    bodies = listing_pages(t, entry).select(
+        F.expr("CAST(page div 3 AS string)").alias("kb_id"), F.expr("page % 3 * 50").alias("first_pos"), "body"
+    )
+    return remote_json.valid_kb_files(bodies)
+
+
+@query
+def valid_kb_catalog(t: Tables) -> DataFrame:
+    """Customers as catalogue bodies in both shapes; one entry without an id refuses its body."""
+    entry = F.expr(
+        """concat(IF(c_custkey % 211 = 7, '{"name":"x"', concat('{"id":"kb-', c_custkey, '"')), IF(c_nationkey % 5 = 0, '', concat(',"description":"', c_mktsegment, '"')), '}')"""
+    )
+    pages = t.read("customer").groupBy(F.expr("c_custkey div 50").alias("page")).agg(
+        F.concat(F.lit("["), F.concat_ws(",", F.collect_list(entry)), F.lit("]")).alias("list")
+    )
+    wrapped = F.concat(F.lit('{"total":50,"items":'), F.col("list"), F.lit("}"))
+    return remote_json.valid_kb_catalog(pages.select(F.when(F.col("page") % 2 == 0, wrapped).otherwise(F.col("list")).alias("body")))
 
 
 # Change streams, as one batch

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsync.operators.skew import broadcast_if_small, set_down
+
 FILES = "files array<struct<id string, filename string>>"
 KB = "struct<id string, name string, description string>"
 
@@ -70,12 +72,57 @@ def parse_status(bodies: DataFrame) -> DataFrame:
     return out
 
 
+def _kind(entry: Column, field: str) -> Column:
+    """Type of a field of a JSON object, VOID for a JSON null, null where there is none."""
+    return F.schema_of_variant(F.try_variant_get(entry, f"$.{field}", "variant"))
+
+
+def _refusal(entries: Column, texts: list[str]) -> Column:
+    """Why a list of entries is refused whole: each needs a text `id`, and `texts` are texts if present."""
+    has_id = lambda e: F.coalesce(_kind(e, "id"), F.lit("VOID")) != "VOID"
+
+    def well_formed(e):
+        kinds = [F.coalesce(_kind(e, f), F.lit("STRING")) == "STRING" for f in ["id", *texts]]
+        ok = kinds[0]
+        for kind in kinds[1:]:
+            ok = ok & kind
+        return ok
+
+    return F.when(~F.forall(entries, has_id), "no_id").when(~F.forall(entries, well_formed), "bad_entry")
+
+
 def rejected_bodies(bodies: DataFrame, entries: str = "files") -> DataFrame:
-    """Those of the (kb_id, body) rows that the service's client refuses whole, with `reason`:
-    not_json, or no_id where an entry of the list `entries` has none. What is left of such
-    a listing must not heal state."""
+    """Those of the (kb_id, body) rows that the service's client refuses whole, with `reason`: not_json for
+    what is no JSON object, bad_list where `entries` is no list (one may be missing from a listing,
+    not from a catalogue), no_id where an entry has none, bad_entry where one has a value of another kind.
+    A catalogue (`entries` "items") may also be a bare list. What is left of a refused
+    listing must not heal state; see `valid_kb_files`."""
+    catalogue = entries == "items"
+    texts = ["name", "description"] if catalogue else ["filename"]
     parsed, is_object = _read("body")
-    rows = F.from_json("body", f"{entries} array<struct<id string>>")[entries]
-    no_id = F.exists(rows, lambda f: f["id"].isNull())
-    reason = F.when(~is_object, "not_json").when(F.coalesce(no_id, F.lit(False)), "no_id")
+    kind = F.coalesce(F.schema_of_variant(parsed), F.lit("VOID"))
+    whole = F.startswith(kind, F.lit("ARRAY")) if catalogue else F.lit(False)
+    field = F.when(whole, parsed).otherwise(F.try_variant_get(parsed, f"$.{entries}", "variant"))
+    listed = F.coalesce(F.startswith(F.schema_of_variant(field), F.lit("ARRAY")), F.lit(False))
+    absent = field.isNull() & F.lit(not catalogue)
+    rows = F.try_variant_get(field, "$", "array<variant>")
+    reason = (
+        F.when(~is_object & ~whole, "not_json")
+        .when(~listed & ~absent, "bad_list")
+        .when(listed, _refusal(rows, texts))
+    )
     return bodies.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+
+
+def valid_kb_files(bodies: DataFrame) -> DataFrame:
+    """`parse_kb_files` of the listings that are whole: one of whose bodies any is refused gives no
+    row at all, so that nothing is healed from it. A listing may be split over any number of bodies."""
+    refused = rejected_bodies(bodies).select("kb_id").distinct()
+    refused = broadcast_if_small(set_down(refused, "refused"))
+    return parse_kb_files(bodies.join(refused, "kb_id", "left_anti"))
+
+
+def valid_kb_catalog(bodies: DataFrame) -> DataFrame:
+    """`parse_kb_catalog` of the bodies that are not refused whole."""
+    reason = rejected_bodies(bodies.select("body").distinct(), "items").select("body")
+    return parse_kb_catalog(bodies.join(reason, "body", "left_anti"))
