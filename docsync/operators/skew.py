@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000
@@ -40,15 +40,23 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df) else df
 
 
-def set_down(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate table to the folder in spark.checkpoint.dir, which all executors
-    share, and read it back. Where none is set, as in tests, a temporary one is used."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a single machine, as in
+    tests, gets one of its own; on a cluster each machine would have another, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="docsync-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/docsync/{uuid.uuid4().hex}/{name}"
+    return folder.rstrip("/")
+
+
+def set_down(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/docsync/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -241,3 +241,22 @@ def test_chunks_cover_every_word(spark):
         for i, w in enumerate(windows(t.split(), 10, 2))
     ]
     assert got == sorted(want, key=repr)
+
+
+def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        skew.shared_folder(Session())
+    Context.master = "local-cluster[2,1,1024]"
+    with pytest.raises(RuntimeError):
+        skew.shared_folder(Session())
+    assert skew.shared_folder(spark)
