@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,25 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docsync.operators.skew import shared_folder
+
 # Words are runs of characters other than these six; bytes.split() splits at the same ones.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="docsync-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/docsync-llm/{uuid.uuid4().hex}/{name}"
+    return f"{shared_folder(spark)}/docsync-llm/{uuid.uuid4().hex}/{name}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
