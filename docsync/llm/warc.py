@@ -26,6 +26,8 @@ from docsync.llm.common import record_batch, scratch_path, stored, text_bytes
 MIN_REVISIT_BYTES = 100
 ARCHIVE_BYTES = 32 * 1024 * 1024
 LEVEL = 6
+# Beyond this many archives, a task rewrites several.
+MAX_PARTITIONS = 10_000
 CHUNK = 1 << 20
 END = b"\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
@@ -271,16 +273,26 @@ def write_monolithic(records: DataFrame, folder: str, archive_bytes: int = ARCHI
     return stored(records.mapInArrow(write_task(folder, archive_bytes, level), "archive string"), "archives")
 
 
+def stated(pieces: int) -> int:
+    """A partition for each piece of work, within what a shuffle can have."""
+    return min(max(pieces, 1), MAX_PARTITIONS)
+
+
 def normalise(archives: DataFrame, folder: str, level: int = LEVEL) -> DataFrame:
-    """Rewrite archives (archive) member by member; the stored index has a row per record."""
-    dealt = archives.repartition("archive")
+    """Rewrite archives (archive) member by member; the stored index has a row per record.
+
+    The number of partitions is stated: rows that only name an archive are so small that
+    adaptive execution would merge very many archives into one task.
+    """
+    dealt = archives.repartition(stated(archives.count()), "archive")
     return stored(dealt.mapInArrow(normalise_task(folder, level), ENTRY), "warc_index")
 
 
 def read_records(index: DataFrame, per_task: int = 2000) -> DataFrame:
     """Fetch every record of an index by its offset: page_id, sizes, digest, kind and payload."""
     run = F.floor(F.col("position") / per_task)
-    dealt = index.repartition("archive", run).sortWithinPartitions("archive", "offset")
+    runs = index.select("archive", run.alias("run")).distinct().count()
+    dealt = index.repartition(stated(runs), "archive", run).sortWithinPartitions("archive", "offset")
     return dealt.select("archive", "offset", "length").mapInArrow(read_task, RECORD)
 
 
