@@ -3,7 +3,9 @@
 Values are found by pattern, validated, and permuted by a keyed Feistel network within their own
 format: a card stays a card with a right check digit, a date a date, an address an
 address. The permutation depends on the key and the kind alone, so equal values stay equal in all
-documents, and two values never become one. Rows are never shuffled.
+documents, and two values never become one. Of cards, phones and IBANs the bare characters are
+permuted and separators laid over them, so spellings of one value stay linked as well. Values have no
+greatest length. Rows are never shuffled.
 """
 
 from __future__ import annotations
@@ -15,36 +17,41 @@ ROUNDS = 8
 
 # Patterns by kind, tried in this order. Each begins and ends at a border of its own.
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+SECRET_MARKS = "password|passwd|secret|api_key|token"
+# A secret has any printable ASCII but quotes, brackets, commas and semicolons, and does not end in a stop.
+SECRET_CHAR = r"[!#$%&*+./0-9:=?@A-Z\\^_`a-z|~-]"
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:password|passwd|secret|api_key|token) ?[=:] ?[A-Za-z0-9]{6,128}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])",
+    "secret": rf"(?<![A-Za-z0-9])(?i:{SECRET_MARKS}) ?[=:] ?{SECRET_CHAR}{{5,}}(?<![.!?:]){SECRET_CHAR}(?<![.!?:])",
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "hex_key": r"(?<![A-Za-z0-9])(?=[0-9a-f]{0,39}[0-9])(?=[0-9a-f]{0,39}[a-f])[0-9a-f]{40}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z/-]|\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "ip": rf"(?<![0-9A-Za-z.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])",
-    "card": r"(?<![0-9A-Za-z+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z-])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z+-])(?:[0-9]{4}(?:\.[0-9]{4}){3}|[0-9](?:[ -]?[0-9]){12,18})(?![0-9A-Za-z-])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4}|0[1-9][0-9]{1,3}[ /][0-9]{6,9})(?![0-9A-Za-z])",
 }
 ANY = "|".join(PATTERNS.values())
 # A match may be several numbers with one space between. How it is read instead: first in the
 # usual shapes of cards and as other kinds, then as a card of any grouping, longest first.
 CARD_END = r"(?![0-9A-Za-z-])"
 CARD_SHAPES = [
-    r"[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}\1[0-9]{3}", r"[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}",
+    r"[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}\1[0-9]{3}", r"[0-9]{4}([ .-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}",
     r"[0-9]{4}([ -])[0-9]{6}\1[0-9]{4,5}", r"[0-9]{13,19}",
 ]
 OTHERS = "|".join(p for k, p in PATTERNS.items() if k != "card")
 # The same without groups that refer back, to be joined.
-CARD_PLAIN = ["[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{3})?", "[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}", "[0-9]{13,19}"]
+CARD_PLAIN = ["[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{3})?", r"[0-9]{4}(?:\.[0-9]{4}){3}", "[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}", "[0-9]{13,19}"]
 SHAPED = [*(f"{p}{CARD_END}" for p in CARD_SHAPES), OTHERS]
 LOOSE = [rf"[0-9](?:[ -]?[0-9]){{{n - 1}}}{CARD_END}" for n in range(19, 12, -1)]
 # Nothing above matches a text without a digit, an at sign or a word that announces a secret.
-WORTH_A_LOOK = "[0-9@]|password|passwd|secret|api_key|token"
+WORTH_A_LOOK = f"[0-9@]|(?i:{SECRET_MARKS})"
 
 # Dates from 1900-01-01 to 2099-12-31 are 73,049 days, which is 17 times 4,297.
 FIRST_DAY, DAY_BLOCKS, DAYS_IN_BLOCK = "1900-01-01", 17, 4297
+# 3 in 5 days lie beyond the 12th; that none of so many does has a chance of 1 in 10**31.
+DATE_STEPS = 80
 # Valid social security numbers: 898 areas and 99 groups, times 9,999 serials.
 SSN_AREAS, SSN_GROUPS, SSN_SERIALS = 898, 99, 9999
 
@@ -102,6 +109,19 @@ def feistel_text(value: Column, key: str, kind: str, hexadecimal: bool = False)
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), value, turn_over)
 
 
+def laid_over(value: Column, chars: Column) -> Column:
+    """`value` with its digits and letters replaced by those of `chars`, one after another; what separates
+    them stays, so that a value has one pseudonym in all its spellings."""
+    places = F.sequence(F.lit(1), F.length(value))
+
+    def at(i: Column) -> Column:
+        nth = F.length(F.regexp_replace(F.substring(value, F.lit(1), i), "[^0-9A-Za-z]", ""))
+        own = F.substring(value, i, F.lit(1))
+        return F.when(own.rlike("[0-9A-Za-z]"), F.substring(chars, nth, F.lit(1))).otherwise(own)
+
+    return F.when(F.length(value) > 0, F.array_join(F.transform(places, at), "")).otherwise("")
+
+
 def digits_of(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -144,11 +164,11 @@ def date_of(value: Column) -> Column:
 def kind_of(value: Column) -> Column:
     """Kind of a match, or null where it is of no valid kind."""
     is_a = {k: value.rlike(f"^(?:{p})$") for k, p in PATTERNS.items()}
-    digits = digits_of(value)
+    digits, bare = digits_of(value), F.replace(value, F.lit(" "), F.lit(""))
     ssn_area, ssn_group, ssn_serial = (F.substring(value, *at).cast("int") for at in ((1, 3), (5, 2), (8, 4)))
     ssn = (ssn_area > 0) & (ssn_area < 900) & (ssn_area != 666) & (ssn_group > 0) & (ssn_serial > 0)
     valid = {
-        "iban": mod97(value) == 1,
+        "iban": (mod97(bare) == 1) & F.substring(bare, 3, 2).between("02", "98") & (F.length(bare) <= 34),
         "date": date_of(value).isNotNull(),
         "ssn": ssn,
         "card": (luhn_sum(digits, 2) % 10 == 0) & (digits.cast("decimal(20,0)") > 0),
@@ -204,21 +224,32 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     whole = F.length(value)
     top = F.substring_index(value, ".", -1)
     email = F.concat(feistel_text(F.substring(value, F.lit(1), whole - F.length(top)), key, "email"), top)
-    mark = F.regexp_extract(value, "^[a-z_]+ ?[=:] ?", 0)
+    mark = F.regexp_extract(value, "^[A-Za-z_]+ ?[=:] ?", 0)
     secret = F.concat(mark, feistel_text(F.substring(value, F.length(mark) + 1, whole), key, "secret"))
     access = F.concat(F.lit("AKIA"), feistel_text(F.substring(value, 5, 16), key, "access_key"))
     land = F.substring(value, 1, 2)
-    account = feistel_text(F.substring(value, F.lit(5), whole), key, "iban")
+    account = feistel_text(F.substring(F.replace(value, F.lit(" "), F.lit("")), F.lit(5), whole), key, "iban")
     iban = F.transform(
         F.array(account),
-        lambda x: F.concat(land, F.lpad((98 - mod97(F.concat(land, F.lit("00"), x))).cast("string"), 2, "0"), x),
+        lambda x: laid_over(value, F.concat(land, F.lpad((98 - mod97(F.concat(land, F.lit("00"), x))).cast("string"), 2, "0"), x)),
     )[0]
     days = F.date_diff(date_of(value), F.lit(FIRST_DAY).cast("date"))
-    moved = feistel_numbers((days / DAYS_IN_BLOCK).cast("int"), days % DAYS_IN_BLOCK, DAY_BLOCKS, DAYS_IN_BLOCK, key, "date")
-    new_day = F.date_add(F.lit(FIRST_DAY).cast("date"), (moved["l"] * DAYS_IN_BLOCK + moved["r"]).cast("int"))
-    # A day and month that could be told apart only by their size keep the order of the original.
     year_first, dotted = value.rlike("^[0-9]{4}"), value.contains(".")
+    # With the month first, only a day beyond 12 tells so. Such dates are permuted among themselves: the
+    # permutation of all days is walked on until it meets another of them.
     month_first = ~year_first & ~dotted & (F.substring(value, 4, 2).cast("int") > 12)
+    epoch = F.lit(FIRST_DAY).cast("date")
+
+    def walk(day: Column, _: Column) -> Column:
+        done = (day >= 0) & (~month_first | (F.dayofmonth(F.date_add(epoch, day)) > 12))
+        at = F.when(day < 0, -1 - day).otherwise(day)
+        moved = feistel_numbers((at / DAYS_IN_BLOCK).cast("int"), at % DAYS_IN_BLOCK, DAY_BLOCKS, DAYS_IN_BLOCK, key, "date")
+        step = F.transform(F.array(moved), lambda m: (m["l"] * DAYS_IN_BLOCK + m["r"]).cast("int"))[0]
+        return F.when(done, day).otherwise(step)
+
+    # A day not moved yet is kept as -1 - day.
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(DATE_STEPS)), (-1 - days).cast("int"), walk)
+    new_day = F.date_add(epoch, walked)
     date = F.transform(
         F.array(new_day),
         lambda d: F.when(value.rlike("^[0-9]{4}-"), F.date_format(d, "yyyy-MM-dd"))
@@ -247,13 +278,15 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
             ".", *[x.cast("string") for p in ("l", "r") for x in ((s[p] / 256).cast("int"), s[p] % 256)]
         ),
     )[0]
-    payload = feistel_text(F.substring(value, F.lit(1), whole - 1), key, "card")
+    digits = digits_of(value)
+    payload = feistel_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
     card = F.transform(
         F.array(payload),
-        lambda x: F.concat(x, F.pmod(10 - luhn_sum(digits_of(x), 1) % 10, F.lit(10)).cast("string")),
+        lambda x: laid_over(value, F.concat(x, F.pmod(10 - luhn_sum(x, 1) % 10, F.lit(10)).cast("string"))),
     )[0]
     front = F.regexp_extract(value, r"^(?:\+[0-9]{1,3}(?=[ .(-]))?", 0)
-    phone = F.concat(front, feistel_text(F.substring(value, F.length(front) + 1, whole), key, "phone"))
+    local = F.substring(value, F.length(front) + 1, whole)
+    phone = F.concat(front, F.transform(F.array(feistel_text(digits_of(local), key, "phone")), lambda x: laid_over(local, x))[0])
     by_kind = {
         "email": email, "secret": secret, "access_key": access, "hex_key": feistel_text(value, key, "hex_key", True),
         "iban": iban, "date": date, "ssn": ssn, "ip": ip, "card": card, "phone": phone,

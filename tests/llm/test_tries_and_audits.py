@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docsync.llm import balance, divergence, trie
+from docsync.llm import balance, divergence, pii, trie, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 TURNS = "conv_id long, turn long, role string, text string"
@@ -345,3 +345,97 @@ def test_shares_are_exact_beyond_long(spark):
     df = spark.createDataFrame([(n, total, kept)], "n long, total long, kept long")
     got = df.select(divergence.share(F.col("n"), F.col("total"), F.col("kept"))).first()[0]
     assert got == 1 + (10**9 * (n + 2)) // (total + 2 * kept)
+
+
+# 3 and 9 -----------------------------------------------------------------------------------
+
+
+def masked(spark, texts, key="k"):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r["text"], r["kinds"]) for r in pii.pseudonymise(docs, key).orderBy("doc_id").collect()]
+
+
+LONG = "aB3" * 70
+IN_CLEAR = [
+    f"token={LONG}", f"{'long.local' * 9}@mail.example.com", "password=P@ssw0rd", "Password=hunter2hunter",
+    "password=abcdef#ghi$9", "SECRET: a1b2c3d4", f"x@{'sub.' * 12}example.org", "api_key = 'unquoted99",
+]
+
+
+def test_no_part_of_a_long_or_odd_value_stays(spark):
+    for (text, kinds), given in zip(masked(spark, [f"see {v}, end." for v in IN_CLEAR[:7]]), IN_CLEAR):
+        assert len(kinds) == 1 and len(text) == len(given) + 10, given
+        value = given.split("=")[-1].split(": ")[-1]
+        runs = [value[i : i + 6] for i in range(0, len(value) - 6, 6) if value[i : i + 6].isalnum()]
+        new = text[4:]
+        same = sum(new.count(r) for r in runs if r not in ("exampl",))
+        assert same == 0, (given, text)
+
+
+def test_stops_after_secrets_stay(spark):
+    [(text, kinds), (plain, none)] = masked(spark, ["my password: hunter22.", "the secret: is"])
+    assert kinds == ["secret"] and text.endswith(".") and len(text) == 22 and none == [] and plain == "the secret: is"
+
+
+SPELLINGS = [
+    ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "4111.1111.1111.1111"],
+    ["+49 30 1234567", "+49 30 123 4567", "+49-30-12 345 67"],
+    ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"],
+    ["(555) 123-4567", "555-123-4567", "555.123.4567"],
+]
+
+
+def test_spellings_stay_linked(spark):
+    for spellings in SPELLINGS:
+        out = masked(spark, [f"call {v}; now" for v in spellings])
+        assert all(len(kinds) == 1 for _, kinds in out), out
+        bare = {re.sub("[^0-9A-Z]", "", t[5:-5].upper()) for t, _ in out}
+        assert len(bare) == 1 and bare != {re.sub("[^0-9A-Z]", "", spellings[0])}
+        for (text, _), v in zip(out, spellings):
+            assert re.sub("[0-9A-Z]", "9", text[5:-5]) == re.sub("[0-9A-Z]", "9", v)
+
+
+def test_more_numbers_are_found(spark):
+    given = ["0151 23456789", "555.123.4567", "DE89 3704 0044 0532 0130 00", "4111.1111.1111.1111"]
+    assert [k for _, k in masked(spark, given)] == [["phone"], ["phone"], ["iban"], ["card"]]
+
+
+def test_iban_check_digits_beyond_98_are_refused(spark):
+    # GB02 and GB99 of one account both leave 1 when divided by 97.
+    account = "WEST00000000000029"
+    rest = lambda s: int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+    texts = [f"GB{d:02d}{account}" for d in range(100)]
+    valid = [t for t in texts if rest(t) == 1 and 2 <= int(t[2:4]) <= 98]
+    assert [t for t, (_, k) in zip(texts, masked(spark, texts)) if k == ["iban"]] == valid
+
+
+@pytest.mark.parametrize("form", ["%Y-%m-%d", "%Y/%m/%d", "%d.%m.%Y", "%d/%m/%Y", "%m/%d/%Y"])
+def test_dates_are_permuted_one_to_one(spark, form):
+    """Every day of a format, and with the month first every day that tells so."""
+    import datetime
+
+    first = datetime.date(1900, 1, 1)
+    days = [first + datetime.timedelta(i) for i in range(73_049)]
+    if form == "%m/%d/%Y":
+        days = [d for d in days if d.day > 12]
+    docs = spark.createDataFrame([(d.strftime(form),) for d in days], "text string").repartition(8)
+    out = [r["text"] for r in pii.pseudonymise(docs, "k").collect()]
+    back = {datetime.datetime.strptime(t, form).date() for t in out}
+    assert back == set(days) and len(set(out)) == len(days)
+
+
+def test_archives_are_dealt_out(spark, tmp_path):
+    """Each archive is a task's own work, though rows that name it are tiny."""
+    pages = spark.range(400).select(
+        F.col("id").alias("page_id"), F.lit("http://x").alias("url"), F.expr("repeat(sha2(string(id), 256), 40)").alias("html")
+    )
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    archives = warc.write_monolithic(warc.planned_records(pages), str(tmp_path / "a"), archive_bytes=50_000)
+    n = archives.count()
+    assert n >= 8
+    index = warc.normalise(archives, str(tmp_path / "b"))
+    assert index.select("archive").distinct().count() == n
+    tasks = index.withColumn("file", F.input_file_name()).select("file").distinct().count()
+    assert tasks >= n / 2
+    read = warc.read_records(index, 10)
+    assert read.rdd.getNumPartitions() > n and read.count() == 400
