@@ -12,9 +12,15 @@ from docsync import constants as C
 from docsync.sources.doctree import read_contents
 
 
+# The code points that Unicode calls white space.
+WHITE_SPACE = "".join(
+    map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+
+
 def trim_line(line: Column) -> Column:
     """Trim white space of every script, not only blanks and tabs."""
-    return F.regexp_replace(line, r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")
+    return F.trim(line, F.lit(WHITE_SPACE))
 
 
 def is_pattern(trimmed: Column) -> Column:
