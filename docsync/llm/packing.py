@@ -10,6 +10,7 @@ multiplicities; pieces find their place in it by their rank within their length.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -63,77 +64,112 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     return thin.mapInArrow(cut(tokenizer, capacity, end_id), PIECE)
 
 
-class Availability:
-    """Counts per length, with the sums of one, two and three available lengths."""
+class SumIndex:
+    """Sums of one, two and three available lengths, each with the combinations that give it.
+
+    A sum of two is listed by its smaller length in ascending order, a sum of three by its largest length in
+    descending order and the sum of two that is left. Counts only fall from plan to plan, so
+    a combination that has run out is passed for good: each list keeps the place of its
+    first combination that may still be there. `held` are pieces that the pattern in the making has taken.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int):
-        self.left = np.zeros(capacity + 1, dtype=np.int64)
-        for length, n in counts.items():
-            self.left[length] = n
+        self.left = [counts.get(n, 0) for n in range(capacity + 1)]
+        self.held: Counter[int] = Counter()
+        self.lengths = sorted(n for n, count in counts.items() if count)
+        ordered = np.array(self.lengths, dtype=np.int64)
+        low, high = np.triu_indices(len(ordered))
+        sums, low = ordered[low] + ordered[high], ordered[low]
+        order = np.lexsort((low, sums))[: int((sums <= capacity).sum())]
+        edges = np.searchsorted(sums[order], np.arange(capacity + 2))
+        listed = low[order].tolist()
+        self.pairs = [listed[x:y] for x, y in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        self.first_pair = [0] * (capacity + 1)
+        self.first_triple = [0] * (capacity + 1)
+        self.falling = self.lengths[::-1]
+
+    def free(self, length: int) -> int:
+        return self.left[length] - self.held[length]
+
+    def take(self, length: int) -> None:
+        self.held[length] += 1
+
+    def commit(self) -> int:
+        """Use what is held as often as counts allow; how often that is."""
+        times = min(self.left[length] // n for length, n in self.held.items())
+        for length, n in self.held.items():
+            self.left[length] -= n * times
+        self.held.clear()
+        while self.lengths and not self.left[self.lengths[-1]]:
+            self.lengths.pop()
+        return times
+
+    def pair(self, total: int, used: int = 0) -> tuple[int, int] | None:
+        """Two lengths that sum to `total`, the smallest first one; `used` is one that is taken already."""
+        listed, left = self.pairs[total], self.left
+        at = self.first_pair[total]
+        while at < len(listed) and not self.lasting(listed[at], total - listed[at]):
+            at += 1
+        self.first_pair[total] = at
+        for low in listed[at:]:
+            high = total - low
+            if left[low] and left[high]:
+                need = 1 + (low == high)
+                if self.free(low) - (used == low) >= need and self.free(high) - (used == high) >= need:
+                    return high, low
+        return None
+
+    def lasting(self, low: int, high: int) -> bool:
+        return self.left[low] > (low == high) and self.left[high] > 0
 
     def complement(self, gap: int) -> tuple[int, ...] | None:
         """One, two or three available lengths that sum to `gap`, the largest first."""
-        left = self.left
         if gap > 3 * self.best_fit(gap):
             return None
-        if left[gap]:
+        if self.free(gap) > 0:
             return (gap,)
         pair = self.pair(gap)
         if pair:
             return pair
-        for a in np.flatnonzero(left[: max(gap - 1, 0)])[::-1].tolist():
-            rest = self.pair(gap - a, a)
-            if rest:
-                return (a, *rest)
+        at, falling = self.first_triple[gap], self.falling
+        while at < len(falling) and (falling[at] > gap - 2 or not self.left[falling[at]]):
+            at += 1
+        self.first_triple[gap] = at
+        for a in falling[at:]:
+            if self.free(a) > 0:
+                rest = self.pair(gap - a, a)
+                if rest:
+                    return (a, *rest)
         return None
 
-    def pair(self, gap: int, used: int = 0) -> tuple[int, int] | None:
-        """Two lengths that sum to `gap`; `used` is one that is taken already."""
-        if gap < 2:
-            return None
-        left = self.left
-        if used:
-            left = left.copy()
-            left[used] -= 1
-        low = np.arange(1, gap // 2 + 1)
-        ok = (left[low] > 0) & (left[gap - low] > 0)
-        if gap % 2 == 0:
-            ok[-1] = left[gap // 2] > 1
-        found = np.flatnonzero(ok)
-        return (gap - int(low[found[0]]), int(low[found[0]])) if len(found) else None
-
     def best_fit(self, gap: int) -> int:
         """The longest available length up to `gap`, or 0."""
-        found = np.flatnonzero(self.left[: gap + 1])
-        return int(found[-1]) if len(found) else 0
+        for i in range(bisect_right(self.lengths, gap) - 1, -1, -1):
+            if self.free(self.lengths[i]) > 0:
+                return self.lengths[i]
+        return 0
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths and how often each is used; together they use every piece once."""
-    lengths = Availability(counts, capacity)
+    index = SumIndex(counts, capacity)
     patterns: list[tuple[tuple[int, ...], int]] = []
-    while lengths.left.any():
+    while index.lengths:
         chosen: list[int] = []
         gap = capacity
         while gap:
-            fill = lengths.complement(gap) if chosen else None
+            fill = index.complement(gap) if chosen else None
             if fill is None:
                 # Best fit, and then the rest of the gap is looked up again.
-                longest = lengths.best_fit(gap)
+                longest = index.best_fit(gap)
                 fill = (longest,) if longest else ()
             if not fill:
                 break
             for length in fill:
                 chosen.append(length)
-                lengths.left[length] -= 1
+                index.take(length)
                 gap -= length
-        need = Counter(chosen)
-        for length, n in need.items():
-            lengths.left[length] += n
-        times = min(int(lengths.left[length]) // n for length, n in need.items())
-        for length, n in need.items():
-            lengths.left[length] -= n * times
-        patterns.append((tuple(chosen), times))
+        patterns.append((tuple(chosen), index.commit()))
     return patterns
 
 

@@ -451,12 +451,35 @@ def test_plan_uses_every_piece_once():
 
 
 def test_complements_are_exact():
-    have = packing.Availability({5: 1, 4: 2, 3: 1, 9: 1}, 20)
+    have = packing.SumIndex({5: 1, 4: 2, 3: 1, 9: 1}, 20)
     assert have.complement(9) == (9,)
     assert have.complement(8) in {(4, 4), (5, 3)}
     assert sum(have.complement(12)) == 12
     assert have.complement(10) is None or sum(have.complement(10)) == 10
-    assert packing.Availability({5: 1}, 20).complement(10) is None
+    assert packing.SumIndex({5: 1}, 20).complement(10) is None
+
+
+def test_index_of_sums_against_all_combinations():
+    """While pieces are taken and used up, a gap is filled exactly whenever three lengths or fewer can."""
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        counts = {int(n): int(rng.integers(1, 4)) for n in rng.choice(np.arange(1, 41), 9, replace=False)}
+        index = packing.SumIndex(counts, 40)
+        while index.lengths:
+            for _ in range(int(rng.integers(1, 3))):
+                free = [n for n in index.lengths if index.free(n) > 0]
+                if free:
+                    index.take(int(rng.choice(free)))
+            free = {n: index.free(n) for n in index.lengths if index.free(n) > 0}
+            for gap in range(1, 41):
+                fills = {
+                    c for k in (1, 2, 3) for c in itertools.combinations_with_replacement(sorted(free), k)
+                    if sum(c) == gap and all(free[n] >= c.count(n) for n in c)
+                }
+                found = index.complement(gap)
+                assert (found is None) == (not fills)
+                assert found is None or tuple(sorted(found)) in fills
+            index.commit()
 
 
 def test_pack_is_whole_in_many_salts(spark):
