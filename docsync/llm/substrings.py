@@ -177,10 +177,10 @@ def repeated_windows(rows: DataFrame, min_words: int, bits: int) -> DataFrame:
 
 
 def joined_windows(windows: list[tuple]) -> Iterator[tuple]:
-    """(start, size, n_words, n_chunks, first_id), the parts of a row that shared windows cover.
+    """(start, size, n_words, n_chunks, owner), the parts of a row that shared windows cover.
 
-    `windows` are (start, end, words at both, chunks at both, first_id) in order of start. The
-    first_id of a place is the least of the windows over it; None comes after all.
+    `windows` are (start, end, words at both, chunks at both, owner) in order of start. The
+    owner of a place is the least of the windows over it.
     """
     borders = sorted({(w[0], w[2], w[4]) for w in windows} | {(w[1], w[3], w[5]) for w in windows})
     over: list[tuple] = []
@@ -188,13 +188,12 @@ def joined_windows(windows: list[tuple]) -> Iterator[tuple]:
     at = 0
     for here, there in zip(borders, [*borders[1:], None]):
         while at < len(windows) and windows[at][0] <= here[0]:
-            owner = windows[at][6]
-            heapq.heappush(over, (owner is None, owner or 0, windows[at][1]))
+            heapq.heappush(over, (windows[at][6], windows[at][1]))
             at += 1
-        while over and over[0][2] <= here[0]:
+        while over and over[0][1] <= here[0]:
             heapq.heappop(over)
         if over:
-            owner = None if over[0][0] else over[0][1]
+            owner = over[0][0]
             if run and run[-1][2] == owner:
                 run[-1][1] = there
             else:
@@ -210,18 +209,20 @@ def passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def passages(rk: int, doc_id: int | None, windows: list[tuple]) -> Iterator[tuple]:
         for *part, owner in joined_windows(windows):
-            yield rk, doc_id, *part, owner, doc_id != owner
+            no_id, first_id, first_rk = owner
+            yield rk, doc_id, *part, None if no_id else first_id, rk != first_rk
 
     key, windows = None, []
     for batch in batches:
         out = []
-        for rk, doc_id, place, at, span, owner in zip(*[c.to_pylist() for c in batch.columns]):
+        for rk, doc_id, place, at, span, first_id, first_rk in zip(*[c.to_pylist() for c in batch.columns]):
             if key != (rk, doc_id):
                 if windows:
                     out += passages(*key, windows)
                 key, windows = (rk, doc_id), []
             start, words, chunks = place >> SIZE_BITS + 1, at >> COUNT_BITS, at & low
             end = start + (place >> 1 & low)
+            owner = (first_id is None, first_id or 0, first_rk)
             windows.append((start, end, words, words + (span >> COUNT_BITS), chunks, chunks + (span & low), owner))
         yield record_batch(out, PASSAGE)
     if windows:
@@ -235,7 +236,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = S
     words, counting one that goes on into the first, that another row of `docs` has just so. Where the row that keeps them changes the stretch
     is split, and its parts may be shorter. start and size are in bytes of the UTF-8 text. first_id
     is the least doc_id among the rows that have such a run around the chunks, and `removed` is
-    false where that is this row. Digests are of 64 bits, and only whole windows count. Null and
+    false where that is this row; of rows of one doc_id, or without any, the one with the least rk keeps.
+    Rows that repeat both id and text are one row here, as they are copies that exact deduplication takes out. Digests are of 64 bits, and only whole windows count. Null and
     empty texts have no chunks; rows without doc_id keep nothing that a row with one has;
     repeated rows repeat each other's whole text; no rows give none.
     """
@@ -249,11 +251,14 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = S
     )
     placed = stored(placed.join(ids, placed["rk"] == ids["_rk"]).drop("_rk"), "placed")
     first = placed.groupBy("tok").agg(
-        F.min("doc_id").alias("first_id"), F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.max("n").alias("most")
-    )
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("own"),
+        F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.max("n").alias("most"),
+    )
     # A window within one row alone is no repeat.
-    shared = first.filter("lo <> hi OR most > 1").select(F.col("tok").alias("_tok"), "first_id")
-    met = placed.join(shared, placed["tok"] == shared["_tok"]).select("rk", "doc_id", "place", "at", "span", "first_id")
+    shared = first.filter("lo <> hi OR most > 1").select(
+        F.col("tok").alias("_tok"), F.col("own.doc_id").alias("first_id"), F.col("own.rk").alias("first_rk")
+    )
+    met = placed.join(shared, placed["tok"] == shared["_tok"]).select("rk", "doc_id", "place", "at", "span", "first_id", "first_rk")
     return met.repartition("rk").sortWithinPartitions("rk", "place").mapInArrow(passage_rows, PASSAGE)
 
 

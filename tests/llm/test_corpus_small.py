@@ -640,6 +640,17 @@ def test_excerpt_in_smaller_id_loses_no_text(spark):
     }
 
 
+@pytest.mark.parametrize("ids", [(1, 1), (None, None), (1, 1, None, None, 2)])
+def test_one_row_keeps_where_ids_tie(spark, ids):
+    passage = prose(66, 60)
+    rows = [(d, f"{prose(670 + i, 30)} {passage} {prose(680 + i, 30)}") for i, d in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = substrings.repeated_passages(docs).collect()
+    assert len(spans) == len(ids) and sum(not r["removed"] for r in spans) == 1
+    assert {r["first_id"] for r in spans} == {ids[0]}
+    assert sum(passage[80:-80] in r["text"] for r in substrings.without_repeats(docs).collect()) == 1
+
+
 def test_stock_phrases_are_no_passage(spark):
     """A sentence whose every chunk stands in some other document is no repeat of any of them."""
     gear = substrings.gear_table()
