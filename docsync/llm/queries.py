@@ -56,7 +56,8 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
+    """Counts that an earlier run stored are joined; only texts that none has met are encoded."""
+    return tokens.token_counts(table(spark, sf_dir, "documents"), TOKENIZER, tokens.kept_cache(spark))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

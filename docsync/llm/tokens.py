@@ -16,10 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsync.llm.common import record_batch, scratch_path, text_bytes
+from docsync.operators.skew import shared_folder
 
 # The pre-tokenizer's pattern of byte-level vocabularies, and its special token.
 BYTE_LEVEL_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -149,6 +150,11 @@ def count_distinct(path: str):
     return run
 
 
+def kept_cache(spark: SparkSession) -> str:
+    """A cache that outlives the run, in the folder all executors share. One run appends at a time."""
+    return f"{shared_folder(spark)}/docsync-llm-kept/token-counts"
+
+
 def read_cache(docs: DataFrame, path: str, version: str) -> DataFrame | None:
     """Stored counts of one tokenizer; None while nothing was ever stored there."""
     spark = docs.sparkSession

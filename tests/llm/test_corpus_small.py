@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docsync.llm import exact, jaccard, licenses, mixing, packing, pii, quality, substrings, tokens, warc
+from docsync.llm import exact, jaccard, licenses, mixing, packing, pii, quality, queries, substrings, tokens, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -386,6 +386,22 @@ def test_token_cache_is_used_and_grows(spark, docs, tmp_path):
     assert {r["n_tokens"] for r in other.collect()} == {2}
 
 
+def test_registered_counts_hit_what_an_earlier_run_stored(spark, tmp_path, monkeypatch):
+    documents = spark.createDataFrame(fixture_rows(), DDL)
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(tokens, "shared_folder", lambda _: str(tmp_path / "shared"))
+    first = found(queries.op4_token_counts(spark, str(tmp_path)))
+    cache = tokens.kept_cache(spark)
+    stored = spark.read.parquet(cache).count()
+    assert stored == len({r[1] or "" for r in fixture_rows()})
+
+    known = tokens.read_cache(documents, cache, tokens.tokenizer_version(TOKENIZER))
+    digests = documents.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    assert digests.join(known, "digest", "left_anti").count() == 0
+    assert found(queries.op4_token_counts(spark, str(tmp_path))) == first
+    assert spark.read.parquet(cache).count() == stored
+
+
 def test_piece_tokenizer(docs):
     import sentencepiece
 
